@@ -14,10 +14,18 @@ from kestrel.functions import extract as X
 from kestrel.functions.text import (
     coerce_nine, jtrim, join_quoted_cells, norm_header, quote_segments, trim_cells)
 from kestrel.functions.timefmt import parse_ts
-from kestrel.schema import BASE_COLUMNS, DERIVED_COLUMNS
+from kestrel.schema import BASE_COLUMNS
 
 KEY = ["file", "blk", "ord"]
 
+# Names the parse job appends after the header cells (the
+# derived first-words column is named ``action`` there, like the 6th cell).
+APPENDED_NAMES = ["recipe_id", "recipe_name", "material_name", "material_id",
+                  "name1", "name2", "username", "action",
+                  "session_start", "session_end", "session_duration"]
+HEADER_NAMES = ["user_id", "id", "subseq_id", "message", "audit_time", "action", "type", "label",
+                "version"] + APPENDED_NAMES
+
 
 def parse_log(lines: DataFrame) -> DataFrame:
     """DataFrame(file, blk, ord, line, hdr) -> parsed rows.
@@ -67,9 +75,13 @@ def parse_log(lines: DataFrame) -> DataFrame:
 
 
 def header_names(lines: DataFrame) -> DataFrame:
-    """P1 norm_header: per file, the normalized header names plus the eleven derived names."""
+    """P1 norm_header: per file, the normalized header names plus the eleven appended names.
+
+    Two columns end up named ``action``; the loader renames them by position
+    (6th -> ``action_raw``, 17th -> ``action_derived``).
+    """
     h = lines.filter(F.col("hdr"))
     return h.select(
         "file",
-        F.concat(norm_header(F.col("line")), F.array(*[F.lit(c) for c in DERIVED_COLUMNS])).alias("columns"),
+        F.concat(norm_header(F.col("line")), F.array(*[F.lit(c) for c in APPENDED_NAMES])).alias("columns"),
     )

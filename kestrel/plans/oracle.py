@@ -77,25 +77,27 @@ en AS (
   FROM rows1 WHERE is_end AND audit_time IS NOT NULL
 ),
 pairs AS (
-  SELECT st.file, st.start_ord, en.end_ts AS session_end,
+  SELECT st.file, st.skey, st.start_ord, en.end_ord, st.start_ts, en.end_ts AS session_end,
          greatest(0, floor((epoch_ms(en.end_ts) - epoch_ms(COALESCE(st.start_ts, en.end_ts))) / 1000.0))::BIGINT AS raw,
          en.is_auto
   FROM st JOIN en USING (file, skey, rnk)
 ),
+sessions AS (
+  SELECT file, skey, start_ord, end_ord, start_ts AS session_start, session_end,
+         CAST(CASE WHEN is_auto THEN least(raw, 28800)
+                   WHEN raw > 28000 THEN CASE WHEN raw // 86400 <= 1 THEN 28000 ELSE (raw // 86400) * 28000 END
+                   ELSE raw END AS INTEGER) AS session_duration
+  FROM pairs
+),
 audit_log AS (
   SELECT rows1.user_id, rows1.id, rows1.subseq_id, rows1.message, rows1.audit_time,
          rows1.action_raw, rows1.type, rows1.label, rows1.version,
          rows1.recipe_id, rows1.recipe_name, rows1.material_name, rows1.material_id,
          rows1.name1, rows1.name2, rows1.username, rows1.action_derived,
          CASE WHEN rows1.is_start THEN rows1.audit_time END AS session_start,
-         pairs.session_end,
-         CAST(CASE WHEN pairs.raw IS NULL THEN NULL
-                   WHEN pairs.is_auto THEN least(pairs.raw, 28800)
-                   WHEN pairs.raw > 28000 THEN
-                        CASE WHEN pairs.raw // 86400 <= 1 THEN 28000 ELSE (pairs.raw // 86400) * 28000 END
-                   ELSE pairs.raw END AS INTEGER) AS session_duration,
+         sessions.session_end, sessions.session_duration,
          rows1.file, rows1.ord, rows1.reason, rows1.skey, rows1.is_start, rows1.is_end, rows1.is_auto
-  FROM rows1 LEFT JOIN pairs ON rows1.file = pairs.file AND rows1.ord = pairs.start_ord
+  FROM rows1 LEFT JOIN sessions ON rows1.file = sessions.file AND rows1.ord = sessions.start_ord
 )
 """
 
