@@ -16,41 +16,45 @@ _SEP = "\u0001"
 
 
 def jtrim(c: Column) -> Column:
-    """Trim Unicode whitespace and BOM from both ends (Spark's trim only strips U+0020)."""
+    """Trim Unicode whitespace and BOM from both ends (Spark's one-argument trim
+    only strips U+0020)."""
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 
 
-def quote_segments(line: Column) -> Column:
-    """The line split on double quotes (input of ``join_quoted_cells``)."""
-    return F.split(line, '"', -1)
+_OPEN, _CLOSE, _PIPE = "\u0002", "\u0003", "\u0004"
 
 
-def join_quoted_cells(line: Column, segs: Column) -> Column:
-    """Split on ``|`` outside double quotes; quotes are dropped, ``""`` inside quotes is a quote.
+def protect_quoted(line: Column) -> Column:
+    """Resolve double quotes on the whole line with scalar regex passes (no lambdas).
 
-    Quote state flips at every quote character, so after splitting the line on
-    ``"`` the even segments lie outside quotes and the odd ones inside. A
-    doubled quote inside a quoted run shows up as an empty even segment that is
-    neither the first nor the last one; it stands for one literal quote.
-    Outside quotes every ``|`` is a cell separator. ``segs`` must be
-    ``quote_segments(line)``, passed as a column reference so it is computed once.
+    Quote state flips at every quote character, so a quoted run is a quote,
+    any non-quote text, and an optional closing quote. Runs are marked with
+    control characters; two runs that touch (``""`` inside quotes) leave one
+    literal quote; a ``|`` inside a run becomes a placeholder so that only
+    pipes outside quotes separate cells; then the marks are dropped.
+    Restore placeholders per cell with ``unprotect``.
     """
-    n = F.size(segs)
+    m = F.regexp_replace(line, '"([^"]*)"?', f"{_OPEN}$1{_CLOSE}")
+    m = F.regexp_replace(m, f"{_CLOSE}{_OPEN}", '"')
+    m = F.regexp_replace(m, rf"\|(?=[^{_OPEN}{_CLOSE}]*{_CLOSE})", _PIPE)
+    m = F.regexp_replace(m, f"[{_OPEN}{_CLOSE}]", "")
+    return F.when(F.instr(line, '"') == 0, line).otherwise(m)
 
-    def seg(s, i):
-        outside = (i % 2) == 0
-        return (F.when(~outside, s)
-                .when((s == "") & (i > 0) & (i < n - 1), F.lit('"'))
-                .otherwise(F.regexp_replace(s, r"\|", _SEP)))
 
-    quoted = F.split(F.array_join(F.transform(segs, seg), ""), _SEP, -1)
-    # Fast path: a line without quotes is a plain split.
-    return F.when(F.instr(line, '"') == 0, F.split(line, r"\|", -1)).otherwise(quoted)
+def split_cells(protected: Column) -> Column:
+    """Split a protected line on ``|``; whitespace around every cell is trimmed."""
+    return F.split(jtrim(protected), rf"{WS}*\|{WS}*", -1)
+
+
+def unprotect(c: Column) -> Column:
+    """Placeholder -> literal ``|`` inside one cell."""
+    return F.translate(c, _PIPE, "|")
 
 
 def split_pipes_quoted(line: Column) -> Column:
-    """Single-expression form of ``join_quoted_cells`` (for small inputs and tests)."""
-    return join_quoted_cells(line, quote_segments(line))
+    """Cells of a line: ``|`` outside double quotes separates, quotes are dropped,
+    ``""`` inside quotes is one quote, each cell trimmed."""
+    return F.transform(split_cells(protect_quoted(line)), unprotect)
 
 
 def trim_cells(cells: Column) -> Column:

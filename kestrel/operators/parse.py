@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions import extract as X
-from kestrel.functions.text import (
-    coerce_nine, jtrim, join_quoted_cells, norm_header, quote_segments, trim_cells)
+from kestrel.functions.text import coerce_nine, jtrim, norm_header, protect_quoted, split_cells, unprotect
 from kestrel.functions.timefmt import parse_ts
 from kestrel.schema import BASE_COLUMNS
 
@@ -36,12 +35,11 @@ def parse_log(lines: DataFrame) -> DataFrame:
     Header rows and empty lines are dropped.
     """
     body = lines.filter(~F.col("hdr") & F.col("line").isNotNull() & (F.col("line") != ""))
-    a = body.select(*KEY, "line", quote_segments(F.col("line")).alias("segs"))
-    b = a.select(*KEY, trim_cells(join_quoted_cells(F.col("line"), F.col("segs"))).alias("cells"))
+    b = body.select(*KEY, split_cells(protect_quoted(F.col("line"))).alias("cells"))
     c = b.select(*KEY, "cells", F.size("cells").alias("n"))
     d = c.select(*KEY, coerce_nine(F.col("cells"), F.col("n")).alias("n9"))
     e = d.select(*KEY, F.col("n9.reason").alias("reason"),
-                 *[F.get(F.col("n9.cols"), i).alias(col) for i, col in enumerate(BASE_COLUMNS)])
+                 *[unprotect(F.get(F.col("n9.cols"), i)).alias(col) for i, col in enumerate(BASE_COLUMNS)])
     msg = F.col("message")
     f = e.select(
         "*",
