@@ -141,6 +141,8 @@ def build_queries() -> dict[str, Query]:
         "match_names_contains": _log(lambda t: R.match_names(t, "contains", P["contains"])),
         "present_columns": _log(R.present_columns),
     }
+    from kestrel.plans import registry_answers
+    q.update(registry_answers.QUERIES)
     return q
 
 
@@ -260,4 +262,6 @@ def build_oracle() -> dict[str, str]:
             f"COUNT(*) FILTER (WHERE {c} IS NOT NULL AND TRIM({c}) <> '') AS {c}_present"
             for c in present_cols) + " FROM audit_log"),
     }
+    from kestrel.plans import registry_answers
+    o.update(registry_answers.ORACLE)
     return o
