@@ -141,7 +141,8 @@ def build_queries() -> dict[str, Query]:
         "match_names_contains": _log(lambda t: R.match_names(t, "contains", P["contains"])),
         "present_columns": _log(R.present_columns),
     }
-    from kestrel.plans import registry_answers, registry_synth
+    from kestrel.plans import registry_answers, registry_io, registry_synth
+    q.update(registry_io.QUERIES)
     q.update(registry_answers.QUERIES)
     q.update(registry_synth.QUERIES)
     return q
@@ -263,7 +264,8 @@ def build_oracle() -> dict[str, str]:
             f"COUNT(*) FILTER (WHERE {c} IS NOT NULL AND TRIM({c}) <> '') AS {c}_present"
             for c in present_cols) + " FROM audit_log"),
     }
-    from kestrel.plans import registry_answers, registry_synth
+    from kestrel.plans import registry_answers, registry_io, registry_synth
+    o.update(registry_io.ORACLE)
     o.update(registry_answers.ORACLE)
     o.update(registry_synth.ORACLE)
     return o
