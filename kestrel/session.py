@@ -66,3 +66,32 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
     """A new, unique sub-folder of the shared folder (never reused)."""
     base = shared_dir(spark)
     return f"{base}/kestrel/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kestrel`` importable in Python workers (pandas UDF paths).
+
+    The package is zipped once per application into the shared folder and
+    added with ``addPyFile``, as ``--py-files`` would on submit.
+    """
+    import io
+    import pathlib
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in root.rglob("*.py"):
+            z.write(p, f"kestrel/{p.relative_to(root)}")
+    target = scratch_dir(spark, "pyfiles") + "/kestrel.zip"
+    local = target.replace("file:", "")
+    pathlib.Path(local).parent.mkdir(parents=True, exist_ok=True)
+    pathlib.Path(local).write_bytes(buf.getvalue())
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
