@@ -141,7 +141,8 @@ def build_queries() -> dict[str, Query]:
         "match_names_contains": _log(lambda t: R.match_names(t, "contains", P["contains"])),
         "present_columns": _log(R.present_columns),
     }
-    from kestrel.plans import registry_answers, registry_io, registry_stream, registry_synth
+    from kestrel.plans import registry_answers, registry_eval, registry_io, registry_stream, registry_synth
+    q.update(registry_eval.QUERIES)
     q.update(registry_io.QUERIES)
     q.update(registry_stream.QUERIES)
     q.update(registry_answers.QUERIES)
@@ -265,7 +266,8 @@ def build_oracle() -> dict[str, str]:
             f"COUNT(*) FILTER (WHERE {c} IS NOT NULL AND TRIM({c}) <> '') AS {c}_present"
             for c in present_cols) + " FROM audit_log"),
     }
-    from kestrel.plans import registry_answers, registry_io, registry_stream, registry_synth
+    from kestrel.plans import registry_answers, registry_eval, registry_io, registry_stream, registry_synth
+    o.update(registry_eval.ORACLE)
     o.update(registry_io.ORACLE)
     o.update(registry_stream.ORACLE)
     o.update(registry_answers.ORACLE)
