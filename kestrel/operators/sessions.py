@@ -45,30 +45,28 @@ def ranked_events(parsed: DataFrame) -> DataFrame:
 
     Returns (file, skey, ord, ts, is_auto, st, en, s_rank, e_rank); ``st`` /
     ``en`` flag a start / a timed end (a row may be both).
+
+    Shuffles: the slim rows once on (file, skey, blk) for the in-block running
+    counts; the per-block totals are a partial aggregate (one row per block),
+    so their offsets are computed on a small table and joined back.
     """
     slim = (parsed
             .select("file", "skey", "blk", "ord", "ts", "is_auto",
                     F.col("is_start").alias("st"),
                     (F.col("is_end") & F.col("ts").isNotNull()).alias("en"))
             .filter(F.col("st") | F.col("en")))
-    # One exchange on (file, skey, blk); block totals and in-block running
-    # counts are windows over that same clustering.
-    wb = Window.partitionBy("file", "skey", "blk")
-    wr = wb.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = slim.select(
-        "*",
-        F.sum(F.col("st").cast("long")).over(wb).alias("ns"),
-        F.sum(F.col("en").cast("long")).over(wb).alias("ne"),
-        F.sum(F.col("st").cast("long")).over(wr).alias("run_s"),
-        F.sum(F.col("en").cast("long")).over(wr).alias("run_e"))
-    # Offsets from the other blocks of the same key: one row per block.
+    blk_tot = slim.groupBy("file", "skey", "blk").agg(
+        F.sum(F.col("st").cast("long")).alias("ns"),
+        F.sum(F.col("en").cast("long")).alias("ne"))
     wk = Window.partitionBy("file", "skey").orderBy("blk")
-    offs = (local.groupBy("file", "skey", "blk").agg(F.max("ns").alias("ns"), F.max("ne").alias("ne"))
-            .select("file", "skey", "blk",
-                    F.coalesce(F.sum("ns").over(wk.rowsBetween(1, Window.unboundedFollowing)),
-                               F.lit(0)).alias("s_after"),
-                    F.coalesce(F.sum("ne").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
-                               F.lit(0)).alias("e_before")))
+    offs = blk_tot.select(
+        "file", "skey", "blk", "ns",
+        F.coalesce(F.sum("ns").over(wk.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("s_after"),
+        F.coalesce(F.sum("ne").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("e_before"))
+    wb = (Window.partitionBy("file", "skey", "blk").orderBy("ord")
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = slim.select("*", F.sum(F.col("st").cast("long")).over(wb).alias("run_s"),
+                        F.sum(F.col("en").cast("long")).over(wb).alias("run_e"))
     return local.join(offs, ["file", "skey", "blk"]).select(
         "file", "skey", "ord", "ts", "is_auto", "st", "en",
         (F.col("s_after") + F.col("ns") - F.col("run_s") + 1).alias("s_rank"),
@@ -76,13 +74,33 @@ def ranked_events(parsed: DataFrame) -> DataFrame:
 
 
 def session_pairs(parsed: DataFrame) -> DataFrame:
-    """One row per closed session: (file, start_ord, session_end, session_duration)."""
+    """One row per closed session: (file, skey, start_ord, end_ord, session_start, session_end,
+    session_duration).
+
+    Each ranked row yields a start record and/or an end record keyed by its
+    rank; grouping on (file, skey, rank) meets the k-th start with the k-th
+    end in one aggregation (no self-join, the ranked rows are computed once).
+    """
     r = ranked_events(parsed)
-    starts = r.filter("st").select("file", "skey", F.col("s_rank").alias("rank"),
-                                   F.col("ord").alias("start_ord"), F.col("ts").alias("start_ts"))
-    ends = r.filter("en").select("file", "skey", F.col("e_rank").alias("rank"),
-                                 F.col("ord").alias("end_ord"), F.col("ts").alias("end_ts"), "is_auto")
-    return starts.join(ends, ["file", "skey", "rank"]).select(
+    recs = r.select(
+        "file", "skey",
+        F.explode(F.array(
+            F.when(F.col("st"), F.struct(F.col("s_rank").alias("rank"), F.lit(True).alias("is_s"),
+                                         F.col("ord").alias("ord"), F.col("ts").alias("ts"),
+                                         F.col("is_auto").alias("auto"))),
+            F.when(F.col("en"), F.struct(F.col("e_rank").alias("rank"), F.lit(False).alias("is_s"),
+                                         F.col("ord").alias("ord"), F.col("ts").alias("ts"),
+                                         F.col("is_auto").alias("auto"))),
+        )).alias("x")).filter(F.col("x").isNotNull()).select("file", "skey", "x.*")
+    s_, e_ = F.col("is_s"), ~F.col("is_s")
+    g = recs.groupBy("file", "skey", "rank").agg(
+        F.max(F.when(s_, F.col("ord"))).alias("start_ord"),
+        F.max(F.when(s_, F.col("ts"))).alias("start_ts"),
+        F.max(F.when(e_, F.col("ord"))).alias("end_ord"),
+        F.max(F.when(e_, F.col("ts"))).alias("end_ts"),
+        F.max(F.when(e_, F.col("auto"))).alias("is_auto"))
+    closed = g.filter(F.col("start_ord").isNotNull() & F.col("end_ord").isNotNull())
+    return closed.select(
         "file", "skey", "start_ord", "end_ord",
         F.col("start_ts").alias("session_start"),
         F.col("end_ts").alias("session_end"),
