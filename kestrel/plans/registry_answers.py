@@ -41,6 +41,12 @@ def q_query_log_report(spark, sf):
         "mean_elapsed", "max_elapsed", "rows_returned", "valid_sql")
 
 
+def q_last_sql(spark, sf):
+    path = scratch_dir(spark, "query_events")
+    QL.write_events(QL.events_from_conversations(_conv(spark, sf)), path)
+    return QL.last_sql(QL.read_events(spark, path))
+
+
 def q_jsonify_result(spark, sf):
     return A.jsonify_rows(R.top_recipes_events(audit_log(spark, sf), 10))
 
@@ -84,6 +90,7 @@ QUERIES = {
     "recent_context": q_recent_context,
     "sql_checks": q_sql_checks,
     "query_log_report": q_query_log_report,
+    "last_sql": q_last_sql,
     "jsonify_result": q_jsonify_result,
     "result_header": q_result_header,
     "format_answer_count": q_format_answer_count,
@@ -103,6 +110,17 @@ _ELAPSED = """CASE WHEN d // 3600 > 0 THEN (d // 3600) || 'h ' || lpad(((d % 360
 _TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 ORACLE = {
+    "last_sql": """
+WITH q AS (
+  SELECT u.conv_id, u.turn, u.text, COALESCE(a.text, '') AS answer
+  FROM conversations u LEFT JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'),
+e AS (
+  SELECT strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS ts,
+         text, rtrim(""" + _TRIM.format(x="answer") + """, ';') AS s
+  FROM q)
+SELECT arg_max('-- ' || ts || ' | ' || text || chr(10) || s || ';', ts) AS last_sql FROM e WHERE s <> ''""",
     "session_elapsed": with_log(
         f"SELECT file, start_ord, {_ELAPSED} AS elapsed FROM (SELECT file, start_ord, "
         "CAST(session_duration AS BIGINT) AS d FROM sessions)"),

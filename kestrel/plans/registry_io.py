@@ -143,7 +143,29 @@ def q_load_idempotent(spark, sf):
     return after_second.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("file").alias("files"))
 
 
+def q_rechunk_parsed(spark, sf):
+    """Re-chunk the already parsed table with a caller's chunk size."""
+    p = PT.part_assign(parsed_table(spark, sf).select("file", "blk", "ord"), 500)
+    return p.groupBy("file", "part").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def q_create_reset_log(spark, sf):
+    """Create the table over a path, append the staged rows, count; reset, count."""
+    path = scratch_dir(spark, "log_tbl")
+    name = f"audit_log_{abs(hash(path)) % 10**8}"
+    ST.create_log(spark, name, path)
+    ST.append_log(ST.load_typed(ST.read_staged(spark, _staged_folder(spark, sf))), path)
+    spark.sql(f"REFRESH TABLE {name}")
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    loaded = spark.table(name).agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
+    ST.reset_log(spark, name, path)
+    after = spark.table(name).agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
+    return spark.createDataFrame([(int(loaded), int(after))], "loaded_rows bigint, rows_after_reset bigint")
+
+
 QUERIES = {
+    "rechunk_parsed": q_rechunk_parsed,
+    "create_reset_log": q_create_reset_log,
     "scan_line_order": q_scan_line_order,
     "scan_headers": q_scan_headers,
     "scan_parse": q_scan_parse,
@@ -196,6 +218,10 @@ def _parted_sql(select: str) -> str:
 
 
 ORACLE = {
+    "rechunk_parsed": with_log("SELECT file, CAST(floor((rn - 1) / 500) + 1 AS INTEGER) AS part, COUNT(*) AS rows "
+                               "FROM (SELECT file, row_number() OVER (PARTITION BY file ORDER BY ord) AS rn FROM rows1) "
+                               "GROUP BY ALL"),
+    "create_reset_log": with_log("SELECT COUNT(*) AS loaded_rows, CAST(0 AS BIGINT) AS rows_after_reset FROM audit_log"),
     "scan_line_order": with_log(f"SELECT file, CAST({_RN} AS BIGINT) AS rn, id FROM rows1"),
     "scan_headers": with_log("SELECT file, 1 AS headers, COUNT(*) + 1 AS lines FROM rows1 GROUP BY file"),
     "scan_parse": with_log("SELECT file, id, message, COALESCE(recipe_id, '') AS recipe_id, "
