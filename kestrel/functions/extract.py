@@ -54,7 +54,8 @@ def split_user(user: Column) -> Column:
 
 def action_derived(message: Column) -> Column:
     """First four whitespace-separated words of the message."""
-    return F.array_join(F.slice(F.split(jtrim(message), f"{WS}+", -1), 1, 4), " ")
+    words = F.split(F.regexp_replace(jtrim(message), f"{WS}+", " "), " ", -1)
+    return F.array_join(F.slice(words, 1, 4), " ")
 
 
 def session_key(username: Column, user_cell: Column, rid: Column, rname: Column) -> Column:
