@@ -112,16 +112,22 @@ def pair_sessions(parsed: DataFrame) -> DataFrame:
 
     The session sits on the start row. ``session_start`` is set on every start
     row with a time, closed or not; end and duration only on closed ones.
+    Only start rows meet the pairs (a join on (file, ord)); all other rows pass
+    through without a shuffle, so the wide rows that move are the starts alone.
+    Expects ``parsed`` to be materialized (it is read by two branches).
     """
     pairs = session_pairs(parsed).select(
         "file", F.col("start_ord").alias("ord"),
         F.col("session_end").alias("_end"), F.col("session_duration").alias("_dur"))
-    out = parsed.join(pairs, ["file", "ord"], "left")
-    return out.select(
-        *[c for c in parsed.columns],
-        F.when(F.col("is_start"), F.col("ts")).alias("session_start"),
-        F.col("_end").alias("session_end"),
+    base = [F.col(c) for c in parsed.columns]
+    starts = parsed.filter(F.col("is_start")).join(pairs, ["file", "ord"], "left").select(
+        *base, F.col("ts").alias("session_start"), F.col("_end").alias("session_end"),
         F.col("_dur").alias("session_duration"))
+    others = parsed.filter(~F.col("is_start")).select(
+        *base, F.lit(None).cast("timestamp").alias("session_start"),
+        F.lit(None).cast("timestamp").alias("session_end"),
+        F.lit(None).cast("int").alias("session_duration"))
+    return starts.unionByName(others)
 
 
 def open_sessions(parsed: DataFrame) -> DataFrame:

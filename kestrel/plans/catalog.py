@@ -31,11 +31,6 @@ def parsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_log(audit_lines(spark, sf_dir))
 
 
-def audit_log_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lazy typed log rows (no materialization)."""
-    return to_audit_log(pair_sessions(parsed_rows(spark, sf_dir)))
-
-
 def _memo(spark: SparkSession, kind: str, sf_dir: str, build) -> str:
     key = (spark.sparkContext.applicationId, kind, sf_dir.rstrip("/"))
     with _LOCK:
