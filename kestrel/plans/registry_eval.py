@@ -65,7 +65,7 @@ _NORM = "regexp_replace(regexp_replace(lower(regexp_replace({x}, '^\\s+|\\s+$',
 
 ORACLE = {
     "exact_match": synth_sql(
-        "SELECT template, COUNT(*) AS rows, SUM(hit) AS matches, SUM(hit) / COUNT(*) AS exact_match FROM ("
+        "SELECT template, COUNT(*) AS rows, CAST(SUM(hit) AS BIGINT) AS matches, SUM(hit) / COUNT(*) AS exact_match FROM ("
         "SELECT z.template, CAST(" + _NORM.format(x="CASE WHEN z.row_id % 2 = 0 THEN upper(z.gold_sql) || '  ;' "
         "ELSE COALESCE(n.gold_sql, '') END") + " = " + _NORM.format(x="z.gold_sql") + " AS INTEGER) AS hit "
         "FROM z LEFT JOIN z n ON n.row_id = z.row_id + 1) GROUP BY template"),

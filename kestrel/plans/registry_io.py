@@ -73,7 +73,7 @@ def q_file_manifest(spark, sf):
 def q_files_newest_first(spark, sf):
     m = LN.files_newest_first(LN.file_manifest(audit_lines(spark, sf)))
     w = Window.orderBy(F.col("y").desc_nulls_last(), F.col("m").desc_nulls_last(), F.col("file").desc())
-    return m.select("file", F.row_number().over(w).alias("pos"))
+    return m.select("file", F.row_number().over(w).cast("bigint").alias("pos"))
 
 
 def q_files_in_range(spark, sf):
@@ -223,7 +223,7 @@ ORACLE = {
                                "GROUP BY ALL"),
     "create_reset_log": with_log("SELECT COUNT(*) AS loaded_rows, CAST(0 AS BIGINT) AS rows_after_reset FROM audit_log"),
     "scan_line_order": with_log(f"SELECT file, CAST({_RN} AS BIGINT) AS rn, id FROM rows1"),
-    "scan_headers": with_log("SELECT file, 1 AS headers, COUNT(*) + 1 AS lines FROM rows1 GROUP BY file"),
+    "scan_headers": with_log("SELECT file, CAST(1 AS BIGINT) AS headers, COUNT(*) + 1 AS lines FROM rows1 GROUP BY file"),
     "scan_parse": with_log("SELECT file, id, message, COALESCE(recipe_id, '') AS recipe_id, "
                            "COALESCE(username, '') AS username, skey FROM rows1"),
     "file_manifest": _mf("SELECT file, y, m, CASE WHEN y IS NOT NULL THEN printf('%04d-%02d', y, m) END AS ym FROM mf"),
