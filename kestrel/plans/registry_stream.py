@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kestrel.operators.parse import parse_log
@@ -47,7 +49,7 @@ def q_live_sessions(spark, sf):
     parsed = parse_log(lines).withColumn(
         "ord", F.coalesce(F.col("id").try_cast("bigint"), F.unix_millis("ts")))
     sessions = live_sessions(parsed)
-    name = f"live_{abs(hash((spark.sparkContext.applicationId, sf)))}"
+    name = f"live_{uuid.uuid4().hex[:12]}"
     q = (sessions.writeStream.format("memory").queryName(name).outputMode("append")
          .option("checkpointLocation", scratch_dir(spark, "live_ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()

@@ -42,6 +42,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out: str
     (batch.withColumn("ord", F.monotonically_increasing_id()).filter(F.col("line") != "")
      .write.mode("overwrite").parquet(staged_path))
     lines = spark.read.parquet(staged_path)
+    # One row per file of the micro-batch (bounded by maxFilesPerTrigger).
     first = (lines.filter(F.col("blk") == 0).groupBy("file").agg(F.min("ord").alias("ord"))
              .withColumn("hdr", F.lit(True)))
     lines = (lines.join(F.broadcast(first), ["file", "ord"], "left")
