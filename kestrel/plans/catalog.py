@@ -50,12 +50,41 @@ def parsed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_audit_log(df: DataFrame, path: str) -> None:
-    (df.sortWithinPartitions("audit_month", "audit_time")
+def write_audit_log(df: DataFrame, path: str) -> dict:
+    """Write the typed rows partitioned by month; returns the run metrics.
+
+    Metrics come from an ``Observation`` on the written rows (computed by the
+    write itself, no second pass) and are appended to ``<path>_runs``.
+    """
+    from pyspark.sql import Observation
+
+    obs = Observation("load_audit_log")
+    observed = df.observe(
+        obs, F.count(F.lit(1)).alias("rows_written"),
+        F.count(F.when(F.col("session_duration").isNotNull(), F.lit(1))).alias("sessions"),
+        F.count(F.when(F.col("reason").isNotNull(), F.lit(1))).alias("repaired_rows"),
+        F.count(F.when(F.col("audit_time").isNull(), F.lit(1))).alias("rows_without_time"))
+    (observed.sortWithinPartitions("audit_month", "audit_time")
        .write.mode("overwrite")
        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
        .partitionBy("audit_month")
        .parquet(path))
+    metrics = {k: int(v) for k, v in obs.get.items()}
+    spark = df.sparkSession
+    run = spark.createDataFrame(
+        [("load_audit_log", path, metrics["rows_written"], metrics["sessions"], metrics["repaired_rows"],
+          metrics["rows_without_time"], "done")],
+        "phase string, target string, rows_written bigint, sessions bigint, repaired_rows bigint, "
+        "rows_without_time bigint, status string")
+    run.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(path + "_runs")
+    return metrics
+
+
+def load_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run log of the log-table build for ``sf_dir``."""
+    path = _memo(spark, "audit_log", sf_dir, lambda p: write_audit_log(
+        to_audit_log(pair_sessions(parsed_table(spark, sf_dir))), p))
+    return spark.read.parquet(path + "_runs")
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:

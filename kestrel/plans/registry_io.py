@@ -163,7 +163,14 @@ def q_create_reset_log(spark, sf):
     return spark.createDataFrame([(int(loaded), int(after))], "loaded_rows bigint, rows_after_reset bigint")
 
 
+def q_load_run_log(spark, sf):
+    from kestrel.plans.catalog import load_runs
+    return load_runs(spark, sf).select("phase", "rows_written", "sessions", "repaired_rows",
+                                       "rows_without_time", "status")
+
+
 QUERIES = {
+    "load_run_log": q_load_run_log,
     "rechunk_parsed": q_rechunk_parsed,
     "create_reset_log": q_create_reset_log,
     "scan_line_order": q_scan_line_order,
@@ -218,6 +225,10 @@ def _parted_sql(select: str) -> str:
 
 
 ORACLE = {
+    "load_run_log": with_log(
+        "SELECT 'load_audit_log' AS phase, COUNT(*) AS rows_written, COUNT(session_duration) AS sessions, "
+        "COUNT(reason) AS repaired_rows, COUNT(*) FILTER (WHERE audit_time IS NULL) AS rows_without_time, "
+        "'done' AS status FROM audit_log"),
     "rechunk_parsed": with_log("SELECT file, CAST(floor((rn - 1) / 500) + 1 AS INTEGER) AS part, COUNT(*) AS rows "
                                "FROM (SELECT file, row_number() OVER (PARTITION BY file ORDER BY ord) AS rn FROM rows1) "
                                "GROUP BY ALL"),
