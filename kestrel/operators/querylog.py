@@ -65,7 +65,7 @@ def query_log_report(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("queries"),
         F.count(F.when(F.col("error") != "", F.lit(1))).alias("errors"),
         F.count(F.when(F.col("row_count") == 0, F.lit(1))).alias("empty_results"),
-        F.avg("elapsed_seconds").alias("mean_elapsed"),
+        F.round(F.avg("elapsed_seconds"), 6).alias("mean_elapsed"),
         F.max("elapsed_seconds").alias("max_elapsed"),
         F.sum("row_count").alias("rows_returned"),
         F.count(F.when(guard_sql(F.col("sql")) & looks_like_sql(F.col("sql")), F.lit(1))).alias("valid_sql"),

@@ -167,7 +167,7 @@ e AS (
   FROM q)
 SELECT day, COUNT(*) AS queries, COUNT(*) FILTER (WHERE error <> '') AS errors,
        COUNT(*) FILTER (WHERE row_count = 0) AS empty_results,
-       AVG(elapsed_seconds) AS mean_elapsed, MAX(elapsed_seconds) AS max_elapsed,
+       round(AVG(elapsed_seconds), 6) AS mean_elapsed, MAX(elapsed_seconds) AS max_elapsed,
        CAST(SUM(row_count) AS BIGINT) AS rows_returned,
        COUNT(*) FILTER (WHERE ((lower(s) LIKE '%select %' AND lower(s) LIKE '% from %')
                                 OR lower(s) LIKE 'with %' OR lower(s) LIKE 'select %')
