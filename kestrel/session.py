@@ -98,3 +98,20 @@ def ship_package(spark: SparkSession) -> None:
     pathlib.Path(local).write_bytes(buf.getvalue())
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Sizing for a large cluster run (pass to ``build_session(extra=...)`` or spark-submit).
+
+    Scan splits and shuffle partitions are sized so one task handles about
+    ``target_partition_bytes``; AQE coalesces small partitions and splits
+    skewed ones at run time, so the static count is an upper bound.
+    """
+    shuffle = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes * 2),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(8 << 20),
+    }
