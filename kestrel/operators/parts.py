@@ -105,3 +105,10 @@ def pack_manifest(files: DataFrame, target: int = PACK_TARGET_BYTES, max_files:
     folded = listing.select(folder, F.aggregate("files", init, step).alias("acc"))
     return folded.select(folder, F.inline("acc.out")).select(
         folder, "name", "size", (F.col("batch") + 1).alias("batch"))
+
+
+def progress(run_log: DataFrame) -> DataFrame:
+    """S13 progress: the latest run-log entry per file (the single overwritten progress row)."""
+    latest = F.max_by(F.struct("part", "total_rows", "status"), F.col("part"))
+    return run_log.groupBy("file").agg(latest.alias("p")).select(
+        F.col("file").alias("current_file"), "p.part", F.col("p.total_rows").alias("cursor"), "p.status")

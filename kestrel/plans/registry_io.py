@@ -100,6 +100,10 @@ def q_run_metrics(spark, sf):
     return PT.run_metrics(_parted(spark, sf))
 
 
+def q_progress(spark, sf):
+    return PT.progress(PT.run_metrics(_parted(spark, sf)))
+
+
 def q_pack_manifest(spark, sf):
     msgs = parsed_table(spark, sf).select("file", "blk", "ord", "message")
     sizes = PT.part_assign(msgs, PART_ROWS).groupBy("part_name").agg(
@@ -169,7 +173,16 @@ def q_load_run_log(spark, sf):
                                        "rows_without_time", "status")
 
 
+def q_load_raw_folder(spark, sf):
+    """S1 -> P16 -> J1 -> S10 from a folder of raw line files."""
+    from kestrel.plans.load_job import load_raw_folder
+    folder = scratch_dir(spark, "raw_folder")
+    LN.write_line_files(audit_lines(spark, sf), folder)
+    return ntz(load_raw_folder(spark, folder, scratch_dir(spark, "raw_table")).select(*AUDIT_COLUMNS))
+
+
 QUERIES = {
+    "load_raw_folder": q_load_raw_folder,
     "load_run_log": q_load_run_log,
     "rechunk_parsed": q_rechunk_parsed,
     "create_reset_log": q_create_reset_log,
@@ -182,6 +195,7 @@ QUERIES = {
     "part_counts": q_part_counts,
     "resume_parts": q_resume_parts,
     "run_metrics": q_run_metrics,
+    "progress": q_progress,
     "pack_manifest": q_pack_manifest,
     "quarantine": q_quarantine,
     "load_roundtrip": q_load_roundtrip,
@@ -225,6 +239,7 @@ def _parted_sql(select: str) -> str:
 
 
 ORACLE = {
+    "load_raw_folder": with_log(f"SELECT {', '.join(AUDIT_COLUMNS)} FROM audit_log"),
     "load_run_log": with_log(
         "SELECT 'load_audit_log' AS phase, COUNT(*) AS rows_written, COUNT(session_duration) AS sessions, "
         "COUNT(reason) AS repaired_rows, COUNT(*) FILTER (WHERE audit_time IS NULL) AS rows_without_time, "
@@ -249,6 +264,9 @@ ORACLE = {
     "run_metrics": _parted_sql(
         "SELECT file, part, rows_written, CAST(SUM(rows_written) OVER (PARTITION BY file ORDER BY part) AS BIGINT) "
         "AS total_rows, 'written' AS status FROM (SELECT file, part, COUNT(*) AS rows_written FROM parted GROUP BY ALL)"),
+    "progress": _parted_sql(
+        "SELECT file AS current_file, MAX(part) AS part, CAST(COUNT(*) AS BIGINT) AS cursor, 'written' AS status "
+        "FROM parted GROUP BY file"),
     "quarantine": _parted_sql(
         "SELECT file, CAST(rn + 1 AS INTEGER) AS orig_line_no, 'BAD_TIME' AS reason FROM parted "
         "WHERE ord % 101 = 0"),

@@ -26,9 +26,13 @@ def _file_name(path_col):
         F.url_decode(F.regexp_extract(path_col, r"([^/]+)$", 1)))
 
 
-def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER,
+                 latest_first: bool = False) -> DataFrame:
+    """New files of ``folder`` as (file, blk, line); ``latest_first`` takes the newest files
+    (by modification time) first."""
     return (spark.readStream.format("text")
             .option("maxFilesPerTrigger", files_per_trigger)
+            .option("latestFirst", str(latest_first).lower())
             .option("recursiveFileLookup", "true")
             .load(folder)
             .select(_file_name(F.col("_metadata.file_path")).alias("file"),
