@@ -74,11 +74,13 @@ def format_answer(df: DataFrame) -> DataFrame:
             name.lower(), F.concat(F.lit("Result: **"), txt, F.lit(f"** ({name}).")))
         one = df.agg(F.count(F.lit(1)).alias("n"), sentence.alias("s"))
         other = _preview_answer(df, total)
+        # both sides are one-row aggregates (scalar attach, not a pair product)
         return one.crossJoin(other).select(
             F.when(F.col("n") == 1, F.col("s")).otherwise(F.col("answer")).alias("answer"))
     if len(fields) == 1 and fields[0].name.lower() in ("recipe_name", "username"):
         label = "recipes" if fields[0].name.lower() == "recipe_name" else "users"
         items = _ordered_preview(df, LIST_PREVIEW, F.col(fields[0].name).cast("string"))
+        # both sides are one-row aggregates (scalar attach, not a pair product)
         return total.crossJoin(items).select(F.concat(
             F.lit("Found **"), F.col("total").cast("string"), F.lit(f"** {label}. Showing "),
             F.least(F.col("total"), F.lit(LIST_PREVIEW)).cast("string"), F.lit(":\n- "),
@@ -90,6 +92,7 @@ def _preview_answer(df: DataFrame, total: DataFrame) -> DataFrame:
     pairs = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None")))
                                for c in df.columns])
     rows = _ordered_preview(df, ROW_PREVIEW, F.concat(F.lit("- "), pairs))
+    # both sides are one-row aggregates (scalar attach, not a pair product)
     return total.crossJoin(rows).select(F.concat(
         F.lit("Found **"), F.col("total").cast("string"), F.lit("** rows. Preview:\n"),
         F.array_join("items", "\n")).alias("answer"))
@@ -112,6 +115,7 @@ def answer_text(df: DataFrame, kind: str) -> DataFrame:
 def result_preview(df: DataFrame, n: int = 20) -> DataFrame:
     """The first ``n`` rows plus the total row count on each."""
     total = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    # both sides are one-row aggregates (scalar attach, not a pair product)
     return df.limit(n).crossJoin(total)
 
 

@@ -33,6 +33,7 @@ def execution_match(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two results are equal as multisets (EXCEPT ALL both ways is empty)."""
     left = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_a"))
     right = b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_b"))
+    # both sides are one-row aggregates (scalar attach, not a pair product)
     return left.crossJoin(right).select(
         "only_a", "only_b", ((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("match"))
 

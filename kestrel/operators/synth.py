@@ -159,11 +159,15 @@ def _texts() -> list[Column]:
 
 
 def random_split(pairs: DataFrame) -> DataFrame:
-    """T4: order by a seeded hash; the first N_TEST rows are test, the rest train."""
-    from pyspark.sql import Window
+    """T4: order by a seeded hash; the first N_TEST rows are test, the rest train.
+
+    The test set is a distributed top-k (per-partition top N_TEST, then a
+    merge) joined back by row id, so no single task sorts the whole plan.
+    """
     h = slot_hash(F.col("row_id"), 9)
-    w = Window.orderBy(h, F.col("row_id"))
-    return pairs.withColumn("split", F.when(F.row_number().over(w) <= N_TEST, F.lit("test")).otherwise(F.lit("train")))
+    test = pairs.select("row_id", h.alias("_h")).orderBy("_h", "row_id").limit(N_TEST) \
+        .select("row_id", F.lit("test").alias("split"))
+    return pairs.join(test, "row_id", "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def pattern_split(pairs: DataFrame) -> DataFrame:
@@ -181,6 +185,7 @@ def leak_report(split_pairs: DataFrame) -> DataFrame:
     stats = split_pairs.agg(F.count(F.lit(1)).alias("rows"),
                             F.count_distinct(*[F.col(k) for k in key]).alias("distinct_pairs"),
                             F.count(F.when(F.col("split") == "test", F.lit(1))).alias("test_rows"))
+    # both sides are one-row aggregates (scalar attach, not a pair product)
     return stats.crossJoin(leaked).select(
         "rows", "distinct_pairs", (F.col("rows") - F.col("distinct_pairs")).alias("duplicate_rows"),
         "test_rows", "test_rows_in_train")
