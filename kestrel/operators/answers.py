@@ -115,7 +115,7 @@ def answer_text(df: DataFrame, kind: str) -> DataFrame:
 def result_preview(df: DataFrame, n: int = 20) -> DataFrame:
     """The first ``n`` rows plus the total row count on each."""
     total = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    # both sides are one-row aggregates (scalar attach, not a pair product)
+    # the right side is a one-row aggregate (scalar attach to at most n rows)
     return df.limit(n).crossJoin(total)
 
 
