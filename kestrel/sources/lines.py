@@ -34,13 +34,17 @@ def scan_lines(spark: SparkSession, folder: str, stage: str) -> DataFrame:
                         F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
     staged.filter(F.col("line") != "").write.mode("overwrite").parquet(stage)
     lines = spark.read.parquet(stage)
-    first = (lines.filter(F.col("blk") == 0).groupBy("file")
-             .agg(F.min("ord").alias("ord")).withColumn("hdr", F.lit(True)))
+    # Only the first split of a file (blk = 0) can hold its header, so only
+    # those rows meet the per-file minimum; later splits pass through.
+    head_split = lines.filter(F.col("blk") == 0)
+    first = head_split.groupBy("file").agg(F.min("ord").alias("ord")).withColumn("hdr", F.lit(True))
     n_files = len(raw.inputFiles())
     if n_files <= BROADCAST_FILES_MAX:
         first = F.broadcast(first)
-    j = lines.join(first, ["file", "ord"], "left")
-    return j.select("file", "blk", "ord", "line", F.coalesce(F.col("hdr"), F.lit(False)).alias("hdr"))
+    marked = head_split.join(first, ["file", "ord"], "left").select(
+        "file", "blk", "ord", "line", F.coalesce(F.col("hdr"), F.lit(False)).alias("hdr"))
+    rest = lines.filter(F.col("blk") != 0).select("file", "blk", "ord", "line", F.lit(False).alias("hdr"))
+    return marked.unionByName(rest)
 
 
 def file_manifest(names: DataFrame, col: str = "file") -> DataFrame:
