@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrel.operators.load import align_schema, canon_columns, coerce_types, load_new_files
 from kestrel.schema import AUDIT_COLUMNS, AUDIT_LOG_SCHEMA
+from kestrel.session import path_exists
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "false"}
 
@@ -64,9 +65,9 @@ def load_folder(spark: SparkSession, folder: str, table_path: str, manifest_path
     Returns the rows appended in this call.
     """
     staged = read_staged(spark, folder)
-    try:
+    if path_exists(spark, manifest_path):
         manifest = spark.read.parquet(manifest_path)
-    except Exception:  # first load: no manifest yet
+    else:  # first load: no manifest yet
         manifest = spark.createDataFrame([], "file string")
     new = load_typed(load_new_files(staged, manifest))
     append_log(new, table_path)
