@@ -93,9 +93,15 @@ def ship_package(spark: SparkSession) -> None:
         for p in root.rglob("*.py"):
             z.write(p, f"kestrel/{p.relative_to(root)}")
     target = scratch_dir(spark, "pyfiles") + "/kestrel.zip"
-    local = target.replace("file:", "")
-    pathlib.Path(local).parent.mkdir(parents=True, exist_ok=True)
-    pathlib.Path(local).write_bytes(buf.getvalue())
+    # Written through the Hadoop file system of the shared folder (local,
+    # HDFS or an object store alike).
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
 
