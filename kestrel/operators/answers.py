@@ -126,20 +126,28 @@ def recent_context(conv: DataFrame, turns: int = CONTEXT_TURNS, max_chars: int =
     assistant row before the next user row. Bullets ``- User: ...`` and
     ``- Answer: ...`` (empty texts skipped) are kept while the running total of
     (length + 1) stays within ``max_chars``. The last pairs are picked with a
-    per-conversation top-k, so a long conversation never lands whole in one task.
+    per-conversation top-k, and answers are matched to them by an equi-join on
+    (conv_id, owning user turn), so a long conversation never lands whole in
+    one task.
     """
     c = conv.filter(F.col("role").isin("user", "assistant"))
     users = c.filter(F.col("role") == "user")
     w_desc = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    last = users.withColumn("k", F.row_number().over(w_desc)).filter(F.col("k") <= turns)
-    nxt = last.withColumn("next_turn", F.lag("turn", 1).over(w_desc))
+    last = users.withColumn("k", F.row_number().over(w_desc)).filter(F.col("k") <= turns) \
+        .select("conv_id", "turn", "text")
+    # One row per conversation: its (at most ``turns``) last user turns.
+    marks = last.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("uturns"))
     a = c.filter(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("a_turn"),
                                                       F.col("text").alias("a_text"))
-    cond = ((nxt.conv_id == a.conv_id) & (a.a_turn > nxt.turn)
-            & (nxt.next_turn.isNull() | (a.a_turn < nxt.next_turn)))
-    paired = (nxt.join(a, cond, "left")
-              .groupBy(nxt.conv_id, nxt.turn, nxt.text)
-              .agg(F.min_by("a_text", "a_turn").alias("answer")))
+    # Each assistant row belongs to the closest earlier user turn; only rows
+    # after the first of the last user turns can answer one of them. The
+    # inner equi-join on conv_id lets AQE split a very long conversation.
+    owner = F.array_max(F.filter("uturns", lambda u: u < F.col("a_turn")))
+    answers = (a.join(marks, "conv_id")
+               .filter(F.col("a_turn") > F.element_at("uturns", 1))
+               .select("conv_id", owner.alias("turn"), "a_turn", "a_text")
+               .groupBy("conv_id", "turn").agg(F.min_by("a_text", "a_turn").alias("answer")))
+    paired = last.join(answers, ["conv_id", "turn"], "left")
     bullets = paired.select(
         "conv_id",
         F.explode(F.array(
