@@ -62,10 +62,6 @@ def split_pipes_quoted(line: Column) -> Column:
     return F.transform(split_cells(protect_quoted(line)), unprotect)
 
 
-def trim_cells(cells: Column) -> Column:
-    return F.transform(cells, jtrim)
-
-
 def coerce_nine(cells: Column, n: Column | None = None) -> Column:
     """Force an array of cells to exactly nine.
 

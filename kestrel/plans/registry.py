@@ -188,10 +188,6 @@ def _top(n: int, window: tuple[str, str] | None = None) -> str:
                     f"ORDER BY events DESC, recipe_id ASC NULLS FIRST, recipe_name ASC NULLS FIRST LIMIT {n}")
 
 
-def _ts20() -> str:
-    return _COLS20
-
-
 def build_oracle() -> dict[str, str]:
     kw, n = P["kw"], P["n"]
     parsed_cols = ", ".join(f"COALESCE({c}, '') AS {c}" for c in PARSED_STRINGS)
