@@ -25,23 +25,29 @@ def _run(spark, sf):
         folder = scratch_dir(spark, "stream_src")
         write_line_files(audit_lines(spark, sf), folder)
         out = scratch_dir(spark, "stream_out")
-        q = W.stream_ingest(spark, folder, out, scratch_dir(spark, "stream_ckpt"), scratch_dir(spark, "stream_stage"))
-        _RUNS[key] = (folder, out, q)
+        stage = scratch_dir(spark, "stream_stage")
+        q = W.stream_ingest(spark, folder, out, scratch_dir(spark, "stream_ckpt"), stage)
+        _RUNS[key] = (folder, out, q, stage)
     return _RUNS[key]
 
 
 def q_stream_ingest(spark, sf):
-    _, out, _ = _run(spark, sf)
+    _, out, _, _ = _run(spark, sf)
     return ntz(spark.read.parquet(out).select(*AUDIT_COLUMNS))
 
 
 def q_stream_metrics(spark, sf):
-    _, _, q = _run(spark, sf)
+    _, _, q, _ = _run(spark, sf)
     return W.stream_metrics(spark, q).select("input_rows")
 
 
+def q_stream_batch_metrics(spark, sf):
+    _, _, _, stage = _run(spark, sf)
+    return W.batch_metrics(spark, stage).select("rows_written", "sessions", "repaired_rows")
+
+
 def q_live_sessions(spark, sf):
-    folder, _, _ = _run(spark, sf)
+    folder, _, _, _ = _run(spark, sf)
     # A live feed has no file position: order by the record's sequence id
     # (the ID cell), falling back to its audit time.
     lines = W.stream_lines(spark, folder, 1).withColumn("ord", F.lit(0).cast("bigint")) \
@@ -59,10 +65,14 @@ def q_live_sessions(spark, sf):
 QUERIES = {
     "stream_ingest": q_stream_ingest,
     "stream_metrics": q_stream_metrics,
+    "stream_batch_metrics": q_stream_batch_metrics,
     "live_sessions": q_live_sessions,
 }
 
 ORACLE = {
     "stream_ingest": with_log(f"SELECT {', '.join(AUDIT_COLUMNS)} FROM audit_log"),
     "stream_metrics": with_log("SELECT COUNT(*) + 1 AS input_rows FROM rows1 GROUP BY file"),
+    "stream_batch_metrics": with_log(
+        "SELECT COUNT(*) AS rows_written, COUNT(session_duration) AS sessions, COUNT(reason) AS repaired_rows "
+        "FROM audit_log GROUP BY file"),
 }

@@ -10,7 +10,7 @@ comes from the query's progress reports.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.operators.load import to_audit_log
@@ -54,8 +54,18 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out: str
     parsed_path = f"{stage}/parsed/batch_id={batch_id}"
     parse_log(lines).write.mode("overwrite").parquet(parsed_path)
     typed = to_audit_log(pair_sessions(spark.read.parquet(parsed_path)))
-    (typed.sortWithinPartitions("audit_month", "audit_time")
+    obs = Observation(f"batch_{batch_id}")
+    observed = typed.observe(obs, F.count(F.lit(1)).alias("rows_written"),
+                             F.count("session_duration").alias("sessions"),
+                             F.count("reason").alias("repaired_rows"))
+    (observed.sortWithinPartitions("audit_month", "audit_time")
      .write.mode("overwrite").partitionBy("audit_month").parquet(f"{out}/batch_id={batch_id}"))
+    # One metrics row per epoch, overwritten on a retry of the same epoch.
+    m = obs.get
+    spark.createDataFrame(
+        [(int(batch_id), int(m["rows_written"]), int(m["sessions"]), int(m["repaired_rows"]))],
+        "batch_id bigint, rows_written bigint, sessions bigint, repaired_rows bigint",
+    ).write.mode("overwrite").parquet(f"{stage}/metrics/batch_id={batch_id}")
 
 
 def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, stage: str,
@@ -70,6 +80,11 @@ def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, s
     return q
 
 
+def batch_metrics(spark: SparkSession, stage: str) -> DataFrame:
+    """Rows written, sessions and repaired rows per micro-batch (from Observations)."""
+    return spark.read.parquet(f"{stage}/metrics")
+
+
 def stream_metrics(spark: SparkSession, query) -> DataFrame:
     """Rows read per micro-batch from the query's progress reports."""
     rows = [(int(p["batchId"]), int(p["numInputRows"])) for p in query.recentProgress if p["numInputRows"] > 0]
