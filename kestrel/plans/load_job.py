@@ -1,26 +1,42 @@
 """The batch load job: raw line folder -> typed, month-partitioned log table.
 
-scan (staged once: line ids depend on the split layout) -> parse (narrow) ->
-stage the parsed rows (read twice by pairing) -> pair sessions -> typed rows
--> Parquet partitioned by ``audit_month``. Every intermediate lives in the
-shared folder, so a lost executor re-runs only its own tasks.
+One pass over the raw text: every non-empty line is parsed (narrow) straight
+from the scan and the parsed rows are staged once; their (split offset, row
+id) order key is fixed by that single scan. Header lines (the first line of
+each file) are then removed from the staged rows, sessions are paired, and
+the typed rows are written as Parquet partitioned by ``audit_month``. Every
+intermediate lives in the shared folder, so a lost executor re-runs only its
+own tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kestrel.operators.load import to_audit_log
 from kestrel.operators.parse import parse_log
 from kestrel.operators.sessions import pair_sessions
 from kestrel.plans.catalog import write_audit_log
 from kestrel.session import scratch_dir
-from kestrel.sources.lines import scan_lines
+from kestrel.sources.lines import BROADCAST_FILES_MAX
 
 
 def load_raw_folder(spark: SparkSession, folder: str, table_path: str) -> DataFrame:
-    lines = scan_lines(spark, folder, scratch_dir(spark, "lines_stage"))
+    raw = spark.read.option("basePath", folder).text(folder)
+    name = F.col("file") if "file" in raw.columns else F.url_decode(F.col("_metadata.file_name"))
+    lines = raw.select(name.alias("file"), F.col("_metadata.file_block_start").alias("blk"),
+                       F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"),
+                       F.lit(False).alias("hdr"))
     parsed_path = scratch_dir(spark, "parsed_stage")
     parse_log(lines).write.mode("overwrite").parquet(parsed_path)
-    write_audit_log(to_audit_log(pair_sessions(spark.read.parquet(parsed_path))), table_path)
+    parsed = spark.read.parquet(parsed_path)
+    # The header is the first staged row of each file; only first splits (blk = 0)
+    # can hold it. The per-file table is broadcast only under a checked file count.
+    head = parsed.filter(F.col("blk") == 0)
+    first = head.groupBy("file").agg(F.min("ord").alias("ord"))
+    if len(raw.inputFiles()) <= BROADCAST_FILES_MAX:
+        first = F.broadcast(first)
+    body = head.join(first, ["file", "ord"], "left_anti").unionByName(parsed.filter(F.col("blk") != 0))
+    write_audit_log(to_audit_log(pair_sessions(body)), table_path)
     return spark.read.parquet(table_path)
