@@ -22,21 +22,30 @@ from kestrel.session import scratch_dir
 from kestrel.sources.lines import BROADCAST_FILES_MAX
 
 
-def load_raw_folder(spark: SparkSession, folder: str, table_path: str) -> DataFrame:
-    raw = spark.read.option("basePath", folder).text(folder)
-    name = F.col("file") if "file" in raw.columns else F.url_decode(F.col("_metadata.file_name"))
-    lines = raw.select(name.alias("file"), F.col("_metadata.file_block_start").alias("blk"),
-                       F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"),
-                       F.lit(False).alias("hdr"))
-    parsed_path = scratch_dir(spark, "parsed_stage")
-    parse_log(lines).write.mode("overwrite").parquet(parsed_path)
+def parse_staged(spark: SparkSession, lines: DataFrame, parsed_path: str, n_files: int) -> DataFrame:
+    """Parse (file, blk, line) rows in one pass, stage them, and drop each file's header.
+
+    Row ids are assigned in the same pass that writes the stage, so the order
+    key (blk, ord) is fixed once. The header is the first staged row of each
+    file; only first splits (blk = 0) can hold it, and the per-file table is
+    broadcast only when the file count is under a checked bound.
+    """
+    with_ids = lines.select("file", "blk", F.monotonically_increasing_id().alias("ord"), "line",
+                            F.lit(False).alias("hdr"))
+    parse_log(with_ids).write.mode("overwrite").parquet(parsed_path)
     parsed = spark.read.parquet(parsed_path)
-    # The header is the first staged row of each file; only first splits (blk = 0)
-    # can hold it. The per-file table is broadcast only under a checked file count.
     head = parsed.filter(F.col("blk") == 0)
     first = head.groupBy("file").agg(F.min("ord").alias("ord"))
-    if len(raw.inputFiles()) <= BROADCAST_FILES_MAX:
+    if n_files <= BROADCAST_FILES_MAX:
         first = F.broadcast(first)
-    body = head.join(first, ["file", "ord"], "left_anti").unionByName(parsed.filter(F.col("blk") != 0))
+    return head.join(first, ["file", "ord"], "left_anti").unionByName(parsed.filter(F.col("blk") != 0))
+
+
+def load_raw_folder(spark: SparkSession, folder: str, table_path: str) -> DataFrame:
+    raw = spark.read.option("basePath", folder).text(folder)
+    name = F.col("file") if "file" in raw.columns else F.url_decode(F.col("_metadata.file_name"))
+    lines = raw.select(name.alias("file"), F.col("_metadata.file_block_start").alias("blk"),
+                       F.col("value").alias("line"))
+    body = parse_staged(spark, lines, scratch_dir(spark, "parsed_stage"), len(raw.inputFiles()))
     write_audit_log(to_audit_log(pair_sessions(body)), table_path)
     return spark.read.parquet(table_path)

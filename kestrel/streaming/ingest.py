@@ -2,8 +2,8 @@
 
 New files are picked up once, in bounded bites (``maxFilesPerTrigger``); a
 micro-batch holds whole files, so session pairing inside it is exact. Each
-batch is staged once (its line ids depend on the split layout), parsed,
-paired and appended under ``batch_id=<n>`` with overwrite, so a retried
+batch is parsed in the same pass that stages it (its line ids depend on the
+split layout), paired and appended under ``batch_id=<n>`` with overwrite, so a retried
 epoch replaces its own output instead of duplicating it. Progress per batch
 comes from the query's progress reports.
 """
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.operators.load import to_audit_log
-from kestrel.operators.parse import parse_log
 from kestrel.operators.sessions import pair_sessions
 
 FILES_PER_TRIGGER = 1
@@ -42,18 +41,12 @@ def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = FILE
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out: str, stage: str) -> None:
     """P16 -> J1 -> S10 for one micro-batch of whole files."""
-    staged_path = f"{stage}/batch_id={batch_id}"
-    (batch.withColumn("ord", F.monotonically_increasing_id()).filter(F.col("line") != "")
-     .write.mode("overwrite").parquet(staged_path))
-    lines = spark.read.parquet(staged_path)
-    # One row per file of the micro-batch (bounded by maxFilesPerTrigger).
-    first = (lines.filter(F.col("blk") == 0).groupBy("file").agg(F.min("ord").alias("ord"))
-             .withColumn("hdr", F.lit(True)))
-    lines = (lines.join(F.broadcast(first), ["file", "ord"], "left")
-             .select("file", "blk", "ord", "line", F.coalesce(F.col("hdr"), F.lit(False)).alias("hdr")))
-    parsed_path = f"{stage}/parsed/batch_id={batch_id}"
-    parse_log(lines).write.mode("overwrite").parquet(parsed_path)
-    typed = to_audit_log(pair_sessions(spark.read.parquet(parsed_path)))
+    from kestrel.plans.load_job import parse_staged
+
+    # The header table has one row per file of the micro-batch, a count bounded
+    # by maxFilesPerTrigger, so it is always broadcast (file count passed as 0).
+    body = parse_staged(spark, batch, f"{stage}/parsed/batch_id={batch_id}", 0)
+    typed = to_audit_log(pair_sessions(body))
     obs = Observation(f"batch_{batch_id}")
     observed = typed.observe(obs, F.count(F.lit(1)).alias("rows_written"),
                              F.count("session_duration").alias("sessions"),
