@@ -43,10 +43,16 @@ def _ts(s: str) -> Column:
     return F.lit(s).cast("timestamp")
 
 
+def _last_month(b: str) -> str:
+    """``YYYY-MM`` of the last instant before the exclusive bound ``b``."""
+    end = _dt.datetime.fromisoformat(b.replace("T", " ").replace("Z", ""))
+    return (end - _dt.timedelta(microseconds=1)).strftime("%Y-%m")
+
+
 def window_pred(a: str, b: str) -> Column:
     """audit_time in [a, b) plus the implied partition predicate on audit_month."""
     cond = (F.col("audit_time") >= _ts(a)) & (F.col("audit_time") < _ts(b))
-    return cond & (F.col("audit_month") >= F.lit(a[:7])) & (F.col("audit_month") <= F.lit(b[:7]))
+    return cond & (F.col("audit_month") >= F.lit(a[:7])) & (F.col("audit_month") <= F.lit(_last_month(b)))
 
 
 def hours(c: Column | None = None) -> Column:
