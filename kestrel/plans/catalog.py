@@ -92,8 +92,3 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _memo(spark, "audit_log", sf_dir, lambda p: write_audit_log(
         to_audit_log(pair_sessions(parsed_table(spark, sf_dir))), p))
     return spark.read.parquet(path)
-
-
-def month_filter(a_ts: str, b_ts: str):
-    """Partition predicate implied by ``audit_time`` in [a, b) (prunes ``audit_month``)."""
-    return (F.col("audit_month") >= F.lit(a_ts[:7])) & (F.col("audit_month") <= F.lit(b_ts[:7]))
