@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kestrel.session import scratch_dir
 
@@ -28,8 +29,8 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, text_col: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cut an Arrow batch into runs of rows whose texts hold about SLICE_BYTES (one row at least)."""
+def slices(batch: pa.RecordBatch, text_col: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut an Arrow batch into runs of rows whose texts hold about ``limit`` bytes (one row at least)."""
     n = batch.num_rows
     if n == 0:
         return
@@ -38,7 +39,7 @@ def slices(batch: pa.RecordBatch, text_col: int = 1) -> Iterator[pa.RecordBatch]
     start = 0
     while start < n:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -75,3 +76,22 @@ def mix32(x: np.ndarray) -> np.ndarray:
     x *= np.uint32(0x846CA68B)
     x ^= x >> np.uint32(16)
     return x
+
+
+def ddl(df: DataFrame, cols: list[str]) -> str:
+    """The columns of ``df`` as a schema string."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+
+
+def id_text(c: str) -> Column:
+    """An id as text; a null id counts as the empty text."""
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """All rows when there are at most ``rows``, else those whose hashed key is below the share that
+    leaves about ``rows``. The same rows every time, whatever the partitioning."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(rows / n * (1 << 30)))

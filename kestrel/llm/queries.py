@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import bpe
+from kestrel.llm import bpe, langid
 from kestrel.llm.common import table
 from kestrel.session import ship_package
 
@@ -17,7 +17,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), BPE_FILE)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.fit_documents(docs), ["doc_id"])
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op3_langid": op3_langid,
     "op10_bpe": op10_bpe,
 }
 
