@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import bpe, langid, mixing
+from kestrel.llm import bpe, langid, mixing, quality
 from kestrel.llm.common import table
 from kestrel.session import ship_package
 
@@ -28,12 +28,18 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("lost_chars")
+
+
 QUERIES = {
+    "op5_quality": op5_quality,
     "op9_mix": op9_mix,
     "op3_langid": op3_langid,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE = {
+    "op5_quality": quality.QUALITY_SQL,
     "op9_mix": mixing.MIX_SQL,
 }
