@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import bpe, langid, mixing, quality
+from kestrel.llm import bpe, langid, minhash, mixing, quality
 from kestrel.llm.common import table
 from kestrel.session import ship_package
 
@@ -32,7 +32,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("lost_chars")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_near_dedup": op8_near_dedup,
     "op5_quality": op5_quality,
     "op9_mix": op9_mix,
     "op3_langid": op3_langid,
@@ -41,5 +47,6 @@ QUERIES = {
 
 ORACLE = {
     "op5_quality": quality.QUALITY_SQL,
+    "op8_near_dedup": minhash.NEAR_SQL,
     "op9_mix": mixing.MIX_SQL,
 }
