@@ -78,6 +78,56 @@ def mix32(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
+_WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    out = np.full(n, base, dtype=np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class WordHashes:
+    """Words of a whole Arrow text column at once: their places, and hashes of any of their parts.
+
+    ``in_word`` says which bytes belong to words (A-Z are lower-cased first). A running polynomial
+    sum over the bytes gives the hash of any span from two of its values.
+    """
+
+    def __init__(self, in_word: np.ndarray) -> None:
+        self.in_word = in_word
+        self._pow = self._inv = np.zeros(0, np.uint64)
+
+    def load(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end of every word, offsets of the texts' words)."""
+        data, off = text_bytes(col)
+        n = len(data)
+        if len(self._pow) < n:
+            inverse = np.uint64(pow(int(_BYTE_BASE), -1, 1 << 64))
+            self._pow, self._inv = powers(_BYTE_BASE, n), powers(inverse, n)
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        word = self.in_word[data]
+        first = np.zeros(n + 1, bool)
+        first[off] = True
+        start, end = word.copy(), word.copy()
+        start[1:] &= ~word[:-1] | first[1:n]
+        end[:-1] &= ~word[1:] | first[1:n]
+        s, e = np.nonzero(start)[0], np.nonzero(end)[0] + 1
+        self._run = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._pow[:n], out=self._run[1:])
+        return s, e, np.searchsorted(s, off)
+
+    def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the spans from s to e (end excluded)."""
+        if not len(s):
+            return np.zeros(0, np.uint64)
+        total = (self._run[e] - self._run[s]) * self._inv[s]
+        return mix64(total + (e - s).astype(np.uint64) * _WORD_BASE)
+
+
 def ddl(df: DataFrame, cols: list[str]) -> str:
     """The columns of ``df`` as a schema string."""
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import mix32, mix64, slices, staged, text_bytes
+from kestrel.llm.common import WordHashes, mix32, mix64, powers, slices, staged
 from kestrel.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -50,49 +50,21 @@ SLICE = 1 << 20
 
 _U64 = np.uint64
 _BYTE_BASE, _WORD_BASE = _U64(0x9E3779B97F4A7C15), _U64(0xC2B2AE3D27D4EB4F)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+# Every byte but the ASCII blanks belongs to a word.
+IN_WORD = ~np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 class Shingler:
     """Shingle sets of the texts of an Arrow column, as sorted 64-bit hashes per text."""
 
     def __init__(self) -> None:
-        self._pow = self._inv = np.zeros(0, np.uint64)
-
-    def _tables(self, n: int) -> None:
-        if len(self._pow) < n:
-            inverse = _U64(pow(int(_BYTE_BASE), -1, 1 << 64))
-            self._pow, self._inv = _powers(_BYTE_BASE, n), _powers(inverse, n)
-
-    def words(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of every word, offsets of the texts' words)."""
-        data, off = text_bytes(col)
-        n = len(data)
-        self._tables(n)
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-        word = ~((data == 32) | ((data >= 9) & (data <= 13)))
-        first = np.zeros(n + 1, bool)
-        first[off] = True
-        start = word.copy()
-        start[1:] &= ~word[:-1] | first[1:n]
-        end = word.copy()
-        end[:-1] &= ~word[1:] | first[1:n]
-        s, e = np.nonzero(start)[0], np.nonzero(end)[0]
-        run = np.cumsum((data.astype(np.uint64) + _U64(1)) * self._pow[:n])
-        total = run[e] - np.where(s > 0, run[s - 1], _U64(0))
-        hashes = mix64(total * self._inv[s] + (e - s).astype(np.uint64) * _WORD_BASE)
-        return hashes, np.searchsorted(s, off)
+        self.hasher = WordHashes(IN_WORD)
 
     def sets(self, col: pa.Array) -> Iterator[np.ndarray]:
-        w, off = self.words(col)
+        start, end, off = self.hasher.load(col)
+        w = self.hasher.hashes(start, end)
         k = SHINGLE_WORDS
-        base = _powers(_WORD_BASE, k)
+        base = powers(_WORD_BASE, k)
         win = np.zeros(max(0, len(w) - k + 1), np.uint64)
         for i in range(k):
             win += w[i: i + len(win)] * base[i]
@@ -119,8 +91,8 @@ class Signer:
     def __init__(self) -> None:
         self.shift = np.arange(COORDINATES, dtype=np.uint32)[:, None]
         self.choice = band_choice()
-        self.weight = _powers(_BYTE_BASE, BAND_COORDINATES + 1)[1:]
-        self.tag = _powers(_WORD_BASE, BANDS + 1)[1:]
+        self.weight = powers(_BYTE_BASE, BAND_COORDINATES + 1)[1:]
+        self.tag = powers(_WORD_BASE, BANDS + 1)[1:]
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         place = (mix64(shingles) >> _U64(32)).astype(np.uint32)

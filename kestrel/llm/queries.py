@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, langid, minhash, mixing, quality
+from kestrel.llm import bpe, langid, minhash, mixing, quality, toxicity
 from kestrel.llm.common import table
 from kestrel.session import ship_package
 
@@ -37,7 +38,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, chain, ["doc_id"])
+    return out.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op8_near_dedup": op8_near_dedup,
     "op5_quality": op5_quality,
     "op9_mix": op9_mix,
