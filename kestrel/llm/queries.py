@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, langid, minhash, mixing, quality, toxicity
+from kestrel.llm import bpe, langid, minhash, mixing, quality, toxicity, urls, warc
 from kestrel.llm.common import table
-from kestrel.session import ship_package
+from kestrel.session import scratch_dir, ship_package
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -46,7 +46,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    folder = scratch_dir(spark, "warc")
+    warc.write_archive(warc.plan_records(table(spark, sf_dir, "pages")), folder)
+    return warc.digest_records(warc.read_archive(spark, folder))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.labelled_urls(pages, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op6_urls": op6_urls,
+    "op4_warc": op4_warc,
     "op1_toxicity": op1_toxicity,
     "op8_near_dedup": op8_near_dedup,
     "op5_quality": op5_quality,
@@ -56,6 +70,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_warc": warc.WARC_SQL,
     "op5_quality": quality.QUALITY_SQL,
     "op8_near_dedup": minhash.NEAR_SQL,
     "op9_mix": mixing.MIX_SQL,
