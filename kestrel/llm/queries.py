@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, langid, minhash, mixing, quality, toxicity, urls, warc
+from kestrel.llm import ann, bpe, langid, minhash, mixing, quality, toxicity, urls, warc
 from kestrel.llm.common import table
 from kestrel.session import scratch_dir, ship_package
 
@@ -58,7 +58,13 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES = {
+    "op2_ann": op2_ann,
     "op6_urls": op6_urls,
     "op4_warc": op4_warc,
     "op1_toxicity": op1_toxicity,
