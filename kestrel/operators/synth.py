@@ -1,20 +1,25 @@
-"""Question / SQL pair synthesis as a Spark job.
-
-A fixed-size plan of rows (one per pair) is built with ``spark.range``; each
-row gets a category by cumulative weight (T2), a template variant and its
-parameters by a seeded integer hash of (row, slot) (T3), and the question and
-SQL text by string concatenation (T1). Parameters are drawn from the log
-itself: keyword stems of recipe names, usernames and calendar months. Splits
-are by hash order (T4) or by pattern (T5); T6 reports leaks, T7 runs the SQL
-guard, T8 builds the nested record written as JSONL.
-
-The hash is plain BIGINT arithmetic so that DuckDB reproduces it exactly;
-Python's random sequence is not reproduced.
+"""Question / SQL pair synthesis as a Spark job, generated from a catalogue of reports.
+
+Each catalogue entry says what a report measures, its fixed conditions and
+which slots (keyword, user, period, row limit) it takes. Question, SQL and
+system text are all rendered from these entries, so a new report is one more
+entry. A fixed-size plan of rows is built with ``spark.range``; a row gets a
+category by cumulative weight (T2) and its report and slot values by seeded
+MD5 digits of (row, slot) (T3), which vary independently of each other and
+which DuckDB repeats exactly. Slot values come from the log itself: keyword
+stems of recipe names, usernames and calendar months.
+
+A slot without any value (an empty log) leaves its condition out. Values are
+quoted and, in patterns, escaped. Splits are by hash order (T4) or by report
+(T5: no report on both sides); T6 reports leaks, T7 runs the SQL guard, T8
+builds the nested record written as JSONL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.sqltext import guard_sql
@@ -32,130 +37,171 @@ CATEGORIES = [
     ("hard_combos", 4000),
     ("edge_no_match", 2000),
 ]
-# Limit choices of the row-listing and top-n templates.
-LATEST_LIMITS = [50, 100, 200]
-TOP_LIMITS = [10, 20, 50]
-SYSTEM_TEXT = ("Return exactly one read-only SQL statement. Match text case-insensitively with ILIKE. "
-               "Time is SUM(session_duration); count recipes with COUNT(DISTINCT recipe_id); "
-               "sum time only where COALESCE(session_duration,0) > 0.")
 ENGINE = "spark"
 TABLE = "audit_log"
 
-_HASH_MUL, _SLOT_MUL, _SEED_MUL, _MOD = 1000003, 7919, 104729, 2147483647
 
+@dataclass(frozen=True)
+class Report:
+    """One catalogue entry: ``slots`` are filled in the order of SLOTS."""
+
+    name: str
+    categories: tuple[str, ...]
+    title: str
+    select: str
+    where: tuple[str, ...]
+    slots: tuple[str, ...]
+    tail: str = ""
+
+
+HAS_ID = "recipe_id <> ''"
+WORKED = "session_duration > 0"
+REPORTS = [
+    Report("total_time_keyword", ("basic_agg_time_or_count",), "Session time as seconds and as hours",
+           "SUM(session_duration) AS total_seconds, SUM(session_duration) / 3600.0 AS total_hours", (WORKED,), ("kw",)),
+    Report("count_recipes_keyword", ("basic_agg_time_or_count", "text_filters_case_ins"), "Number of recipe ids",
+           "COUNT(DISTINCT recipe_id) AS unique_recipes", (HAS_ID,), ("kw",)),
+    Report("count_users", ("basic_agg_time_or_count",), "Number of user ids",
+           "COUNT(DISTINCT user_id) AS users", ("user_id <> ''",), ()),
+    Report("latest_recipe_rows", ("text_filters_case_ins",), "Worked log rows of type recipe, latest first", "*",
+           ("LOWER(TRIM(type)) = 'recipe'", WORKED), ("limit",), "ORDER BY audit_time DESC NULLS LAST, id"),
+    Report("list_recipe_names", ("text_filters_case_ins",), "Recipe names in order",
+           "DISTINCT TRIM(recipe_name) AS recipe_name", ("recipe_name <> ''",), ("kw",), "ORDER BY recipe_name"),
+    Report("top_recipes_events_window", ("time_windows",), "Recipes by number of log rows",
+           "recipe_id, recipe_name, COUNT(*) AS events", (HAS_ID,), ("window", "limit"),
+           "GROUP BY recipe_id, recipe_name ORDER BY events DESC, recipe_id, recipe_name"),
+    Report("hours_window", ("time_windows",), "Session hours", "SUM(session_duration) / 3600.0 AS total_hours",
+           (WORKED,), ("window",)),
+    Report("top_recipes_events", ("group_topn",), "Recipes by number of log rows, whole log",
+           "recipe_id, recipe_name, COUNT(*) AS events", (HAS_ID,), ("limit",),
+           "GROUP BY recipe_id, recipe_name ORDER BY events DESC, recipe_id, recipe_name"),
+    Report("top_users_hours", ("group_topn",), "Users by session hours",
+           "username, SUM(session_duration) / 3600.0 AS total_hours", ("username <> ''", WORKED), ("limit",),
+           "GROUP BY username ORDER BY total_hours DESC, username"),
+    Report("user_time_keyword", ("hard_combos",), "Session hours of one user",
+           "SUM(session_duration) / 3600.0 AS total_hours", (WORKED,), ("user", "kw", "window")),
+    Report("user_recipes", ("hard_combos",), "Recipe ids one user worked on", "DISTINCT recipe_id", (HAS_ID, WORKED),
+           ("user", "window", "limit"), "ORDER BY recipe_id"),
+    Report("list_recipes_nomatch", ("edge_no_match",), "Recipe ids and names under a name that does not occur",
+           "DISTINCT recipe_id, recipe_name", (HAS_ID,), ("absent",), "ORDER BY recipe_id, recipe_name"),
+]
+# Every slot in the order its condition is written: wording in the question, condition in the SQL.
+# {0} and {1} are the slot's values; the SQL of a pattern takes the escaped value.
+SLOTS = {
+    "user": ("user name is '{0}'", "username = '{0}'"),
+    "kw": ("recipe name contains '{0}'", "recipe_name ILIKE '%{0}%'"),
+    "absent": ("recipe name contains '{0}??'", "recipe_name ILIKE '%{0}??%'"),
+    "window": ("audit time from {0} up to, not including, {1}", "audit_time >= '{0}' AND audit_time < '{1}'"),
+    "limit": ("at most {0} rows", None),
+}
+LIMITS = [10, 20, 50, 100, 200]
+
+
+def system_text() -> str:
+    """What the catalogue can answer, and the conventions its SQL follows."""
+    titles = sorted({r.title for r in REPORTS})
+    return (f"{ENGINE} SQL over the table {TABLE}; one SELECT per question. Measures: " + "; ".join(titles)
+            + f". Conditions: {'; '.join(sql for _, sql in SLOTS.values() if sql)}.")
 
-def slot_hash(row_id: Column, slot: int) -> Column:
-    """Seeded BIGINT hash of (row, slot), non-negative."""
-    x = row_id.cast("bigint") * _HASH_MUL + slot * _SLOT_MUL + SEED * _SEED_MUL
-    return F.pmod(x, F.lit(_MOD))
 
+def slot_digits(row_id: Column, slot: int) -> Column:
+    """Seeded 32-bit number of (row, slot), unrelated between slots."""
+    key = F.concat_ws("|", F.lit(str(SEED)), row_id.cast("string"), F.lit(str(slot)))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
-def indexed(df: DataFrame, value_cols: list[str], idx: str) -> DataFrame:
-    """Dense 0-based index in sort order (distributed: per-partition counts + offsets)."""
-    s = df.orderBy(*value_cols)
-    return s.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],)).toDF(s.columns + [idx])
+
+def indexed(df: DataFrame, col: str, idx: str) -> DataFrame:
+    """Dense 0-based index of distinct values, in (MD5 block, value) order; each of the 256 blocks is
+    numbered by itself and shifted by the sizes of the earlier ones."""
+    b = df.withColumn("_b", F.substring(F.md5(F.col(col).cast("string")), 1, 2))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = b.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
+    within = F.row_number().over(Window.partitionBy("_b").orderBy(col))
+    return b.withColumn("_r", within).join(offs, "_b").select(*df.columns, (F.col("_o") + F.col("_r") - 1).alias(idx))
 
 
 def parameter_frames(log: DataFrame) -> dict[str, DataFrame]:
     kw = (log.filter(F.col("recipe_name").isNotNull())
           .select(F.regexp_replace(F.trim("recipe_name"), r"[\s0-9]+$", "").alias("kw"))
           .filter(F.col("kw") != "").distinct())
-    users = log.filter(F.col("username").isNotNull()).select("username").distinct()
+    users = log.filter(F.col("username").isNotNull()).select(F.col("username").alias("user")).distinct()
     months = (log.filter(F.col("audit_time").isNotNull())
               .select(F.date_trunc("month", "audit_time").cast("date").alias("m0")).distinct()
               .select(F.date_format("m0", "yyyy-MM-dd").alias("win_a"),
                       F.date_format(F.add_months("m0", 1), "yyyy-MM-dd").alias("win_b")))
-    return {"kw": indexed(kw, ["kw"], "kw_i"), "user": indexed(users, ["username"], "user_i"),
-            "win": indexed(months, ["win_a"], "win_i")}
+    return {"kw": indexed(kw, "kw", "kw_i"), "user": indexed(users, "user", "user_i"),
+            "win": indexed(months, "win_a", "win_i")}
 
 
 def category_plan(spark: SparkSession) -> DataFrame:
     """Row ids 0..N-1 with a category by cumulative weight (padded with the last)."""
-    r = spark.range(N_TOTAL).withColumnRenamed("id", "row_id")
-    cat = F.lit(CATEGORIES[-1][0])
-    bound = 0
-    conds = []
-    for name, w in CATEGORIES:
-        bound += w
-        conds.append((F.col("row_id") < bound, name))
-    expr = None
-    for c, name in conds:
-        expr = F.when(c, F.lit(name)) if expr is None else expr.when(c, F.lit(name))
-    return r.withColumn("category", expr.otherwise(cat))
+    cat, bound = F.lit(CATEGORIES[-1][0]), sum(w for _, w in CATEGORIES)
+    for name, w in reversed(CATEGORIES):
+        cat = F.when(F.col("row_id") < bound, F.lit(name)).otherwise(cat)
+        bound -= w
+    return spark.range(N_TOTAL).withColumnRenamed("id", "row_id").withColumn("category", cat)
+
+
+def of_category(category: str) -> list[Report]:
+    return [r for r in REPORTS if category in r.categories]
 
 
 def sample_pairs(spark: SparkSession, log: DataFrame) -> DataFrame:
-    """T1+T3: one (category, template, user_query, gold_sql) per plan row."""
+    """T1+T3: one (row_id, category, template, user_query, gold_sql) per plan row."""
     p = parameter_frames(log)
-    n_kw = p["kw"].count()
-    n_user = p["user"].count()
-    n_win = p["win"].count()
-    plan = category_plan(spark)
-    rid = F.col("row_id")
-    coin = slot_hash(rid, 1) % 2
-    cat = F.col("category")
-    template = (F.when(cat == "basic_agg_time_or_count",
-                       F.when(coin == 0, F.lit("total_time_keyword")).otherwise(F.lit("count_recipes_keyword")))
-                .when(cat == "text_filters_case_ins",
-                      F.when(coin == 0, F.lit("latest_recipe_rows")).otherwise(F.lit("count_recipes_keyword")))
-                .when(cat == "time_windows", F.lit("top_recipes_events_window"))
-                .when(cat == "group_topn", F.lit("top_recipes_events"))
-                .when(cat == "hard_combos", F.lit("user_time_keyword"))
-                .otherwise(F.lit("list_recipes_nomatch")))
-    x = plan.select(
-        "row_id", "category", template.alias("template"),
-        (slot_hash(rid, 2) % max(n_kw, 1)).alias("kw_i"),
-        (slot_hash(rid, 3) % max(n_user, 1)).alias("user_i"),
-        (slot_hash(rid, 4) % max(n_win, 1)).alias("win_i"),
-        F.element_at(F.array(*[F.lit(v) for v in LATEST_LIMITS]),
-                     (slot_hash(rid, 5) % len(LATEST_LIMITS) + 1).cast("int")).alias("lim"),
-        F.element_at(F.array(*[F.lit(v) for v in TOP_LIMITS]),
-                     (slot_hash(rid, 6) % len(TOP_LIMITS) + 1).cast("int")).alias("top_n"),
-    )
-    x = (x.join(p["kw"], "kw_i", "left").join(p["user"], "user_i", "left").join(p["win"], "win_i", "left"))
+    plan, rid = category_plan(spark), F.col("row_id")
+    template = F.lit(None).cast("string")
+    for c, _ in CATEGORIES:
+        names = [r.name for r in of_category(c)]
+        pick = F.element_at(F.array(*[F.lit(n) for n in names]), (slot_digits(rid, 1) % len(names) + 1).cast("int"))
+        template = F.when(F.col("category") == c, pick).otherwise(template)
+    x = plan.withColumn("template", template)
+    for slot, (key, df) in enumerate(p.items(), start=2):
+        n = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias(f"{key}_n"))  # one row, attached to each plan row
+        x = x.crossJoin(n).withColumn(f"{key}_i", slot_digits(rid, slot) % F.col(f"{key}_n")).join(df, f"{key}_i", "left")
+    x = x.withColumn("limit", F.element_at(F.array(*[F.lit(str(v)) for v in LIMITS]),
+                                           (slot_digits(rid, 5) % len(LIMITS) + 1).cast("int")))
     return x.select("row_id", "category", "template", *_texts())
 
 
+def fill(pattern: str, *values: Column) -> Column:
+    """A pattern with {0}, {1} replaced; null if a value is null."""
+    out, rest = [], pattern
+    for i, v in enumerate(values):
+        head, _, rest = rest.partition("{%d}" % i)
+        out += [F.lit(head), v]
+    return F.concat(*out, F.lit(rest))
+
+
+def quoted(c: Column) -> Column:
+    return F.replace(c, F.lit("'"), F.lit("''"))
+
+
+def pattern_text(c: Column) -> Column:
+    """A value inside a LIKE pattern of a SQL literal: wildcards and backslashes lose their meaning."""
+    e = F.replace(c, F.lit("\\"), F.lit("\\\\\\\\"))
+    return quoted(F.replace(F.replace(e, F.lit("%"), F.lit("\\%")), F.lit("_"), F.lit("\\_")))
+
+
 def _texts() -> list[Column]:
-    t, kw, user = F.col("template"), F.col("kw"), F.col("username")
-    a, b = F.col("win_a"), F.col("win_b")
-    lim, n = F.col("lim").cast("string"), F.col("top_n").cast("string")
-    nz = "COALESCE(session_duration,0) > 0"
-    has_id = "recipe_id IS NOT NULL AND recipe_id <> ''"
-    q = (F.when(t == "total_time_keyword",
-                F.concat(F.lit("How much time was spent on "), kw, F.lit(" recipes, in seconds and hours?")))
-         .when(t == "count_recipes_keyword", F.concat(F.lit("How many distinct "), kw, F.lit(" recipes are there?")))
-         .when(t == "latest_recipe_rows",
-               F.concat(F.lit("Show the "), lim, F.lit(" newest recipe rows with a positive session duration.")))
-         .when(t == "top_recipes_events_window",
-               F.concat(F.lit("Top "), n, F.lit(" recipes by log events from "), a, F.lit(" to "), b, F.lit(".")))
-         .when(t == "top_recipes_events", F.concat(F.lit("Top "), n, F.lit(" recipes by log events overall.")))
-         .when(t == "user_time_keyword",
-               F.concat(F.lit("How many hours did "), user, F.lit(" spend on "), kw, F.lit(" recipes from "),
-                        a, F.lit(" to "), b, F.lit("?")))
-         .otherwise(F.concat(F.lit("List distinct recipes for keyword '"), kw, F.lit("??'."))))
-    top = lambda w: F.concat(
-        F.lit(f"SELECT recipe_id, recipe_name, COUNT(*) AS events FROM {TABLE} WHERE {has_id}"), w,
-        F.lit(" GROUP BY recipe_id, recipe_name ORDER BY events DESC LIMIT "), n, F.lit(";"))
-    s = (F.when(t == "total_time_keyword",
-                F.concat(F.lit("SELECT SUM(session_duration) AS total_seconds, SUM(session_duration)/3600.0 AS "
-                               f"total_hours FROM {TABLE} WHERE recipe_name ILIKE '%"), kw, F.lit(f"%' AND {nz};")))
-         .when(t == "count_recipes_keyword",
-               F.concat(F.lit(f"SELECT COUNT(DISTINCT recipe_id) AS unique_recipes FROM {TABLE} WHERE {has_id} "
-                              "AND recipe_name ILIKE '%"), kw, F.lit("%';")))
-         .when(t == "latest_recipe_rows",
-               F.concat(F.lit(f"SELECT * FROM {TABLE} WHERE trim(lower(type)) = 'recipe' AND {nz} "
-                              "ORDER BY audit_time DESC LIMIT "), lim, F.lit(";")))
-         .when(t == "top_recipes_events_window",
-               top(F.concat(F.lit(" AND audit_time >= '"), a, F.lit("' AND audit_time < '"), b, F.lit("'"))))
-         .when(t == "top_recipes_events", top(F.lit("")))
-         .when(t == "user_time_keyword",
-               F.concat(F.lit(f"SELECT SUM(session_duration)/3600.0 AS total_hours FROM {TABLE} WHERE username = '"),
-                        user, F.lit("' AND recipe_name ILIKE '%"), kw, F.lit(f"%' AND {nz} AND audit_time >= '"),
-                        a, F.lit("' AND audit_time < '"), b, F.lit("';")))
-         .otherwise(F.concat(F.lit(f"SELECT DISTINCT recipe_id, recipe_name FROM {TABLE} WHERE {has_id} "
-                                   "AND recipe_name ILIKE '%"), kw, F.lit("??%' ORDER BY recipe_id;"))))
-    return [q.alias("user_query"), s.alias("gold_sql")]
+    """Question and SQL of a row, chosen by its report."""
+    values = {"user": [F.col("user")], "kw": [F.col("kw")], "absent": [F.col("kw")],
+              "window": [F.col("win_a"), F.col("win_b")], "limit": [F.col("limit")]}
+    question = sql = F.lit(None).cast("string")
+    for r in REPORTS:
+        slots = [s for s in SLOTS if s in r.slots]
+        said = [fill(SLOTS[s][0], *values[s]) for s in slots]
+        cond = [F.lit(w) for w in r.where]
+        cond += [fill(SLOTS[s][1], *[pattern_text(v) if s in ("kw", "absent") else quoted(v) for v in values[s]])
+                 for s in slots if SLOTS[s][1]]
+        # array_join leaves out the conditions whose slot has no value.
+        q = F.concat_ws(": ", F.lit(r.title), F.nullif(F.array_join(F.array(*said), ", "), F.lit(""))) if said else F.lit(r.title)
+        s = F.concat(F.lit(f"SELECT {r.select} FROM {TABLE} WHERE "), F.array_join(F.array(*cond), " AND "),
+                     F.lit(" " + r.tail if r.tail else ""),
+                     F.concat(F.lit(" LIMIT "), F.col("limit")) if "limit" in r.slots else F.lit(""), F.lit(";"))
+        mine = F.col("template") == r.name
+        question, sql = F.when(mine, q).otherwise(question), F.when(mine, s).otherwise(sql)
+    return [question.alias("user_query"), sql.alias("gold_sql")]
 
 
 def random_split(pairs: DataFrame) -> DataFrame:
@@ -164,18 +210,21 @@ def random_split(pairs: DataFrame) -> DataFrame:
     The test set is a distributed top-k (per-partition top N_TEST, then a
     merge) joined back by row id, so no single task sorts the whole plan.
     """
-    h = slot_hash(F.col("row_id"), 9)
+    h = slot_digits(F.col("row_id"), 9)
     test = pairs.select("row_id", h.alias("_h")).orderBy("_h", "row_id").limit(N_TEST) \
         .select("row_id", F.lit("test").alias("split"))
     return pairs.join(test, "row_id", "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def pattern_split(pairs: DataFrame) -> DataFrame:
-    """T5: hold out whole query patterns (gold SQL text) by an MD5 prefix."""
-    held = F.substring(F.md5(F.col("gold_sql")), 1, 1).isin("0", "1", "2", "3")
+    """T5: hold out whole reports, by an MD5 digit of the report's name."""
+    held = F.substring(F.md5(F.col("template")), 1, 1).isin(*HELD_DIGITS)
     return pairs.withColumn("split", F.when(held, F.lit("test")).otherwise(F.lit("train")))
 
 
+HELD_DIGITS = ("0", "1", "2", "3")
+
+
 def leak_report(split_pairs: DataFrame) -> DataFrame:
     """Rows, distinct pairs, duplicate rows, test rows whose pair also occurs in train."""
     key = ["user_query", "gold_sql"]
@@ -202,7 +251,7 @@ def pair_records(pairs: DataFrame) -> DataFrame:
     schema = F.struct(F.lit(ENGINE).alias("engine"),
                       F.struct(F.struct(F.array(*[F.lit(c) for c in cols]).alias("columns")).alias(TABLE))
                       .alias("tables"))
-    return pairs.select("split", schema.alias("schema"), F.lit(SYSTEM_TEXT).alias("system"), "user_query",
+    return pairs.select("split", schema.alias("schema"), F.lit(system_text()).alias("system"), "user_query",
                         "gold_sql", F.array().cast("array<string>").alias("notes"))
 
 
