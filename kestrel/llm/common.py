@@ -29,6 +29,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows of a few numbers that may be broadcast (some 50 MB in each executor).
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A staged table of a few numeric columns as one side of a join: broadcast if its counted rows
+    are within the bound, else left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def slices(batch: pa.RecordBatch, text_col: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows whose texts hold about ``limit`` bytes (one row at least)."""
     n = batch.num_rows

@@ -3,17 +3,19 @@
 A document's shingles are hashed onto a ring of 2^32 places by a first
 permutation. Signature coordinate k is the least value, over the set, of a
 second permutation applied to the place shifted by k: two permutations give
-all coordinates. Each band hashes a fixed choice of coordinates; documents
+all coordinates, of which one byte each is kept as a sketch. Each band hashes
+a fixed choice of coordinates; documents
 that agree in a band are candidates, and candidates are confirmed on their
 full shingle sets.
 
 No group is ever expanded into all pairs. Documents with equal sets become
 one class first. Within a band's group everything is compared with the
-smallest member only, starting with the member met in most bands; groups that
+smallest member only, starting with the member met in most bands. Groups that
 the confirmed links have not joined into one component are then compared
-across their components, so every candidate pair is either inside one
-component or has been checked itself. A hot representative is split over
-many comparison groups of bounded size.
+across their components: block by block on one-byte sketches of the
+signatures, of which only likely links come out, and these are confirmed. So
+every candidate pair is inside one component or has been looked at itself. A
+hot representative is split over many comparison groups of bounded size.
 
 Words are runs of characters other than ASCII blanks, A-Z lower-cased; a
 shingle is five words, or the whole sequence of a shorter text. Links have
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import WordHashes, mix32, mix64, powers, slices, staged
+from kestrel.llm.common import WordHashes, mix32, mix64, powers, slices, small_side, staged
 from kestrel.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -46,6 +48,13 @@ BANDS = 72
 BAND_COORDINATES = 6
 # Documents compared with one representative in one task.
 GROUP = 64
+# Members of a band's group whose sketches are compared at once. A pair is checked if the similarities
+# told by its sketch and by a wider one (two bits of more coordinates) are less than 4.5 standard
+# deviations below that of a link.
+BLOCK = 1024
+LIKELY = 0.63
+WIDE = 1024
+LIKELY_WIDE = 0.677
 SLICE = 1 << 20
 
 _U64 = np.uint64
@@ -89,21 +98,31 @@ class Signer:
     """Signatures and band keys of shingle sets."""
 
     def __init__(self) -> None:
-        self.shift = np.arange(COORDINATES, dtype=np.uint32)[:, None]
+        self.shift = np.arange(WIDE, dtype=np.uint32)[:, None]
         self.choice = band_choice()
         self.weight = powers(_BYTE_BASE, BAND_COORDINATES + 1)[1:]
         self.tag = powers(_WORD_BASE, BANDS + 1)[1:]
 
-    def signature(self, shingles: np.ndarray) -> np.ndarray:
+    def signature(self, shingles: np.ndarray, n: int = COORDINATES) -> np.ndarray:
         place = (mix64(shingles) >> _U64(32)).astype(np.uint32)
-        out = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
+        out = np.full(n, 0xFFFFFFFF, np.uint32)
         for i in range(0, len(place), 512):
-            np.minimum(out, mix32(place[None, i: i + 512] + self.shift).min(axis=1), out=out)
+            np.minimum(out, mix32(place[None, i: i + 512] + self.shift[:n]).min(axis=1), out=out)
         return out
 
-    def bands(self, shingles: np.ndarray) -> np.ndarray:
-        sig = self.signature(shingles).astype(np.uint64)
-        return mix64((sig[self.choice] * self.weight).sum(axis=1, dtype=np.uint64) + self.tag).view(np.int64)
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        """One byte of each coordinate."""
+        return self.signature(shingles).astype(np.uint8)
+
+    def wide(self, shingles: np.ndarray) -> bytes:
+        """Two bits of each of the WIDE coordinates, four to a byte."""
+        two = (self.signature(shingles, WIDE) & np.uint32(3)).astype(np.uint8).reshape(-1, 4)
+        return (two << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+    def bands(self, sketch: np.ndarray) -> np.ndarray:
+        """Band keys [..., BANDS] of sketches [..., COORDINATES]."""
+        chosen = sketch[..., self.choice].astype(np.uint64)
+        return mix64((chosen * self.weight).sum(axis=-1, dtype=np.uint64) + self.tag).view(np.int64)
 
 
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -126,7 +145,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     a, b = set_key(x)
                     k1.append(a)
                     k2.append(b)
-                    bands.append(signer.bands(x) if len(x) else np.zeros(0, np.int64))
+                    bands.append(signer.bands(signer.sketch(x)) if len(x) else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
                      pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
@@ -137,17 +156,86 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, shingles): the full sets as little-endian 64-bit integers, sorted."""
+    """(id, size, sketch, wide, shingles): the full sets as little-endian 64-bit integers, sorted, and
+    their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, signer = Shingler(), Signer()
         for batch in batches:
             for part in slices(batch, 1, SLICE):
+                sets = list(shingler.sets(part.column(1)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x.tobytes() for x in shingler.sets(part.column(1))], pa.binary())],
-                    ["id", "shingles"])
+                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                     pa.array([signer.sketch(x).tobytes() for x in sets], pa.binary()),
+                     pa.array([signer.wide(x) for x in sets], pa.binary()),
+                     pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "size", "sketch", "wide", "shingles"])
+
+    return docs.mapInArrow(run, "id bigint, size bigint, sketch binary, wide binary, shingles binary")
 
-    return docs.mapInArrow(run, "id bigint, shingles binary")
+
+def likely_pairs(seated: DataFrame) -> DataFrame:
+    """(a, b) of rows (key, id, c, size, sketch, wide) that share a key, are in different components and
+    whose sketches agree enough.
+
+    A group is cut into blocks of about BLOCK rows and the blocks are paired, so a task holds two
+    blocks at a time; only the pairs that pass are emitted, each in the first band it shares.
+    """
+    blocks = seated.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = seated.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                       "block", "id", "c", "size", "sketch", "wide")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def compare(t: pa.Table, signer: Signer) -> tuple[np.ndarray, np.ndarray]:
+        ids, c, size, block = (t.column(x).to_numpy() for x in ("id", "c", "size", "block"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
+        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(len(ids), WIDE // 4)
+        wide = (wide[:, :, None] >> np.array([0, 2, 4, 6], np.uint8) & np.uint8(3)).reshape(len(ids), WIDE)
+        crossing = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        key = t.column("key")[0].as_py()
+        a, b = [], []
+        for i in range(len(ids) - 1):
+            rest = slice(i + 1, None)
+            ok = ((c[rest] != c[i]) & (ids[rest] != ids[i])
+                  & (100 * np.minimum(size[rest], size[i]) >= MIN_PERCENT * np.maximum(size[rest], size[i])))
+            if crossing:
+                ok &= block[rest] != block[i]
+            j = np.nonzero(ok)[0] + i + 1
+            if len(j):
+                same = sketch[j] == sketch[i]
+                likely = same.mean(axis=1) >= LIKELY
+                # Two bits agree by chance in a quarter of the differing coordinates.
+                likely[likely] = (wide[j[likely]] == wide[i]).mean(axis=1) >= LIKELY_WIDE + (1 - LIKELY_WIDE) / 4
+                j, same = j[likely], same[likely]
+            if len(j):
+                first = same[:, signer.choice].all(axis=2).argmax(axis=1)
+                j = j[signer.bands(sketch[i])[first] == key]
+                a.append(np.maximum(ids[j], ids[i]))
+                b.append(np.minimum(ids[j], ids[i]))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        signer = Signer()
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            if not held.num_rows:
+                continue
+            k = np.stack([held.column(x).to_numpy() for x in ("key", "lo", "hi")])
+            cut = [0, *(np.nonzero((k[:, 1:] != k[:, :-1]).any(axis=0))[0] + 1).tolist()]
+            for i, j in zip(cut, cut[1:]):
+                a, b = compare(held.slice(i, j - i), signer)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held = held.slice(cut[-1])
+        if held is not None and held.num_rows:
+            a, b = compare(held, signer)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -158,7 +246,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
     dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    left = dealt.join(sets.withColumnRenamed("id", "a"), "a")
+    left = dealt.join(sets.select(F.col("id").alias("a"), "shingles"), "a")
     right = dealt.select(F.col("b").alias("rep"), F.col("part").alias("rep_part")).distinct().join(
         sets.select(F.col("id").alias("rep"), F.col("shingles").alias("rep_shingles")), "rep")
 
@@ -168,8 +256,6 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             rep = np.frombuffer(one.column("rep_shingles")[0].as_py(), np.uint64)
             for i, raw in zip(many.column("a").to_pylist(), many.column("shingles")):
                 x = np.frombuffer(raw.as_py(), np.uint64)
-                if 100 * min(len(x), len(rep)) < MIN_PERCENT * max(len(x), len(rep)):
-                    continue
                 at = np.searchsorted(rep, x)
                 at[at == len(rep)] = 0
                 both = int((rep[at] == x).sum())
@@ -187,41 +273,55 @@ def links_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     node, component)."""
     sig = staged(signatures(docs, id_col, text_col), "minhash_signatures")
     named = sig.filter("doc_id is not null and n_shingles > 0")
-    classes = staged(named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-                     .select("k1", "k2", F.col("m.doc_id").alias("rep"), "m.bands"), "minhash_sets_once")
-    rows = sig.select("doc_id", "n_shingles", "k1", "k2").join(classes.drop("bands"), ["k1", "k2"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep"))
-        .otherwise(F.col("doc_id")).alias("rep"))
-    keys = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    groups = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("other")).filter("b < other")
-    members = staged(keys.join(groups.select("key", "b"), "key"), "minhash_groups")
-    met = members.filter("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
-    met = staged(met, "minhash_met")
-    involved = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
+    copies = small_side(staged(
+        named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+        .filter("rows > 1").drop("rows"), "minhash_copies"))
+    rows = sig.select("doc_id", "n_shingles", "k1", "k2").join(copies, ["k1", "k2"], "left").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
+        .alias("rep"))
+    rows = rows.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep")))
+    # One signature per class; a repeated id may stand for several sets.
+    once = named.join(copies, ["k1", "k2"], "left_anti").select("doc_id", "bands").unionByName(
+        named.join(copies, ["k1", "k2"]).filter("doc_id = rep").dropDuplicates(["doc_id", "k1", "k2"])
+        .select("doc_id", "bands"))
+    keys = once.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    groups = staged(keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("other"))
+                    .filter("b < other").select("key", "b"), "minhash_groups")
+    members = staged(keys.join(small_side(groups), "key"), "minhash_members")
+    ids = small_side(staged(members.select("id").distinct(), "minhash_ids"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(involved, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    texts = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     sets = staged(shingle_sets(texts), "minhash_sets")
+    met = members.filter("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    met = staged(_of_like_size(met, sets), "minhash_met")
     # Round 1: each member with the representative it meets in most bands.
-    best = met.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select(
-        "a", (-F.col("m.b")).alias("b"))
-    links = staged(verify(staged(best, "minhash_pairs"), sets), "minhash_links")
+    best = staged(met.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select(
+        "a", (-F.col("m.b")).alias("b")), "minhash_pairs")
+    links = staged(verify(best, sets), "minhash_links")
     comp = staged(components(links), "minhash_components")
     # Round 2: the other representatives that are still in another component.
-    open_pairs = _apart(met.select("a", "b"), comp).join(best, ["a", "b"], "left_anti")
-    links = links.unionByName(staged(verify(staged(open_pairs, "minhash_pairs"), sets), "minhash_links"))
+    pairs = staged(_apart(met.select("a", "b"), comp).join(best, ["a", "b"], "left_anti"), "minhash_pairs")
+    links = links.unionByName(staged(verify(pairs, sets), "minhash_links"))
     comp = staged(components(links), "minhash_components")
     # Round 3: groups that still hold several components, member by member across them.
-    seated = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select(
+    seated = members.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("c"))
     mixed = seated.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
     seated = staged(seated.join(mixed, "key", "left_semi"), "minhash_mixed")
-    cross = seated.alias("x").join(seated.alias("y"), "key").filter("x.id > y.id and x.c <> y.c").select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    cross = staged(cross.join(met, ["a", "b"], "left_anti"), "minhash_pairs")
+    cross = likely_pairs(seated.join(sets.select("id", "size", "sketch", "wide"), "id"))
+    cross = staged(cross.join(met, ["a", "b"], "left_anti").distinct(), "minhash_pairs")
     links = links.unionByName(staged(verify(cross, sets), "minhash_links"))
     return rows, staged(components(links), "minhash_components")
 
 
+def _of_like_size(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose set sizes allow the similarity at all."""
+    n = sets.select("id", "size")
+    j = pairs.join(n.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(
+        n.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
+    return j.filter(100 * F.least("na", "nb") >= MIN_PERCENT * F.greatest("na", "nb")).drop("na", "nb")
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
     c = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
