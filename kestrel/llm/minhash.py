@@ -245,7 +245,8 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     group holds one set and a bounded number of others.
     """
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    dealt = staged(pairs.join(many, "b").select(
+        "a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")), "minhash_dealt")
     left = dealt.join(sets.select(F.col("id").alias("a"), "shingles"), "a")
     right = dealt.select(F.col("b").alias("rep"), F.col("part").alias("rep_part")).distinct().join(
         sets.select(F.col("id").alias("rep"), F.col("shingles").alias("rep_shingles")), "rep")
