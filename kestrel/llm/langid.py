@@ -120,8 +120,9 @@ def score_texts(texts: list[str | None], logp: np.ndarray) -> tuple[np.ndarray,
     return best, post, seen
 
 
-def identify(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns + lang_pred, score for every row of ``df``."""
+def identify(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text_col: str = "text",
+             pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``keep`` columns + predicted language and its score for every row of ``df``."""
     langs, logp = model
     shared = df.sparkSession.sparkContext.broadcast(logp)
     names = [*langs, UNKNOWN]
@@ -135,9 +136,10 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]
                 out = {text_col: part.column(0)} | {c: part.column(i + 1) for i, c in enumerate(cols)}
                 yield pa.RecordBatch.from_arrays(
                     [*(out[c] for c in keep), pred, pa.array(np.where(seen, post, 0.0))],
-                    [*keep, "lang_pred", "score"])
+                    [*keep, pred_col, score_col])
 
-    return df.select(text_col, *cols).mapInArrow(run, f"{ddl(df, keep)}, lang_pred string, score double")
+    return df.select(text_col, *cols).mapInArrow(
+        run, f"{ddl(df, keep)}, `{pred_col}` string, `{score_col}` double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

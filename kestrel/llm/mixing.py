@@ -131,9 +131,10 @@ def repeat(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) ->
     """The mixed corpus itself: every document as often as it is taken, with its own columns."""
     small = staged(sizes(docs).drop("u"), "mix_sizes").withColumn("u", order_key("doc_id"))
     plan = mix_plan(small, weights, max_epochs)
-    rows = docs.withColumns({"size": word_count(F.col("text")), "u": order_key("doc_id")})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source",
+                       word_count(F.col("text")).alias("size"), order_key("doc_id").alias("u"))
     out = apply_plan(rows, plan).filter("times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 # The same mix for the DuckDB check: the rule on whole sources, without cells.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import ann, bpe, langid, minhash, mixing, quality, toxicity, urls, warc
+from kestrel.llm import ann, bpe, langid, minhash, mixing, quality, tokencount, toxicity, urls, warc
 from kestrel.llm.common import table
 from kestrel.session import scratch_dir, ship_package
 
@@ -63,7 +63,14 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op7_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", tokencount.derived_edits())
+    return tokencount.count_edits(docs, BPE_FILE)
+
+
 QUERIES = {
+    "op7_token_edits": op7_token_edits,
     "op2_ann": op2_ann,
     "op6_urls": op6_urls,
     "op4_warc": op4_warc,
