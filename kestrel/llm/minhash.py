@@ -302,8 +302,7 @@ def links_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     comp = staged(components(links), "minhash_components")
     # Round 2: the other representatives that are still in another component.
     pairs = staged(_apart(met.select("a", "b"), comp).join(best, ["a", "b"], "left_anti"), "minhash_pairs")
-    links = links.unionByName(staged(verify(pairs, sets), "minhash_links"))
-    comp = staged(components(links), "minhash_components")
+    links, comp = _more_links(pairs, sets, links, comp)
     # Round 3: groups that still hold several components, member by member across them.
     seated = members.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("c"))
@@ -311,8 +310,18 @@ def links_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     seated = staged(seated.join(mixed, "key", "left_semi"), "minhash_mixed")
     cross = likely_pairs(seated.join(sets.select("id", "size", "sketch", "wide"), "id"))
     cross = staged(cross.join(met, ["a", "b"], "left_anti").distinct(), "minhash_pairs")
-    links = links.unionByName(staged(verify(cross, sets), "minhash_links"))
-    return rows, staged(components(links), "minhash_components")
+    return rows, _more_links(cross, sets, links, comp)[1]
+
+
+def _more_links(pairs: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components after checking further pairs; the given ones if none of them is a link."""
+    if pairs.isEmpty():
+        return links, comp
+    found = staged(verify(pairs, sets), "minhash_links")
+    if found.isEmpty():
+        return links, comp
+    links = links.unionByName(found)
+    return links, staged(components(links), "minhash_components")
 
 
 def _of_like_size(pairs: DataFrame, sets: DataFrame) -> DataFrame:
