@@ -349,6 +349,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with one document of each component: the one with the
+    smallest id. Rows that repeat an id count as one document; rows with a null id stay."""
+    near = staged(near_duplicates(docs).select("doc_id", "kept"), "minhash_kept")
+    gone = staged(near.filter("not kept").select("doc_id").distinct(), "minhash_gone")
+    again = staged(near.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"),
+                   "minhash_again")
+    left = docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
 # The same relation for the DuckDB check: shared shingles of all pairs, then reachability.
 NEAR_SQL = """
 WITH RECURSIVE d AS (

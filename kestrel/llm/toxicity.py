@@ -231,10 +231,10 @@ def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", te
     return fit_chain(categories, features, feat, row, y, rows.column("fold").to_numpy())
 
 
-def score(df: DataFrame, chain: Chain, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns + p_<category> for every row of ``df``."""
+def score(df: DataFrame, chain: Chain, keep: list[str], text_col: str = "text", prefix: str = "p_") -> DataFrame:
+    """``keep`` columns + the probability of each category for every row of ``df``."""
     cols = [c for c in keep if c != text_col]
-    names = [f"p_{c}" for c in chain.categories]
+    names = [prefix + c for c in chain.categories]
     shared = df.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
