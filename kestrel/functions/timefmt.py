@@ -17,20 +17,29 @@ EXTRA_TS_FORMATS = [
     "MMM d, yyyy HH:mm:ss",
     "MMM d, yyyy",
     "d MMM yyyy HH:mm:ss",
+    "M/d/yyyy, h:mm:ss a",
+    "M/d/yyyy h:mm:ss a",
+    "M/d/yyyy, h:mm a",
 ]
+# Week day that may stand first, and zone names that mean UTC at the end.
+WEEKDAY = r"^(?i)(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+"
+UTC_NAME = r"(?i)\s+(GMT|UTC|Z)$"
 
 
 def parse_ts(s: Column) -> Column:
     """Text -> TIMESTAMP at millisecond precision, NULL when unparseable.
 
     The ISO family (date, date-time with ``T`` or space, fraction, ``Z`` or
-    offset) goes through ``try_cast``; a fixed list of other forms through
-    ``try_to_timestamp``. A ``YYYY-MM-DD HH:MM:SS`` prefix followed by junk is
+    offset) goes through ``try_cast``; a fixed list of other forms (12-hour
+    clock and mail headers among them) through ``try_to_timestamp``. A time
+    without a date is no time. A ``YYYY-MM-DD HH:MM:SS`` prefix followed by junk is
     read as that prefix in UTC. Sub-millisecond digits are dropped.
     """
     t = F.trim(s)
-    iso = t.try_cast("timestamp")
-    others = [F.try_to_timestamp(t, F.lit(fmt)) for fmt in EXTRA_TS_FORMATS]
+    # A cast alone would read a bare time of day as today.
+    iso = F.when(t.rlike(r"^[+-]?\d{4,}(-|$)"), t.try_cast("timestamp"))
+    bare = F.regexp_replace(F.regexp_replace(t, WEEKDAY, ""), UTC_NAME, "")
+    others = [F.try_to_timestamp(bare, F.lit(fmt)) for fmt in EXTRA_TS_FORMATS]
     prefix = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", 1)
     fallback = F.when(prefix != "", prefix.try_cast("timestamp"))
     ts = F.coalesce(iso, *others, fallback)

@@ -19,14 +19,25 @@ CONTEXT_TURNS = 3
 CONTEXT_CHARS = 300
 
 
+NUMBERS = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.FloatType, T.DoubleType)
+
+
+def iso_time(c: Column, zone: str) -> Column:
+    """ISO text of a time: a fraction only if there is one, and the zone's offset."""
+    text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(text, r"\.0{6}$", ""), F.lit(zone))
+
+
 def _json_safe(df: DataFrame) -> list[Column]:
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        elif isinstance(f.dataType, T.TimestampType):
+            c = iso_time(c, "+00:00")  # the session's zone is UTC
+        elif isinstance(f.dataType, T.TimestampNTZType):
+            c = iso_time(c, "")
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         out.append(c.alias(f.name))
@@ -55,37 +66,47 @@ def _ordered_preview(df: DataFrame, n: int, render: Column) -> DataFrame:
 def format_answer(df: DataFrame) -> DataFrame:
     """A2: fallback answer text for a result (one row, column ``answer``).
 
-    1x1 integral / floating value: a sentence with thousands separators; one
-    column named recipe_name/username: the count plus the first 20 items;
-    otherwise the count plus the first 5 rows as ``col=value``. Decimal cells
-    are not numbers here, so a lone decimal takes the preview branch.
+    1x1 integral / floating value: a sentence with thousands separators, the
+    full value of a float; one column named recipe_name/username: the count
+    plus the first 20 items; otherwise the count plus the first 5 rows as
+    ``col=value``. A missing value reads ``None``, and a lone missing number
+    takes the preview branch, as does a lone decimal. The result is staged
+    once by a limit of 20 rows and a count; nothing else of it is gathered.
     """
     fields = df.schema.fields
+    name, kind = fields[0].name, fields[0].dataType
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    numeric = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.FloatType, T.DoubleType)
-    if len(fields) == 1 and isinstance(fields[0].dataType, numeric):
-        name = fields[0].name
-        v = F.first(F.col(name))
-        is_int = not isinstance(fields[0].dataType, (T.FloatType, T.DoubleType))
-        txt = F.format_number(v, 0) if is_int else F.regexp_replace(F.format_number(v, 6), r"\.?0+$", "")
-        sentence = {"total_records": F.concat(F.lit("There are **"), txt, F.lit("** records in the system.")),
-                    "total_recipes": F.concat(F.lit("There are **"), txt,
-                                              F.lit("** distinct recipes in the system."))}.get(
-            name.lower(), F.concat(F.lit("Result: **"), txt, F.lit(f"** ({name}).")))
-        one = df.agg(F.count(F.lit(1)).alias("n"), sentence.alias("s"))
-        other = _preview_answer(df, total)
-        # both sides are one-row aggregates (scalar attach, not a pair product)
-        return one.crossJoin(other).select(
-            F.when(F.col("n") == 1, F.col("s")).otherwise(F.col("answer")).alias("answer"))
-    if len(fields) == 1 and fields[0].name.lower() in ("recipe_name", "username"):
-        label = "recipes" if fields[0].name.lower() == "recipe_name" else "users"
-        items = _ordered_preview(df, LIST_PREVIEW, F.col(fields[0].name).cast("string"))
+    if len(fields) == 1 and name.lower() in ("recipe_name", "username") and not isinstance(kind, NUMBERS):
+        label = "recipes" if name.lower() == "recipe_name" else "users"
+        items = _ordered_preview(df, LIST_PREVIEW, F.coalesce(F.col(name).cast("string"), F.lit("None")))
         # both sides are one-row aggregates (scalar attach, not a pair product)
         return total.crossJoin(items).select(F.concat(
             F.lit("Found **"), F.col("total").cast("string"), F.lit(f"** {label}. Showing "),
             F.least(F.col("total"), F.lit(LIST_PREVIEW)).cast("string"), F.lit(":\n- "),
             F.array_join("items", "\n- ")).alias("answer"))
-    return _preview_answer(df, total)
+    preview = _preview_answer(df, total)
+    if len(fields) != 1 or not isinstance(kind, NUMBERS):
+        return preview
+    v = F.first(F.col(name))
+    txt = _grouped_float(v) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.format_number(v, 0)
+    sentence = {"total_records": F.concat(F.lit("There are **"), txt, F.lit("** records in the system.")),
+                "total_recipes": F.concat(F.lit("There are **"), txt,
+                                          F.lit("** distinct recipes in the system."))}.get(
+        name.lower(), F.concat(F.lit("Result: **"), txt, F.lit(f"** ({name}).")))
+    one = df.agg(F.count(F.lit(1)).alias("n"), sentence.alias("s"))
+    # both sides are one-row aggregates (scalar attach, not a pair product)
+    return one.crossJoin(preview).select(
+        F.when((F.col("n") == 1) & F.col("s").isNotNull(), F.col("s")).otherwise(F.col("answer")).alias("answer"))
+
+
+def _grouped_float(v: Column) -> Column:
+    """A float with all its digits and thousands separators; a whole one keeps ``.0``, and one
+    written with an exponent stays as it is."""
+    text = v.cast("string")
+    whole = F.format_number(F.floor(F.abs(v)), 0)
+    plain = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), whole, F.lit("."),
+                     F.substring_index(text, ".", -1))
+    return F.when(text.contains("E"), text).otherwise(plain)
 
 
 def _preview_answer(df: DataFrame, total: DataFrame) -> DataFrame:

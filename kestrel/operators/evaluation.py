@@ -49,12 +49,22 @@ def raw_logs(events: DataFrame) -> DataFrame:
         F.try_parse_json("props").alias("payload_json"))
 
 
-def deidentify(log: DataFrame, salt: str, bucket: str = "hour") -> DataFrame:
-    """Salted user hash, per-user time shift (0-3599 s, from the hash), time bucket."""
-    uid = F.sha2(F.concat(F.lit(salt), F.coalesce(F.col("user_id"), F.lit(""))), 256)
-    shift = F.conv(F.substring(uid, 1, 6), 16, 10).cast("bigint") % 3600
-    shifted = F.timestamp_seconds(F.unix_seconds("audit_time") + shift)
-    return log.select(uid.alias("user_hash"), shifted.alias("shifted_time"),
+def _secret_number(secret: str, value: Column, mod: int) -> Column:
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(secret), value), 256), 1, 12), 16, 10).cast("bigint") % mod
+
+
+def deidentify(log: DataFrame, salt: str, shift_secret: str, bucket: str = "hour") -> DataFrame:
+    """Salted user hash, per-user time shift and per-row jitter, time bucket.
+
+    Shift (up to 30 days) and jitter (up to a minute) come from a second secret
+    that is not published, so the hash says nothing about them; the times
+    keep their order within a user up to the jitter.
+    """
+    user = F.coalesce(F.col("user_id"), F.lit(""))
+    shift = _secret_number(shift_secret, user, 30 * 86400)
+    jitter = _secret_number(shift_secret, F.concat_ws("|", F.lit("row"), user, F.coalesce("id", F.lit(""))), 60)
+    shifted = F.timestamp_seconds(F.unix_seconds("audit_time") + shift + jitter)
+    return log.select(F.sha2(F.concat(F.lit(salt), user), 256).alias("user_hash"), shifted.alias("shifted_time"),
                       F.date_trunc(bucket, shifted).alias("time_bucket"), "action_derived",
                       "session_duration")
 

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from kestrel.functions.timefmt import iso_utc, parse_ts
 from kestrel.schema import AUDIT_COLUMNS, AUDIT_LOG_SCHEMA, INT_COLUMNS, TIMESTAMP_COLUMNS
 
-STRING_COLUMNS = [c for c in AUDIT_COLUMNS if c not in TIMESTAMP_COLUMNS + INT_COLUMNS]
-ENGINE_COLUMNS = ["file", "blk", "ord", "reason", "audit_month"]
-
 
 def _nz_str(c: str) -> Column:
     return F.nullif(F.col(c), F.lit("")).alias(c)

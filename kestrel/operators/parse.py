@@ -26,19 +26,22 @@ HEADER_NAMES = ["user_id", "id", "subseq_id", "message", "audit_time", "action",
                 "version"] + APPENDED_NAMES
 
 
-def parse_log(lines: DataFrame) -> DataFrame:
+def parse_log(lines: DataFrame, keep_bad: bool = False) -> DataFrame:
     """DataFrame(file, blk, ord, line, hdr) -> parsed rows.
 
     Output: file, blk, ord, reason, the nine cells (strings; ``audit_time`` as
     the trimmed text), eight derived strings, and engine columns ``ts``
     (parsed audit time), ``skey``, ``is_start``, ``is_end``, ``is_auto``.
-    Header rows and empty lines are dropped.
+    Header rows and empty lines are dropped. With ``keep_bad`` a column
+    ``raw_line`` holds the whole line where its time is given but unreadable.
     """
     body = lines.filter(~F.col("hdr") & F.col("line").isNotNull() & (F.col("line") != ""))
-    b = body.select(*KEY, split_cells(protect_quoted(F.col("line"))).alias("cells"))
-    c = b.select(*KEY, "cells", F.size("cells").alias("n"))
-    d = c.select(*KEY, coerce_nine(F.col("cells"), F.col("n")).alias("n9"))
-    e = d.select(*KEY, F.col("n9.reason").alias("reason"),
+    raw = [F.col("line").alias("raw_line")] if keep_bad else []
+    kept = ["raw_line"] if keep_bad else []
+    b = body.select(*KEY, *raw, split_cells(protect_quoted(F.col("line"))).alias("cells"))
+    c = b.select(*KEY, *kept, "cells", F.size("cells").alias("n"))
+    d = c.select(*KEY, *kept, coerce_nine(F.col("cells"), F.col("n")).alias("n9"))
+    e = d.select(*KEY, *kept, F.col("n9.reason").alias("reason"),
                  *[unprotect(F.get(F.col("n9.cols"), i)).alias(col) for i, col in enumerate(BASE_COLUMNS)])
     msg = F.col("message")
     f = e.select(
@@ -69,6 +72,7 @@ def parse_log(lines: DataFrame) -> DataFrame:
         X.session_key(F.col("username"), F.col("user_id"), F.col("recipe_id"),
                       F.col("recipe_name")).alias("skey"),
         "is_start", "is_end", "is_auto",
+        *([F.when(F.col("ts").isNull() & (F.col("audit_time") != ""), F.col("raw_line")).alias("raw_line")] if keep_bad else []),
     )
 
 

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from kestrel.functions.sqltext import extract_sql, guard_reason, guard_sql, guard_sql_text, looks_like_sql
 from kestrel.functions.timefmt import fmt_elapsed
 from kestrel.schema import QUERY_EVENT_SCHEMA
+from kestrel.session import scratch_dir
 
-# Rows kept per event as a result sample.
+# Rows kept per event as a result sample, time limit of a statement.
 SAMPLE_ROWS = 20
+STATEMENT_TIMEOUT_S = 300.0
 
 
 def events_from_conversations(conv: DataFrame) -> DataFrame:
@@ -39,7 +41,8 @@ def events_from_conversations(conv: DataFrame) -> DataFrame:
         extract_sql(answer).alias("sql"),
         F.array(F.lit("answer")).alias("columns"),
         F.length(answer).cast("bigint").alias("row_count"),
-        F.array(F.array(F.substring(answer, 1, 40))).alias("rows_sample"),
+        # The answer's lines are the result's rows: up to SAMPLE_ROWS whole ones are kept.
+        F.transform(F.slice(F.split(answer, "\n"), 1, SAMPLE_ROWS), lambda x: F.array(x)).alias("rows_sample"),
         F.when(answer == "", F.lit("no answer")).otherwise(F.lit("")).alias("error"),
         answer.alias("model_raw_phase_a"),
         F.lit("").alias("model_raw_phase_b"),
@@ -79,6 +82,13 @@ def last_sql(events: DataFrame) -> DataFrame:
                                    F.col("sql"), F.lit(";")), F.col("ts")).alias("last_sql"))
 
 
+def sql_history(events: DataFrame) -> DataFrame:
+    """S15 history file: every non-empty SQL with its comment header, oldest first by ``ts``."""
+    e = events.filter(F.col("sql") != "")
+    return e.select("ts", F.concat(F.lit("-- "), F.col("ts"), F.lit(" | "), F.col("user_query"), F.lit("\n"),
+                                   F.col("sql"), F.lit(";")).alias("entry"))
+
+
 def sql_checks(texts: DataFrame, col: str = "text") -> DataFrame:
     """A5-A7 as columns over a table of texts."""
     s = extract_sql(F.col(col))
@@ -86,23 +96,56 @@ def sql_checks(texts: DataFrame, col: str = "text") -> DataFrame:
                         guard_sql(s).alias("guard_ok"), guard_reason(s).alias("guard_reason"))
 
 
+def query_plan_reason(spark: SparkSession, sql: str) -> str | None:
+    """Why a statement is not one query: its parsed plan is, or contains, something other than a
+    query (a command, a write or a definition), or it cannot be parsed."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:  # any parser error is a refusal with the parser's own words
+        return f"not a statement: {str(e).splitlines()[0]}"
+    nodes, text = [plan], []
+    while nodes:
+        node = nodes.pop()
+        text.append(node.getClass().getSimpleName())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    allowed = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Join", "Union", "Except",
+               "Intersect", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "UnresolvedSubqueryColumnAliases",
+               "OneRowRelation", "UnresolvedInlineTable", "LocalRelation", "Offset", "Tail", "Generate", "Expand", "Window",
+               "WithWindowDefinition", "LateralJoin", "Pivot", "Unpivot", "Sample", "UnresolvedTableValuedFunction",
+               "UnresolvedOrdinal", "WithCTE", "CTERelationDef", "UnresolvedHint", "UnresolvedTVFAliases", "ParameterizedQuery"}
+    other = [x for x in text if x not in allowed]
+    return f"not a query: {other[0]}" if other else None
+
+
 def run_guarded_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
-    """A10: run one read-only statement over registered views after the guard."""
-    reason = guard_sql_text(sql)
+    """A10: one read-only statement over registered views. It must pass the text guard, and its
+    parsed plan must be a query; nothing is run before both are known."""
+    statement = sql.strip().rstrip(";")
+    reason = guard_sql_text(sql) or query_plan_reason(spark, statement)
     if reason:
         raise ValueError(reason)
-    return spark.sql(sql.strip().rstrip(";"), args=args or {})
+    return spark.sql(statement, args=args or {})
+
+
+def run_report(spark: SparkSession, sql: str, args: dict | None = None, timeout_s: float = STATEMENT_TIMEOUT_S) -> DataFrame:
+    """A10: the whole guarded report under its time limit. The result is written to the shared
+    folder in a job group that is cancelled when time is up, and read back; no row is collected."""
+    df = run_guarded_sql(spark, sql, args)
+    path = scratch_dir(spark, "report")
+    with_timeout(spark, lambda: df.write.parquet(path), timeout_s)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def collect_with_timeout(spark: SparkSession, df: DataFrame, timeout_s: float):
-    """A10 timeout: run the action in its own job group and cancel it when time is up."""
+def with_timeout(spark: SparkSession, action, timeout_s: float):
+    """Run an action in its own job group; the group is cancelled when time is up."""
     sc = spark.sparkContext
     group = f"kestrel-{uuid.uuid4().hex[:8]}"
     timer = threading.Timer(timeout_s, lambda: sc.cancelJobGroup(group))
     sc.setJobGroup(group, "guarded report", interruptOnCancel=True)
     timer.start()
     try:
-        return df.collect()
+        return action()
     finally:
         timer.cancel()
         sc.setLocalProperty("spark.jobGroup.id", None)

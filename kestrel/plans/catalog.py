@@ -64,7 +64,8 @@ def write_audit_log(df: DataFrame, path: str) -> dict:
         F.count(F.when(F.col("session_duration").isNotNull(), F.lit(1))).alias("sessions"),
         F.count(F.when(F.col("reason").isNotNull(), F.lit(1))).alias("repaired_rows"),
         F.count(F.when(F.col("audit_time").isNull(), F.lit(1))).alias("rows_without_time"))
-    (observed.sortWithinPartitions("audit_month", "audit_time")
+    # Months go together, large ones split: the number of files follows the data, not the tasks.
+    (observed.hint("rebalance", "audit_month").sortWithinPartitions("audit_month", "audit_time")
        .write.mode("overwrite")
        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
        .partitionBy("audit_month")

@@ -71,7 +71,8 @@ def q_parse_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_norm_header(spark: SparkSession, sf: str) -> DataFrame:
-    h = header_names(audit_lines(spark, sf))
+    from kestrel.plans.registry_io import scanned_lines
+    h = header_names(scanned_lines(spark, sf))
     return h.select("file", F.array_join("columns", ",").alias("columns"))
 
 

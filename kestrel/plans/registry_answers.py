@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.functions.timefmt import fmt_elapsed
+from kestrel.functions.timefmt import fmt_elapsed, parse_ts
 from kestrel.operators import answers as A
 from kestrel.operators import querylog as QL
 from kestrel.operators import reports as R
@@ -15,10 +15,30 @@ from kestrel.plans.oracle import with_log
 from kestrel.session import scratch_dir
 
 
+# Texts that exercise the SQL checks, by arithmetic on the turn: fenced, bare and multiple statements,
+# writes, comments; an e-mail address in every third question.
+def checked_texts(conv: DataFrame) -> DataFrame:
+    n, k = F.col("conv_id").cast("string"), (F.col("conv_id") * 7 + F.col("turn")) % 6
+    answer = (F.when(k == 1, F.concat(F.lit("```sql\nSELECT a FROM t WHERE x = '"), n, F.lit("';\n```")))
+              .when(k == 2, F.concat(F.lit("Here:\n```\nselect "), n, F.lit(" from t\n```")))
+              .when(k == 3, F.concat(F.lit("DELETE FROM t WHERE id = "), n, F.lit("; ")))
+              .when(k == 4, F.concat(F.lit("with q as (select "), n, F.lit(") select * from q; select 2; select 3")))
+              .when(k == 5, F.concat(F.lit("```SQL\nSELECT "), n, F.lit(";-- note\n```")))
+              .otherwise(F.col("text")))
+    mail = F.concat(F.col("text"), F.lit(" write to u"), n, F.lit("@mail.example.org, now"))
+    ask = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, mail).otherwise(F.col("text"))
+    return conv.withColumn("text", F.when(F.col("role") == "assistant", answer)
+                           .when(F.col("role") == "user", ask).otherwise(F.col("text")))
+
+
 def _conv(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/conversations.parquet")
 
 
+def _checked(spark: SparkSession, sf: str) -> DataFrame:
+    return checked_texts(_conv(spark, sf))
+
+
 def q_session_elapsed(spark, sf):
     s = session_pairs(parsed_table(spark, sf))
     return s.select("file", "start_ord", fmt_elapsed(F.col("session_duration")).alias("elapsed"))
@@ -29,13 +49,13 @@ def q_recent_context(spark, sf):
 
 
 def q_sql_checks(spark, sf):
-    a = _conv(spark, sf).filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    a = _checked(spark, sf).filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
     return QL.sql_checks(a).select("conv_id", "turn", "sql", "looks_like_sql", "guard_ok")
 
 
 def q_query_log_report(spark, sf):
     path = scratch_dir(spark, "query_events")
-    QL.write_events(QL.events_from_conversations(_conv(spark, sf)), path)
+    QL.write_events(QL.events_from_conversations(_checked(spark, sf)), path)
     return QL.query_log_report(QL.read_events(spark, path)).select(
         F.col("day").cast("string").alias("day"), "queries", "errors", "empty_results",
         "mean_elapsed", "max_elapsed", "rows_returned", "valid_sql")
@@ -43,7 +63,7 @@ def q_query_log_report(spark, sf):
 
 def q_last_sql(spark, sf):
     path = scratch_dir(spark, "query_events")
-    QL.write_events(QL.events_from_conversations(_conv(spark, sf)), path)
+    QL.write_events(QL.events_from_conversations(_checked(spark, sf)), path)
     return QL.last_sql(QL.read_events(spark, path))
 
 
@@ -81,8 +101,46 @@ def q_result_preview(spark, sf):
 
 def q_run_report(spark, sf):
     audit_log(spark, sf).createOrReplaceTempView("audit_log")
-    return QL.run_guarded_sql(spark, "SELECT recipe_name, COUNT(*) AS n FROM audit_log "
-                                     "WHERE recipe_name ILIKE :kw GROUP BY recipe_name;", {"kw": "%mix%"})
+    return QL.run_report(spark, "SELECT recipe_name, COUNT(*) AS n FROM audit_log "
+                                "WHERE recipe_name ILIKE :kw GROUP BY recipe_name;", {"kw": "%mix%"})
+
+
+def q_format_answer_empty(spark, sf):
+    """The lone sum over no rows is missing: the preview says so."""
+    return A.format_answer(R.hours_keyword(audit_log(spark, sf), "no such keyword"))
+
+
+def q_event_samples(spark, sf):
+    """Every event's result sample, whole rows, twenty at most."""
+    path = scratch_dir(spark, "query_events")
+    QL.write_events(QL.events_from_conversations(_checked(spark, sf)), path)
+    return QL.read_events(spark, path).select("ts", F.size("rows_sample").cast("bigint").alias("rows"), F.array_join(
+        F.transform("rows_sample", lambda r: r[0]), "\n").alias("sample"))
+
+
+def q_sql_history(spark, sf):
+    path = scratch_dir(spark, "query_events")
+    QL.write_events(QL.events_from_conversations(_checked(spark, sf)), path)
+    return QL.sql_history(QL.read_events(spark, path))
+
+
+def q_jsonify_times(spark, sf):
+    """A1 with a time, a date and a decimal in the row."""
+    t = audit_log(spark, sf).select("id", "audit_time", F.to_date("audit_time").alias("day"),
+                                    (F.col("session_duration") / 10).cast("decimal(12,1)").alias("tenths"))
+    return A.jsonify_rows(t)
+
+
+def q_time_forms(spark, sf):
+    """Every event's time in one of eight written forms, parsed back."""
+    e, ts = F.col("event_id") % 8, F.col("ts").cast("timestamp")
+    forms = {0: "HH:mm:ss", 1: "M/d/yyyy, h:mm:ss a", 2: "EEE, dd MMM yyyy HH:mm:ss 'GMT'", 3: "'T'HH:mm",
+             4: "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", 5: "yyyy/MM/dd HH:mm:ss", 6: "MMM d, yyyy", 7: "yyyy-MM-dd HH:mm:ss 'junk'"}
+    text = F.lit(None).cast("string")
+    for k, f in forms.items():
+        text = F.when(e == k, F.date_format(ts, f)).otherwise(text)
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    return ev.select("event_id", parse_ts(text).cast("timestamp_ntz").alias("parsed"))
 
 
 QUERIES = {
@@ -100,6 +158,11 @@ QUERIES = {
     "answer_list": q_answer_list,
     "result_preview": q_result_preview,
     "run_report": q_run_report,
+    "format_answer_empty": q_format_answer_empty,
+    "event_samples": q_event_samples,
+    "sql_history": q_sql_history,
+    "jsonify_times": q_jsonify_times,
+    "time_forms": q_time_forms,
 }
 
 _ELAPSED = """CASE WHEN d // 3600 > 0 THEN (d // 3600) || 'h ' || lpad(((d % 3600) // 60)::VARCHAR, 2, '0') || 'm '
@@ -109,18 +172,58 @@ _ELAPSED = """CASE WHEN d // 3600 > 0 THEN (d // 3600) || 'h ' || lpad(((d % 360
 
 _TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
-ORACLE = {
-    "last_sql": """
-WITH q AS (
-  SELECT u.conv_id, u.turn, u.text, COALESCE(a.text, '') AS answer
-  FROM conversations u LEFT JOIN conversations a
-    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+# The same texts in SQL, and what the checks must find in each kind of them.
+_KIND = "(conv_id * 7 + turn) % 6"
+CHECKED_CTE = f"""c2 AS (
+  SELECT conv_id, turn, role, {_KIND} AS kind,
+    CASE WHEN role = 'assistant' THEN CASE {_KIND}
+           WHEN 1 THEN '```sql' || chr(10) || 'SELECT a FROM t WHERE x = ''' || conv_id || ''';' || chr(10) || '```'
+           WHEN 2 THEN 'Here:' || chr(10) || '```' || chr(10) || 'select ' || conv_id || ' from t' || chr(10) || '```'
+           WHEN 3 THEN 'DELETE FROM t WHERE id = ' || conv_id || '; '
+           WHEN 4 THEN 'with q as (select ' || conv_id || ') select * from q; select 2; select 3'
+           WHEN 5 THEN '```SQL' || chr(10) || 'SELECT ' || conv_id || ';-- note' || chr(10) || '```'
+           ELSE text END
+         WHEN role = 'user' AND (conv_id + turn) % 3 = 0 THEN text || ' write to u' || conv_id || '@mail.example.org, now'
+         ELSE text END AS text,
+    text AS plain
+  FROM conversations),
+found AS (
+  SELECT conv_id, turn, role, text,
+    CASE kind WHEN 1 THEN 'SELECT a FROM t WHERE x = ''' || conv_id || ''''
+              WHEN 2 THEN 'select ' || conv_id || ' from t'
+              WHEN 3 THEN 'DELETE FROM t WHERE id = ' || conv_id
+              WHEN 4 THEN 'with q as (select ' || conv_id || ') select * from q; select 2; select 3'
+              WHEN 5 THEN 'SELECT ' || conv_id || ';-- note'
+              ELSE rtrim(regexp_replace(COALESCE(plain, ''), '^\\s+|\\s+$', '', 'g'), ';') END AS s,
+    kind IN (1, 2, 4, 5) AS looks, kind IN (0, 1, 2) AS passes
+  FROM c2 WHERE role = 'assistant')"""
+_QA = f"""WITH {CHECKED_CTE},
+q AS (
+  SELECT u.conv_id, u.turn, u.text, COALESCE(a.text, '') AS answer, COALESCE(a.s, '') AS s,
+         COALESCE(a.looks, false) AS looks, COALESCE(a.passes, true) AS passes
+  FROM c2 u LEFT JOIN found a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user'),
 e AS (
-  SELECT strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS ts,
-         text, rtrim(""" + _TRIM.format(x="answer") + """, ';') AS s
+  SELECT strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS ts, *
   FROM q)
-SELECT arg_max('-- ' || ts || ' | ' || text || chr(10) || s || ';', ts) AS last_sql FROM e WHERE s <> ''""",
+"""
+
+ORACLE = {
+    "last_sql": _QA + "SELECT arg_max('-- ' || ts || ' | ' || text || chr(10) || s || ';', ts) AS last_sql FROM e WHERE s <> ''",
+    "sql_history": _QA + "SELECT ts, '-- ' || ts || ' | ' || text || chr(10) || s || ';' AS entry FROM e WHERE s <> ''",
+    "event_samples": _QA + "SELECT ts, CAST(least(len(string_split(answer, chr(10))), 20) AS BIGINT) AS rows, "
+                           "array_to_string(list_slice(string_split(answer, chr(10)), 1, 20), chr(10)) AS sample FROM e",
+    "format_answer_empty": "SELECT 'Found **' || count(*) || '** rows. Preview:' || chr(10) || '- total_hours=None' AS answer "
+                           "FROM (SELECT count(*) FROM events)",
+    "jsonify_times": with_log(
+        "SELECT '{\"id\":\"' || id || '\",\"audit_time\":' || CASE WHEN audit_time IS NULL THEN 'null' ELSE '\"' || "
+        "strftime(audit_time, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(audit_time) % 1000000 = 0 THEN '' "
+        "ELSE strftime(audit_time, '.%f') END || '+00:00\"' END || ',\"day\":' || "
+        "CASE WHEN audit_time IS NULL THEN 'null' ELSE '\"' || strftime(audit_time, '%Y-%m-%d') || '\"' END || ',\"tenths\":' || "
+        "COALESCE(CAST(session_duration // 10 AS VARCHAR) || '.' || CAST(session_duration % 10 AS VARCHAR), 'null') || '}' AS row_json "
+        "FROM audit_log"),
+    "time_forms": "SELECT event_id, CASE event_id % 8 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN date_trunc('millisecond', ts) "
+                  "WHEN 6 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END::TIMESTAMP AS parsed FROM events",
     "session_elapsed": with_log(
         f"SELECT file, start_ord, {_ELAPSED} AS elapsed FROM (SELECT file, start_ord, "
         "CAST(session_duration AS BIGINT) AS d FROM sessions)"),
@@ -143,39 +246,13 @@ r AS (SELECT *, SUM(length(b) + 1) OVER (PARTITION BY conv_id ORDER BY t, o
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b)
 SELECT conv_id, 'Recent context:' || chr(10) || string_agg(b, chr(10) ORDER BY t, o) AS context
 FROM r WHERE run <= 300 GROUP BY conv_id""",
-    "sql_checks": """
-SELECT conv_id, turn, s AS sql,
-       (lower(s) LIKE '%select %' AND lower(s) LIKE '% from %') OR lower(s) LIKE 'with %'
-         OR lower(s) LIKE 'select %' AS looks_like_sql,
-       NOT (lower(s) LIKE '%update%' OR lower(s) LIKE '%delete%' OR lower(s) LIKE '%insert%'
-            OR lower(s) LIKE '%alter%' OR lower(s) LIKE '%drop table%' OR s LIKE '%;--%' OR s LIKE '%/*%')
-         AND length(s) - length(replace(s, ';', '')) <= 1 AS guard_ok
-FROM (SELECT conv_id, turn, rtrim(""" + _TRIM.format(x="COALESCE(text, '')") + """, ';') AS s
-      FROM conversations WHERE role = 'assistant')""",
-    "query_log_report": """
-WITH q AS (
-  SELECT u.conv_id, u.turn, u.text, COALESCE(a.text, '') AS answer
-  FROM conversations u LEFT JOIN conversations a
-    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-  WHERE u.role = 'user'),
-e AS (
-  SELECT CAST(CAST(to_timestamp(1704067200 + conv_id * 3600 + turn * 60) AS DATE) AS VARCHAR) AS day,
-         CASE WHEN answer = '' THEN 'no answer' ELSE '' END AS error,
-         length(answer) AS row_count,
-         round(length(text) / 100.0, 3) AS elapsed_seconds,
-         rtrim(""" + _TRIM.format(x="answer") + """, ';') AS s
-  FROM q)
-SELECT day, COUNT(*) AS queries, COUNT(*) FILTER (WHERE error <> '') AS errors,
-       COUNT(*) FILTER (WHERE row_count = 0) AS empty_results,
-       round(AVG(elapsed_seconds), 6) AS mean_elapsed, MAX(elapsed_seconds) AS max_elapsed,
-       CAST(SUM(row_count) AS BIGINT) AS rows_returned,
-       COUNT(*) FILTER (WHERE ((lower(s) LIKE '%select %' AND lower(s) LIKE '% from %')
-                                OR lower(s) LIKE 'with %' OR lower(s) LIKE 'select %')
-                        AND NOT (lower(s) LIKE '%update%' OR lower(s) LIKE '%delete%' OR lower(s) LIKE '%insert%'
-                                 OR lower(s) LIKE '%alter%' OR lower(s) LIKE '%drop table%' OR s LIKE '%;--%'
-                                 OR s LIKE '%/*%')
-                        AND length(s) - length(replace(s, ';', '')) <= 1) AS valid_sql
-FROM e GROUP BY day""",
+    "sql_checks": f"WITH {CHECKED_CTE} SELECT conv_id, turn, s AS sql, looks AS looks_like_sql, passes AS guard_ok FROM found",
+    "query_log_report": _QA + """
+SELECT substr(ts, 1, 10) AS day, COUNT(*) AS queries, COUNT(*) FILTER (WHERE answer = '') AS errors,
+       COUNT(*) FILTER (WHERE length(answer) = 0) AS empty_results,
+       round(AVG(round(length(text) / 100.0, 3)), 6) AS mean_elapsed, MAX(round(length(text) / 100.0, 3)) AS max_elapsed,
+       CAST(SUM(length(answer)) AS BIGINT) AS rows_returned, COUNT(*) FILTER (WHERE looks AND passes) AS valid_sql
+FROM e GROUP BY 1""",
     "jsonify_result": with_log(
         "SELECT CAST(to_json({'recipe_id': recipe_id, 'recipe_name': recipe_name, 'events': events}) AS VARCHAR) "
         "AS row_json FROM (SELECT recipe_id, recipe_name, COUNT(*) AS events FROM audit_log "

@@ -10,9 +10,11 @@ from kestrel.operators import reports as R
 from kestrel.operators import synth as S
 from kestrel.plans.catalog import audit_log
 from kestrel.plans.oracle import with_log
+from kestrel.plans.registry_answers import CHECKED_CTE, checked_texts
 from kestrel.plans.registry_synth import _join as synth_sql
 
 SALT = "kestrel-salt"
+SHIFT_SECRET = "kestrel-shift"
 
 
 def q_exact_match(spark, sf):
@@ -36,6 +38,14 @@ def q_execution_match(spark, sf):
     return EV.execution_match(a, b)
 
 
+def q_execution_mismatch(spark, sf):
+    """Two results that differ in both directions: rows by recipe id against rows by recipe name."""
+    t = audit_log(spark, sf)
+    a = t.groupBy(F.trim("recipe_id").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    b = t.groupBy(F.trim("recipe_name").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    return EV.execution_match(a, b)
+
+
 def q_raw_logs(spark, sf):
     r = EV.raw_logs(spark.read.parquet(f"{sf}/events.parquet"))
     return r.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "actor", "action", "duration_ms",
@@ -43,19 +53,20 @@ def q_raw_logs(spark, sf):
 
 
 def q_deidentify(spark, sf):
-    d = EV.deidentify(audit_log(spark, sf), SALT)
+    d = EV.deidentify(audit_log(spark, sf), SALT, SHIFT_SECRET)
     return d.groupBy("user_hash").agg(F.count(F.lit(1)).alias("rows"),
                                       F.min("shifted_time").cast("timestamp_ntz").alias("first_seen"))
 
 
 def q_redact_events(spark, sf):
-    ev = QL.events_from_conversations(spark.read.parquet(f"{sf}/conversations.parquet"))
+    ev = QL.events_from_conversations(checked_texts(spark.read.parquet(f"{sf}/conversations.parquet")))
     return EV.redact_events(ev).select("user_query", "row_count", "error")
 
 
 QUERIES = {
     "exact_match": q_exact_match,
     "execution_match": q_execution_match,
+    "execution_mismatch": q_execution_mismatch,
     "raw_logs": q_raw_logs,
     "deidentify": q_deidentify,
     "redact_events": q_redact_events,
@@ -74,15 +85,22 @@ ORACLE = {
     "raw_logs": "SELECT CAST(ts AS TIMESTAMP) AS ts, CAST(user_id AS VARCHAR) AS actor, event_type AS action, "
                 "CAST(round(value * 1000) AS BIGINT) AS duration_ms, CAST(json_extract(props, '$.k') AS BIGINT) AS k "
                 "FROM events",
+    "execution_mismatch": with_log(""",
+a AS (SELECT TRIM(recipe_id) AS name, COUNT(*) AS rows FROM audit_log GROUP BY 1),
+b AS (SELECT TRIM(recipe_name) AS name, COUNT(*) AS rows FROM audit_log GROUP BY 1),
+x AS (SELECT COUNT(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)),
+y AS (SELECT COUNT(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+SELECT x.n AS only_a, y.n AS only_b, x.n = 0 AND y.n = 0 AS match FROM x, y"""),
     "deidentify": with_log(
         "SELECT user_hash, COUNT(*) AS rows, MIN(shifted) AS first_seen FROM ("
-        f"SELECT sha256('{SALT}' || COALESCE(user_id, '')) AS user_hash, "
-        f"to_timestamp(CAST(floor(epoch(audit_time)) AS BIGINT) + ('0x' || substr(sha256('{SALT}' || COALESCE(user_id, '')), 1, 6))::BIGINT % 3600)"
+        f"SELECT sha256('{SALT}' || COALESCE(user_id, '')) AS user_hash, to_timestamp(CAST(floor(epoch(audit_time)) AS BIGINT) + "
+        f"('0x' || substr(sha256('{SHIFT_SECRET}' || COALESCE(user_id, '')), 1, 12))::BIGINT % 2592000 + "
+        f"('0x' || substr(sha256('{SHIFT_SECRET}' || 'row|' || COALESCE(user_id, '') || '|' || COALESCE(id, '')), 1, 12))::BIGINT % 60)"
         "::TIMESTAMP AS shifted FROM audit_log) GROUP BY user_hash"),
-    "redact_events": """
-SELECT regexp_replace(regexp_replace(u.text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g'), '[0-9]', '#', 'g') AS user_query,
+    "redact_events": f"""WITH {CHECKED_CTE}
+SELECT regexp_replace(CASE WHEN u.text <> u.plain THEN u.plain || ' write to <email>, now' ELSE u.text END, '[0-9]', '#', 'g') AS user_query,
        CAST(length(COALESCE(a.text, '')) AS BIGINT) AS row_count,
        CASE WHEN COALESCE(a.text, '') = '' THEN 'no answer' ELSE '' END AS error
-FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+FROM c2 u LEFT JOIN c2 a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
 WHERE u.role = 'user'""",
 }

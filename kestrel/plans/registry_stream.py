@@ -37,13 +37,13 @@ def q_stream_ingest(spark, sf):
 
 
 def q_stream_metrics(spark, sf):
-    _, _, q, _ = _run(spark, sf)
-    return W.stream_metrics(spark, q).select("input_rows")
+    _, _, _, stage = _run(spark, sf)
+    return W.stream_metrics(spark, stage).groupBy("file").agg(F.sum("input_rows").alias("input_rows"))
 
 
 def q_stream_batch_metrics(spark, sf):
     _, _, _, stage = _run(spark, sf)
-    return W.batch_metrics(spark, stage).select("rows_written", "sessions", "repaired_rows")
+    return W.batch_metrics(spark, stage).agg(*[F.sum(c).alias(c) for c in ("rows_written", "sessions", "repaired_rows")])
 
 
 def q_live_sessions(spark, sf):
@@ -71,8 +71,8 @@ QUERIES = {
 
 ORACLE = {
     "stream_ingest": with_log(f"SELECT {', '.join(AUDIT_COLUMNS)} FROM audit_log"),
-    "stream_metrics": with_log("SELECT COUNT(*) + 1 AS input_rows FROM rows1 GROUP BY file"),
+    "stream_metrics": with_log("SELECT file, COUNT(*) + 1 AS input_rows FROM rows1 GROUP BY file"),
     "stream_batch_metrics": with_log(
         "SELECT COUNT(*) AS rows_written, COUNT(session_duration) AS sessions, COUNT(reason) AS repaired_rows "
-        "FROM audit_log GROUP BY file"),
+        "FROM audit_log"),
 }

@@ -44,7 +44,7 @@ LINES_SCHEMA = T.StructType([
 
 BAD_LINE_SCHEMA = T.StructType([
     T.StructField("file", T.StringType()),
-    T.StructField("orig_line_no", T.IntegerType()),
+    T.StructField("orig_line_no", T.LongType()),
     T.StructField("raw_line", T.StringType()),
     T.StructField("reason", T.StringType()),
 ])

@@ -22,9 +22,6 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    # Parsed rows carry large projection expressions; inferring constraints
-    # across the self-joins of session pairing explodes planning time.
-    "spark.sql.constraintPropagation.enabled": "false",
     # Keep generated methods within the JIT's huge-method limit: the wide
     # parse projection otherwise runs as interpreted bytecode (2x slower).
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -42,8 +39,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled",
-              "spark.sql.constraintPropagation.enabled", "spark.sql.codegen.hugeMethodLimit"):
+    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.codegen.hugeMethodLimit"):
         spark.conf.set(k, BASE_CONF[k])
     shared_dir(spark)
     return spark
@@ -53,12 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Read from the session; only when it is unset (local runs and tests) a
-    fresh folder is made and registered as the checkpoint dir.
+    fresh folder is made and registered as the checkpoint dir. On a cluster
+    without the setting, executors would write to their own disks: an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="kestrel-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
         d = spark.sparkContext.getCheckpointDir() or d

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Month names recognised in file names.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september",
           "october", "november", "december"]
-# Files above this count use a shuffle join for header detection instead of a broadcast.
-BROADCAST_FILES_MAX = 100_000
+# How a month is written in file names.
+MONTH_NAME_YEAR = r"(?i)(" + "|".join(MONTHS) + r")\s*([0-9]{4})"
+YEAR_MONTH = r"([0-9]{4})[-_ ]?([0-9]{2})\b"
 
 
 def write_line_files(lines: DataFrame, folder: str) -> None:
@@ -18,6 +21,29 @@ def write_line_files(lines: DataFrame, folder: str) -> None:
      .select("file", "line").write.mode("overwrite").partitionBy("file").text(folder))
 
 
+def clean_path(path: str) -> str:
+    return re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?/*", "/", path)
+
+
+def file_id(spark: SparkSession, folder: str, columns: list[str]) -> Column:
+    """Identity of the source file of a row: its path under ``folder``, so files of one name in
+    different sub-folders stay apart. A ``file=<name>`` folder names the source file itself."""
+    if "file" in columns:
+        return F.col("file")
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    root = clean_path(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()).rstrip("/")
+    return path_under(F.col("_metadata.file_path"), root)
+
+
+def path_under(path: Column, root: str) -> Column:
+    """A file's (URL-encoded) path relative to ``root``; the value of a ``file=`` folder if it has one."""
+    plain = F.regexp_replace(F.url_decode(path), r"^[A-Za-z0-9+.-]+:(//[^/]*)?/*", "/")
+    rel = F.substring(plain, F.lit(len(root) + 2), F.length(plain))
+    named = F.regexp_extract(rel, r"(?:^|/)file=([^/]+)/[^/]+$", 1)
+    return F.when(named != "", F.url_decode(named)).otherwise(rel)
+
+
 def scan_lines(spark: SparkSession, folder: str, stage: str) -> DataFrame:
     """Lines of every text file under ``folder`` -> (file, blk, ord, line, hdr).
 
@@ -25,11 +51,11 @@ def scan_lines(spark: SparkSession, folder: str, stage: str) -> DataFrame:
     id, so (blk, ord) is file order. Empty lines are dropped (CR, LF and CRLF
     all end a line). The ids depend on the split layout, so the lines are
     written once to ``stage`` before they are used twice; the header (first
-    line of each file) is then found with a per-file minimum, joined back by
-    broadcast when the file count is small (checked) and by a shuffle otherwise.
+    line of each file) is then found with a per-file minimum, joined back
+    (AQE picks the join from the table's real size).
     """
     raw = spark.read.option("basePath", folder).text(folder)
-    name = F.col("file") if "file" in raw.columns else F.url_decode(F.col("_metadata.file_name"))
+    name = file_id(spark, folder, raw.columns)
     staged = raw.select(name.alias("file"), F.col("_metadata.file_block_start").alias("blk"),
                         F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
     staged.filter(F.col("line") != "").write.mode("overwrite").parquet(stage)
@@ -38,9 +64,6 @@ def scan_lines(spark: SparkSession, folder: str, stage: str) -> DataFrame:
     # those rows meet the per-file minimum; later splits pass through.
     head_split = lines.filter(F.col("blk") == 0)
     first = head_split.groupBy("file").agg(F.min("ord").alias("ord")).withColumn("hdr", F.lit(True))
-    n_files = len(raw.inputFiles())
-    if n_files <= BROADCAST_FILES_MAX:
-        first = F.broadcast(first)
     marked = head_split.join(first, ["file", "ord"], "left").select(
         "file", "blk", "ord", "line", F.coalesce(F.col("hdr"), F.lit(False)).alias("hdr"))
     rest = lines.filter(F.col("blk") != 0).select("file", "blk", "ord", "line", F.lit(False).alias("hdr"))
@@ -51,14 +74,12 @@ def file_manifest(names: DataFrame, col: str = "file") -> DataFrame:
     """``.csv`` names (any case) with year and month from ``<Month> YYYY`` or ``YYYY[-_ ]?MM``."""
     n = names.select(F.col(col).alias("file")).distinct().filter(F.lower("file").endswith(".csv"))
     base = F.regexp_replace("file", r"(?i)\.csv$", "")
-    named = F.regexp_extract(base, r"(?i)(" + "|".join(MONTHS) + r")\s*([0-9]{4})", 0)
-    mname = F.lower(F.regexp_extract(base, r"(?i)(" + "|".join(MONTHS) + r")\s*([0-9]{4})", 1))
+    named, num = F.regexp_extract(base, MONTH_NAME_YEAR, 0), F.regexp_extract(base, YEAR_MONTH, 0)
+    mname = F.lower(F.regexp_extract(base, MONTH_NAME_YEAR, 1))
     mnum = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), mname).cast("int")
-    num = F.regexp_extract(base, r"([0-9]{4})[-_ ]?([0-9]{2})\b", 0)
-    y = (F.when(named != "", F.regexp_extract(base, r"(?i)(" + "|".join(MONTHS) + r")\s*([0-9]{4})", 2))
-         .when(num != "", F.regexp_extract(base, r"([0-9]{4})[-_ ]?([0-9]{2})\b", 1))).cast("int")
-    m = (F.when(named != "", mnum)
-         .when(num != "", F.regexp_extract(base, r"([0-9]{4})[-_ ]?([0-9]{2})\b", 2).cast("int")))
+    y = (F.when(named != "", F.regexp_extract(base, MONTH_NAME_YEAR, 2))
+         .when(num != "", F.regexp_extract(base, YEAR_MONTH, 1))).cast("int")
+    m = F.when(named != "", mnum).when(num != "", F.regexp_extract(base, YEAR_MONTH, 2).cast("int"))
     return n.select("file", y.alias("y"), m.alias("m"),
                     F.when(y.isNotNull(), F.format_string("%04d-%02d", y, m)).alias("ym"))
 

@@ -2,33 +2,80 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import urllib.parse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kestrel.operators.load import align_schema, canon_columns, coerce_types, load_new_files
+from kestrel.operators.load import align_schema, coerce_types
 from kestrel.schema import AUDIT_COLUMNS, AUDIT_LOG_SCHEMA
 from kestrel.session import path_exists
+from kestrel.sources.lines import clean_path, file_id, path_under
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "false"}
 
 
-def write_sheet_csv(sheet: DataFrame, folder: str) -> None:
+def write_sheet_csv(sheet: DataFrame, folder: str, columns=AUDIT_COLUMNS, mode: str = "overwrite") -> None:
     """Stage parsed sheets as CSV, one folder per source file, with display-style header names."""
-    display = [F.col(c).alias(c.replace("_", " ").title()) for c in AUDIT_COLUMNS]
+    display = [F.col(c).alias(c.replace("_", " ").title()) for c in columns]
     (sheet.repartition("file").sortWithinPartitions("file", "ord")
-     .select("file", *display).write.mode("overwrite").options(**CSV_OPTIONS).partitionBy("file").csv(folder))
-
-
-def read_staged(spark: SparkSession, folder: str) -> DataFrame:
-    """Every staged file, all columns as text (no inference), names canonicalized.
-
-    Only the empty cell becomes NULL (no other NA tokens).
+     .select("file", *display).write.mode(mode).options(**CSV_OPTIONS).partitionBy("file").csv(folder))
+
+
+def sheet_names(cells: list[str]) -> list[str]:
+    """I1 for one header row: names stripped, lower-cased, blanks to ``_``; the parse job writes two
+    columns called ``action``, which are told apart by position (C1)."""
+    names = [c.strip().lower().replace(" ", "_") for c in cells]
+    actions = [i for i, n in enumerate(names) if n == "action"]
+    if len(actions) == 2:
+        names[actions[0]], names[actions[1]] = "action_raw", "action_derived"
+    seen: dict[str, int] = {}
+    out = []
+    for n in names:  # any other repeated name keeps its first column under that name
+        seen[n] = seen.get(n, 0) + 1
+        out.append(n if seen[n] == 1 else f"{n}__{seen[n]}")
+    return out
+
+
+def read_staged(spark: SparkSession, folder: str, fmt: str = "csv", paths: list[str] | None = None) -> DataFrame:
+    """Every staged file (``csv``, ``json`` lines or ``parquet``), all columns as text, names
+    canonicalized (I1); only the empty cell becomes NULL (no other NA tokens).
+
+    CSV files are read by their own header rows: files with equal headers form one read, and the
+    reads are united by name. Only distinct headers and file names meet on the driver.
     """
-    raw = (spark.read.options(**CSV_OPTIONS).option("inferSchema", "false")
-           .option("basePath", folder).csv(folder))
-    name = F.col("file") if "file" in raw.columns else F.url_decode(F.col("_metadata.file_name"))
-    df = canon_columns(raw.withColumn("file", name))
-    return df
+    if fmt != "csv":
+        reader = spark.read.option("basePath", folder)
+        reader = reader.option("mergeSchema", "true") if fmt == "parquet" else reader.option("primitivesAsString", "true")
+        raw = reader.format(fmt).load(paths or folder)
+        name = file_id(spark, folder, raw.columns)
+        cells = [c for c in raw.columns if c != "file"]
+        return raw.select(name.alias("file"), *[F.col(f"`{c}`").cast("string").alias(n)
+                                                for c, n in zip(cells, sheet_names(cells))])
+    text = spark.read.option("basePath", folder).text(paths or folder)
+    first = (text.filter(F.col("_metadata.file_block_start") == 0)
+             .select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("i"), "value")
+             .groupBy("path").agg(F.min_by("value", "i").alias("header")))
+    by_header: dict[str, list[str]] = {}
+    for r in first.collect():  # one row per file, as in the listing
+        by_header.setdefault(r["header"], []).append(r["path"])
+    out = None
+    for header, paths in sorted(by_header.items()):
+        names = sheet_names(next(csv.reader([header.lstrip("﻿")])))
+        schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
+        raw = (spark.read.options(**CSV_OPTIONS).option("basePath", folder).option("enforceSchema", "true")
+               .schema(schema).csv([_decoded(p) for p in paths]))
+        part = raw.select(file_id(spark, folder, raw.columns).alias("file"),
+                          *[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "file string")
+
+
+def _decoded(path: str) -> str:
+    return urllib.parse.unquote(path)
 
 
 def load_typed(staged: DataFrame) -> DataFrame:
@@ -55,23 +102,44 @@ def reset_log(spark: SparkSession, name: str, path: str) -> None:
 def append_log(typed: DataFrame, path: str) -> None:
     """Append typed rows, partitioned by month."""
     (typed.withColumn("audit_month", F.date_format("audit_time", "yyyy-MM"))
-     .sortWithinPartitions("audit_month", "audit_time")
+     .hint("rebalance", "audit_month").sortWithinPartitions("audit_month", "audit_time")
      .write.mode("append").partitionBy("audit_month").parquet(path))
 
 
-def load_folder(spark: SparkSession, folder: str, table_path: str, manifest_path: str) -> DataFrame:
-    """I6 + S10: load the staged files not in the load manifest, then record them there.
-
-    Returns the rows appended in this call.
+def staged_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, file, size): the files of a staged folder from a listing; no file is opened."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, rows = fs.listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            rows.append((f.getPath().toString(), int(f.getLen())))
+    root = clean_path(fs.makeQualified(p).toString()).rstrip("/")
+    listed = spark.createDataFrame(rows, "path string, size bigint")
+    return listed.select("path", path_under(F.col("path"), root).alias("file"), "size")
+
+
+def load_folder(spark: SparkSession, folder: str, table_path: str, manifest_path: str, fmt: str = "csv") -> DataFrame:
+    """I6 + S10: load the staged files that the load manifest does not name, then record them there.
+
+    Only new files are read. Rows and manifest entries go under a load id made
+    from the new files' names and replace what that id wrote before, so a load
+    that broke off between the two writes can be run again. Returns the rows
+    loaded in this call.
     """
-    staged = read_staged(spark, folder)
+    files = staged_files(spark, folder)
     if path_exists(spark, manifest_path):
-        manifest = spark.read.parquet(manifest_path)
-    else:  # first load: no manifest yet
-        manifest = spark.createDataFrame([], "file string")
-    new = load_typed(load_new_files(staged, manifest))
-    append_log(new, table_path)
-    appended = spark.read.parquet(table_path)
-    new_files = staged.select("file").distinct().join(manifest.select("file"), "file", "left_anti")
-    new_files.write.mode("append").parquet(manifest_path)
-    return appended
+        files = files.join(spark.read.parquet(manifest_path).select("file"), "file", "left_anti")
+    new = files.select("path", "file").collect()  # the listing of one load
+    if not new:
+        return load_typed(spark.createDataFrame([], "file string"))
+    load_id = hashlib.sha256("\n".join(sorted({r["file"] for r in new})).encode()).hexdigest()[:16]
+    rows = load_typed(read_staged(spark, folder, fmt, [urllib.parse.unquote(r["path"]) for r in new]))
+    out = rows.withColumn("audit_month", F.date_format("audit_time", "yyyy-MM")).withColumn("load_id", F.lit(load_id))
+    (out.hint("rebalance", "audit_month").sortWithinPartitions("audit_month", "audit_time").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("load_id", "audit_month").parquet(table_path))
+    done = spark.createDataFrame(sorted({(r["file"], load_id) for r in new}), "file string, load_id string")
+    (done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_id").parquet(manifest_path))
+    return spark.read.parquet(table_path).filter(F.col("load_id") == load_id)

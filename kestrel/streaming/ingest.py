@@ -4,8 +4,8 @@ New files are picked up once, in bounded bites (``maxFilesPerTrigger``); a
 micro-batch holds whole files, so session pairing inside it is exact. Each
 batch is parsed in the same pass that stages it (its line ids depend on the
 split layout), paired and appended under ``batch_id=<n>`` with overwrite, so a retried
-epoch replaces its own output instead of duplicating it. Progress per batch
-comes from the query's progress reports.
+epoch replaces its own output instead of duplicating it. Metrics per batch
+are persisted with the batch.
 """
 
 from __future__ import annotations
@@ -15,14 +15,10 @@ from pyspark.sql import functions as F
 
 from kestrel.operators.load import to_audit_log
 from kestrel.operators.sessions import pair_sessions
+from kestrel.sources.lines import file_id
 
-FILES_PER_TRIGGER = 1
-
-
-def _file_name(path_col):
-    part = F.regexp_extract(path_col, r"/file=([^/]+)/[^/]+$", 1)
-    return F.when(part != "", F.url_decode(part)).otherwise(
-        F.url_decode(F.regexp_extract(path_col, r"([^/]+)$", 1)))
+# New files per micro-batch; a micro-batch always holds whole files.
+FILES_PER_TRIGGER = 64
 
 
 def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER,
@@ -34,7 +30,7 @@ def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = FILE
             .option("latestFirst", str(latest_first).lower())
             .option("recursiveFileLookup", "true")
             .load(folder)
-            .select(_file_name(F.col("_metadata.file_path")).alias("file"),
+            .select(file_id(spark, folder, []).alias("file"),
                     F.col("_metadata.file_block_start").alias("blk"),
                     F.col("value").alias("line")))
 
@@ -43,15 +39,13 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out: str
     """P16 -> J1 -> S10 for one micro-batch of whole files."""
     from kestrel.plans.load_job import parse_staged
 
-    # The header table has one row per file of the micro-batch, a count bounded
-    # by maxFilesPerTrigger, so it is always broadcast (file count passed as 0).
-    body = parse_staged(spark, batch, f"{stage}/parsed/batch_id={batch_id}", 0)
+    body = parse_staged(spark, batch, f"{stage}/parsed/batch_id={batch_id}")
     typed = to_audit_log(pair_sessions(body))
     obs = Observation(f"batch_{batch_id}")
     observed = typed.observe(obs, F.count(F.lit(1)).alias("rows_written"),
                              F.count("session_duration").alias("sessions"),
                              F.count("reason").alias("repaired_rows"))
-    (observed.sortWithinPartitions("audit_month", "audit_time")
+    (observed.hint("rebalance", "audit_month").sortWithinPartitions("audit_month", "audit_time")
      .write.mode("overwrite").partitionBy("audit_month").parquet(f"{out}/batch_id={batch_id}"))
     # One metrics row per epoch, overwritten on a retry of the same epoch.
     m = obs.get
@@ -78,7 +72,8 @@ def batch_metrics(spark: SparkSession, stage: str) -> DataFrame:
     return spark.read.parquet(f"{stage}/metrics")
 
 
-def stream_metrics(spark: SparkSession, query) -> DataFrame:
-    """Rows read per micro-batch from the query's progress reports."""
-    rows = [(int(p["batchId"]), int(p["numInputRows"])) for p in query.recentProgress if p["numInputRows"] > 0]
-    return spark.createDataFrame(rows, "batch_id bigint, input_rows bigint")
+def stream_metrics(spark: SparkSession, stage: str) -> DataFrame:
+    """Lines read per source file and micro-batch, from the persisted rows of every epoch (the
+    query's own progress list keeps the latest entries only)."""
+    parsed = spark.read.parquet(f"{stage}/parsed")
+    return parsed.groupBy("batch_id", "file").agg(F.count(F.lit(1)).alias("input_rows"))

@@ -6,7 +6,7 @@ from conftest import SF_SMALL
 from kestrel.operators import answers as A
 from kestrel.operators import reports as R
 from kestrel.operators.parse import parse_log
-from kestrel.operators.querylog import collect_with_timeout, run_guarded_sql
+from kestrel.operators.querylog import run_guarded_sql, with_timeout
 from kestrel.plans.catalog import audit_log
 from kestrel.sources.fixture import audit_lines
 
@@ -41,4 +41,4 @@ def test_guard_rejects_and_timeout_cancels(spark):
         run_guarded_sql(spark, "DELETE FROM audit_log")
     slow = spark.range(0, 10**12, 1, 8).select(F.sum(F.col("id") % 7).alias("s"))
     with pytest.raises(Exception):
-        collect_with_timeout(spark, slow, 2.0)
+        with_timeout(spark, slow.collect, 2.0)
