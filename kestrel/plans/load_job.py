@@ -45,8 +45,8 @@ def quarantine_path(table_path: str) -> str:
 
 
 def load_raw_folder(spark: SparkSession, folder: str, table_path: str) -> DataFrame:
-    raw = spark.read.option("basePath", folder).text(folder)
-    lines = raw.select(file_id(spark, folder, raw.columns).alias("file"), F.col("_metadata.file_block_start").alias("blk"),
+    raw = spark.read.option("recursiveFileLookup", "true").text(folder)
+    lines = raw.select(file_id(spark, folder).alias("file"), F.col("_metadata.file_block_start").alias("blk"),
                        F.col("value").alias("line"))
     body = parse_staged(spark, lines, scratch_dir(spark, "parsed_stage"))
     # Lines whose time cannot be read stay in the table without a time, and are reported with their text.

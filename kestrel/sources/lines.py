@@ -25,11 +25,9 @@ def clean_path(path: str) -> str:
     return re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?/*", "/", path)
 
 
-def file_id(spark: SparkSession, folder: str, columns: list[str]) -> Column:
+def file_id(spark: SparkSession, folder: str) -> Column:
     """Identity of the source file of a row: its path under ``folder``, so files of one name in
     different sub-folders stay apart. A ``file=<name>`` folder names the source file itself."""
-    if "file" in columns:
-        return F.col("file")
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(folder)
     root = clean_path(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()).rstrip("/")
@@ -54,8 +52,8 @@ def scan_lines(spark: SparkSession, folder: str, stage: str) -> DataFrame:
     line of each file) is then found with a per-file minimum, joined back
     (AQE picks the join from the table's real size).
     """
-    raw = spark.read.option("basePath", folder).text(folder)
-    name = file_id(spark, folder, raw.columns)
+    raw = spark.read.option("recursiveFileLookup", "true").text(folder)
+    name = file_id(spark, folder)
     staged = raw.select(name.alias("file"), F.col("_metadata.file_block_start").alias("blk"),
                         F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
     staged.filter(F.col("line") != "").write.mode("overwrite").parquet(stage)

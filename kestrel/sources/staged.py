@@ -48,14 +48,13 @@ def read_staged(spark: SparkSession, folder: str, fmt: str = "csv", paths: list[
     reads are united by name. Only distinct headers and file names meet on the driver.
     """
     if fmt != "csv":
-        reader = spark.read.option("basePath", folder)
+        reader = spark.read.option("recursiveFileLookup", "true")
         reader = reader.option("mergeSchema", "true") if fmt == "parquet" else reader.option("primitivesAsString", "true")
         raw = reader.format(fmt).load(paths or folder)
-        name = file_id(spark, folder, raw.columns)
-        cells = [c for c in raw.columns if c != "file"]
+        name = file_id(spark, folder)
         return raw.select(name.alias("file"), *[F.col(f"`{c}`").cast("string").alias(n)
-                                                for c, n in zip(cells, sheet_names(cells))])
-    text = spark.read.option("basePath", folder).text(paths or folder)
+                                                for c, n in zip(raw.columns, sheet_names(raw.columns)) if n != "file"])
+    text = spark.read.option("recursiveFileLookup", "true").text(paths or folder)
     first = (text.filter(F.col("_metadata.file_block_start") == 0)
              .select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("i"), "value")
              .groupBy("path").agg(F.min_by("value", "i").alias("header")))
@@ -66,9 +65,9 @@ def read_staged(spark: SparkSession, folder: str, fmt: str = "csv", paths: list[
     for header, paths in sorted(by_header.items()):
         names = sheet_names(next(csv.reader([header.lstrip("﻿")])))
         schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
-        raw = (spark.read.options(**CSV_OPTIONS).option("basePath", folder).option("enforceSchema", "true")
+        raw = (spark.read.options(**CSV_OPTIONS).option("recursiveFileLookup", "true").option("enforceSchema", "true")
                .schema(schema).csv([_decoded(p) for p in paths]))
-        part = raw.select(file_id(spark, folder, raw.columns).alias("file"),
+        part = raw.select(file_id(spark, folder).alias("file"),
                           *[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out if out is not None else spark.createDataFrame([], "file string")

@@ -30,7 +30,7 @@ def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = FILE
             .option("latestFirst", str(latest_first).lower())
             .option("recursiveFileLookup", "true")
             .load(folder)
-            .select(file_id(spark, folder, []).alias("file"),
+            .select(file_id(spark, folder).alias("file"),
                     F.col("_metadata.file_block_start").alias("blk"),
                     F.col("value").alias("line")))
 
