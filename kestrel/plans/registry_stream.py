@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from kestrel.operators.parse import parse_log
@@ -14,7 +12,7 @@ from kestrel.session import scratch_dir
 from kestrel.sources.fixture import audit_lines
 from kestrel.sources.lines import write_line_files
 from kestrel.streaming import ingest as W
-from kestrel.streaming.live import live_sessions
+from kestrel.streaming.live import live_sessions, write_sessions
 
 _RUNS: dict = {}
 
@@ -55,11 +53,9 @@ def q_live_sessions(spark, sf):
     parsed = parse_log(lines).withColumn(
         "ord", F.coalesce(F.col("id").try_cast("bigint"), F.unix_millis("ts")))
     sessions = live_sessions(parsed)
-    name = f"live_{uuid.uuid4().hex[:12]}"
-    q = (sessions.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", scratch_dir(spark, "live_ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name).select("file", "skey", "session_duration")
+    path = scratch_dir(spark, "live_sessions")
+    write_sessions(sessions, path, scratch_dir(spark, "live_ckpt"))
+    return spark.read.parquet(path).select("file", "skey", "start_ord", "end_ord", "session_duration")
 
 
 QUERIES = {
@@ -75,4 +71,25 @@ ORACLE = {
     "stream_batch_metrics": with_log(
         "SELECT COUNT(*) AS rows_written, COUNT(session_duration) AS sessions, COUNT(reason) AS repaired_rows "
         "FROM audit_log"),
+    # Causal pairing in plain SQL: the stack's height is the running sum of starts and timed ends,
+    # raised by its lowest point below zero; a start that reaches height k is closed by the next end
+    # that leaves height k.
+    "live_sessions": with_log("""
+, ev1 AS (SELECT file, skey, ord, audit_time AS ts, is_start, is_end AND audit_time IS NOT NULL AS en, is_auto
+          FROM rows1 WHERE is_start OR is_end),
+run AS (SELECT *, SUM(is_start::INT - en::INT) OVER w AS s FROM ev1 WINDOW w AS (PARTITION BY file, skey ORDER BY ord)),
+low AS (SELECT *, s - least(0, MIN(s) OVER w) AS height FROM run WINDOW w AS (PARTITION BY file, skey ORDER BY ord)),
+lev AS (SELECT *, CASE WHEN is_start THEN height ELSE COALESCE(lag(height) OVER w, 0) END AS k FROM low
+        WHERE is_start OR en WINDOW w AS (PARTITION BY file, skey ORDER BY ord)),
+nxt AS (SELECT *, lead(is_start) OVER w AS next_start, lead(ord) OVER w AS end_ord, lead(ts) OVER w AS end_ts,
+               lead(is_auto) OVER w AS end_auto
+        FROM lev WHERE k > 0 WINDOW w AS (PARTITION BY file, skey, k ORDER BY ord)),
+cl AS (SELECT file, skey, ord AS start_ord, end_ord, end_auto,
+              greatest(0, floor((epoch_ms(end_ts) - epoch_ms(COALESCE(ts, end_ts))) / 1000.0))::BIGINT AS raw
+       FROM nxt WHERE is_start AND NOT next_start)
+SELECT file, skey, CAST(start_ord AS BIGINT) AS start_ord, CAST(end_ord AS BIGINT) AS end_ord,
+       CAST(CASE WHEN end_auto THEN least(raw, 28800)
+                 WHEN raw > 28000 THEN CASE WHEN raw // 86400 <= 1 THEN 28000 ELSE (raw // 86400) * 28000 END
+                 ELSE raw END AS INTEGER) AS session_duration
+FROM cl"""),
 }

@@ -9,6 +9,7 @@ by the open sessions of that key. Never compared with the batch pairing.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,48 +17,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kestrel.operators.sessions import AUTO_END_CAP, DAY, DAY_CAP
+from kestrel.operators.sessions import session_duration
 
 OUT_SCHEMA = ("file string, skey string, start_ord bigint, end_ord bigint, "
-              "session_start timestamp, session_end timestamp, session_duration int")
+              "session_start timestamp, session_end timestamp, is_auto boolean")
 STATE_SCHEMA = "ords array<bigint>, ts_ms array<bigint>"
+# A key without events for so long loses its open starts, in a query that keeps running.
+EXPIRY_MS = 7 * 24 * 3600 * 1000
+NO_TIME = -1
 
 
-def _duration(raw: int, auto: bool) -> int:
-    if auto:
-        return min(raw, AUTO_END_CAP)
-    if raw > DAY_CAP:
-        days = raw // DAY
-        return DAY_CAP if days <= 1 else days * DAY_CAP
-    return raw
-
-
-def _pair_key(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _pair_key(key, batches: Iterator[pd.DataFrame], state: GroupState, expiry_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     ords, tss = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-    rows = pd.concat(list(batches)).sort_values("ord")
+    rows = pd.concat(list(batches)).sort_values("ord")  # one key's events of one micro-batch
+    ms = rows["ts"].astype("datetime64[ms]").astype("int64").where(rows["ts"].notna(), NO_TIME)
     out = []
-    for r in rows.itertuples(index=False):
-        ts = None if pd.isna(r.ts) else int(pd.Timestamp(r.ts).value // 1_000_000)
-        if r.is_start:
-            ords.append(int(r.ord))
-            tss.append(ts if ts is not None else -1)
-        if r.is_end and ts is not None and ords:
-            s_ord, s_ts = ords.pop(), tss.pop()
-            start_ms = ts if s_ts < 0 else s_ts
-            raw = max(0, (ts - start_ms) // 1000)
-            out.append((key[0], key[1], s_ord, int(r.ord),
-                        None if s_ts < 0 else pd.Timestamp(s_ts, unit="ms"), pd.Timestamp(ts, unit="ms"),
-                        _duration(raw, bool(r.is_auto))))
+    for ord_, ts, start, end, auto in zip(rows["ord"], ms, rows["is_start"], rows["is_end"], rows["is_auto"]):
+        if start:
+            ords.append(int(ord_))
+            tss.append(int(ts))
+        if end and ts != NO_TIME and ords:
+            s_ts = tss.pop()
+            out.append((key[0], key[1], ords.pop(), int(ord_), None if s_ts == NO_TIME else pd.Timestamp(s_ts, unit="ms"),
+                        pd.Timestamp(ts, unit="ms"), bool(auto)))
     state.update((ords, tss))
-    yield pd.DataFrame(out, columns=["file", "skey", "start_ord", "end_ord", "session_start",
-                                     "session_end", "session_duration"])
+    if expiry_ms:
+        state.setTimeoutDuration(expiry_ms)
+    yield pd.DataFrame(out, columns=["file", "skey", "start_ord", "end_ord", "session_start", "session_end", "is_auto"])
+
 
+def live_sessions(parsed_stream: DataFrame, expiry_ms: int | None = None) -> DataFrame:
+    """Streaming parsed rows -> closed sessions as they happen (append mode).
 
-def live_sessions(parsed_stream: DataFrame) -> DataFrame:
-    """Streaming parsed rows -> closed sessions as they happen (append mode)."""
+    ``expiry_ms`` (say EXPIRY_MS) drops the open starts of keys without events for so long. It is
+    for queries that keep running: with a processing-time timeout a drained ``availableNow`` query
+    would wait for the next timeout instead of ending.
+    """
     from kestrel.session import ship_package
     ship_package(parsed_stream.sparkSession)
     ev = parsed_stream.filter(F.col("is_start") | F.col("is_end")).select(
         "file", "skey", "ord", "ts", "is_start", "is_end", "is_auto")
-    return ev.groupBy("file", "skey").applyInPandasWithState(
-        _pair_key, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    closed = ev.groupBy("file", "skey").applyInPandasWithState(
+        functools.partial(_pair_key, expiry_ms=expiry_ms), OUT_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if expiry_ms else GroupStateTimeout.NoTimeout)
+    duration = session_duration(F.col("session_start"), F.col("session_end"), F.col("is_auto"))
+    return closed.withColumn("session_duration", duration).drop("is_auto")
+
+
+def write_sessions(sessions: DataFrame, path: str, checkpoint: str):
+    """Drain the stream into a table: each epoch overwrites its own folder, so a retried epoch
+    leaves no duplicates. Returns the finished query."""
+    q = (sessions.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch_id={n}"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
