@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.text import WS, jtrim
 
+# The complement of the whitespace class.
+NON_WS = r"[^\s\p{Z}\x{FEFF}]"
+
 # The extraction patterns, tried in this order, case-insensitive.
 RECIPE_ID_QUOTED = r"(?i)Recipe ID:\s*'([^']+)'"
 RECIPE_ID_PLAIN = r"(?i)Recipe ID:\s*([^|,'" + '"' + r"]+)"
@@ -21,12 +24,15 @@ AUTO_END_VERB = r"(?i)(^|\s)auto-check in\b"
 
 
 def recipe_id(message: Column) -> Column:
-    """First pattern that matches wins, even if its capture trims to ''; then cut at the first '|'."""
-    raw = (F.when(message.rlike(RECIPE_ID_QUOTED), jtrim(F.regexp_extract(message, RECIPE_ID_QUOTED, 1)))
-           .when(message.rlike(RECIPE_ID_PLAIN), jtrim(F.regexp_extract(message, RECIPE_ID_PLAIN, 1)))
-           .when(message.rlike(RECIPE_ID_WORD), jtrim(F.regexp_extract(message, RECIPE_ID_WORD, 0)))
-           .otherwise(F.lit("")))
-    return jtrim(F.substring_index(raw, "|", 1))
+    """First pattern that matches wins, even if its capture trims to ''; then cut at the first '|'.
+
+    A capture is never empty when its pattern matches, so each pattern runs once, and none runs
+    on a message without the word."""
+    quoted = F.regexp_extract(message, RECIPE_ID_QUOTED, 1)
+    plain = F.regexp_extract(message, RECIPE_ID_PLAIN, 1)
+    raw = (F.when(F.instr(F.lower(message), "recipe") == 0, F.lit(""))
+           .when(quoted != "", quoted).when(plain != "", plain).otherwise(F.regexp_extract(message, RECIPE_ID_WORD, 0)))
+    return jtrim(F.substring_index(jtrim(raw), "|", 1))
 
 
 def recipe_name(type_: Column, label: Column) -> Column:
@@ -54,8 +60,8 @@ def split_user(user: Column) -> Column:
 
 def action_derived(message: Column) -> Column:
     """First four whitespace-separated words of the message."""
-    words = F.split(F.regexp_replace(jtrim(message), f"{WS}+", " "), " ", -1)
-    return F.array_join(F.slice(words, 1, 4), " ")
+    head = F.regexp_extract(message, rf"^{WS}*({NON_WS}+(?:{WS}+{NON_WS}+){{0,3}})", 1)
+    return F.regexp_replace(head, f"{WS}+", " ")
 
 
 def session_key(username: Column, user_cell: Column, rid: Column, rname: Column) -> Column:
@@ -64,13 +70,22 @@ def session_key(username: Column, user_cell: Column, rid: Column, rname: Column)
     return F.concat(who, F.lit("|"), what)
 
 
+def _says(message: Column, *phrases: str) -> Column:
+    """Whether a phrase occurs at all, any case: a cheap test before the word-boundary pattern."""
+    low = F.lower(message)
+    hit = F.contains(low, F.lit(phrases[0]))
+    for p in phrases[1:]:
+        hit = hit | F.contains(low, F.lit(p))
+    return hit
+
+
 def is_start(message: Column) -> Column:
-    return message.rlike(START_VERB)
+    return _says(message, "checked out recipe") & message.rlike(START_VERB)
 
 
 def is_end(message: Column) -> Column:
-    return message.rlike(END_VERBS)
+    return _says(message, "checked in recipe", "discarded checkout", "updated recipe", "auto-check in") & message.rlike(END_VERBS)
 
 
 def is_auto_end(message: Column) -> Column:
-    return message.rlike(AUTO_END_VERB)
+    return _says(message, "auto-check in") & message.rlike(AUTO_END_VERB)
