@@ -161,6 +161,7 @@ def sample_pairs(spark: SparkSession, log: DataFrame) -> DataFrame:
         x = x.crossJoin(n).withColumn(f"{key}_i", slot_digits(rid, slot) % F.col(f"{key}_n")).join(df, f"{key}_i", "left")
     x = x.withColumn("limit", F.element_at(F.array(*[F.lit(str(v)) for v in LIMITS]),
                                            (slot_digits(rid, 5) % len(LIMITS) + 1).cast("int")))
+    x = x.withColumns({"user_sql": quoted(F.col("user")), "kw_sql": pattern_text(F.col("kw"))})
     return x.select("row_id", "category", "template", *_texts())
 
 
@@ -187,13 +188,13 @@ def _texts() -> list[Column]:
     """Question and SQL of a row, chosen by its report."""
     values = {"user": [F.col("user")], "kw": [F.col("kw")], "absent": [F.col("kw")],
               "window": [F.col("win_a"), F.col("win_b")], "limit": [F.col("limit")]}
+    in_sql = values | {"user": [F.col("user_sql")], "kw": [F.col("kw_sql")], "absent": [F.col("kw_sql")]}
     question = sql = F.lit(None).cast("string")
     for r in REPORTS:
         slots = [s for s in SLOTS if s in r.slots]
         said = [fill(SLOTS[s][0], *values[s]) for s in slots]
         cond = [F.lit(w) for w in r.where]
-        cond += [fill(SLOTS[s][1], *[pattern_text(v) if s in ("kw", "absent") else quoted(v) for v in values[s]])
-                 for s in slots if SLOTS[s][1]]
+        cond += [fill(SLOTS[s][1], *in_sql[s]) for s in slots if SLOTS[s][1]]
         # array_join leaves out the conditions whose slot has no value.
         q = F.concat_ws(": ", F.lit(r.title), F.nullif(F.array_join(F.array(*said), ", "), F.lit(""))) if said else F.lit(r.title)
         s = F.concat(F.lit(f"SELECT {r.select} FROM {TABLE} WHERE "), F.array_join(F.array(*cond), " AND "),
