@@ -3,10 +3,9 @@
 Everything is native: URL parts, rules and features are column expressions, the
 trees are fitted and applied by Spark ML. The labelled URLs are pages whose
 path ends in the number of a labelled document; a URL is bad when that
-document's quality label is 0. The trees are fitted on a bounded sample of
-them (``TRAIN_URLS``); suffix statistics (how often a host's last label occurs
-there, and its smoothed share of bad URLs) are joined from a table no larger
-than the sample.
+document's quality label is 0. Suffix statistics (how often a host's last label
+occurs among all labelled URLs, and its smoothed share of bad ones) are joined
+from a staged table; only the trees' fit is on a bounded sample (``TRAIN_URLS``).
 
 Cases: a null URL, or one without ``://``, has an empty host and path, fits no
 rule and gets the trees' verdict on empty features; an empty path does not
@@ -25,7 +24,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import bounded_sample, id_text, staged
+from kestrel.llm.common import bounded_sample, id_text, small_side, staged
 
 # Fixed values: (verdict, host, path); the longest rule that fits decides.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -99,20 +98,21 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def with_suffix(df: DataFrame, suffixes: DataFrame, share: float) -> DataFrame:
-    return (df.join(F.broadcast(suffixes), "suffix", "left")
+    return (df.join(suffixes, "suffix", "left")
             .fillna({"suffix_urls": 0.0, "suffix_bad": share}))
 
 
 def train(labelled: DataFrame) -> tuple[PipelineModel | float, DataFrame | None, float]:
-    """(fitted trees, or the one class there is; suffix statistics; share of bad URLs)."""
-    rows = staged(with_features(with_parts(bounded_sample(labelled, id_text("page_id"), TRAIN_URLS))), "url_sample")
+    """(fitted trees, or the one class there is; suffix statistics and share of bad URLs over all labelled)."""
+    every = staged(with_features(with_parts(labelled)).select("page_id", "url", "bad", "suffix"), "url_labelled")
+    rows = staged(with_features(with_parts(bounded_sample(every, id_text("page_id"), TRAIN_URLS))), "url_sample")
     n, bad = rows.agg(F.count(F.lit(1)), F.sum("bad")).first()
     if not n or bad in (0.0, float(n)):
         return (1.0 if n and bad else 0.0), None, 0.0
-    share = bad / n
-    suffixes = staged(rows.groupBy("suffix").agg(
+    share = every.agg(F.avg("bad")).first()[0]
+    suffixes = small_side(staged(every.groupBy("suffix").agg(
         F.count(F.lit(1)).cast("double").alias("suffix_urls"),
-        ((F.sum("bad") + PRIOR_ROWS * share) / (F.count(F.lit(1)) + PRIOR_ROWS)).alias("suffix_bad")), "url_suffixes")
+        ((F.sum("bad") + PRIOR_ROWS * share) / (F.count(F.lit(1)) + PRIOR_ROWS)).alias("suffix_bad")), "url_suffixes"))
     # The sample is bounded; in one sorted partition its sums, and so the trees, are always the same.
     rows = with_suffix(rows, suffixes, share).coalesce(1).sortWithinPartitions("page_id", "url")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")

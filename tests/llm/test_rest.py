@@ -241,6 +241,26 @@ def test_url_trees_learn(spark):
     assert sorted((r.page_id, r.verdict) for r in again) == sorted((r.page_id, r.verdict) for r in out)
 
 
+def test_url_suffixes_count_all_labelled(spark, monkeypatch):
+    """Suffix statistics are of all labelled URLs, however few the trees are fitted on."""
+    monkeypatch.setattr(urls, "TRAIN_URLS", 60)
+    end = [f"r{i // 4}" if i % 3 else "com" for i in range(900)]
+    bad = [float(i % 5 == 0) for i in range(900)]
+    labelled = spark.createDataFrame([(i, f"http://h.{end[i]}/en/{i}", bad[i]) for i in range(900)], "page_id bigint, url string, bad double")
+    _, suffixes, share = urls.train(labelled)
+    assert share == pytest.approx(sum(bad) / 900)
+    want = {}
+    for e, b in zip(end, bad):
+        n, s = want.get(e, (0, 0))
+        want[e] = n + 1, s + b
+    got = {r.suffix: (r.suffix_urls, r.suffix_bad) for r in suffixes.collect()}
+    assert got == {e: (n, pytest.approx((s + urls.PRIOR_ROWS * share) / (n + urls.PRIOR_ROWS))) for e, (n, s) in want.items()}
+    pages = labelled.selectExpr("page_id", "url")
+    out = {(r.page_id, r.verdict) for r in urls.judge(pages, labelled).collect()}
+    monkeypatch.setattr("kestrel.llm.common.BROADCAST_ROWS", 0)
+    assert {(r.page_id, r.verdict) for r in urls.judge(pages, labelled).collect()} == out and len(out) == 900
+
+
 def test_url_single_class_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://x.net/en/1", "")], PAGES)
     bad = spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int")
