@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject toxic texts."""
     ship_package(spark)
-    chain = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"))
+    chain = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"), seeds=None)
     scored = toxicity.score(docs, chain, docs.columns, prefix="_p_")
     return scored.filter(F.col("_p_toxic") < toxicity.THRESHOLD).select(*docs.columns)
 

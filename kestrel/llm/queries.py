@@ -41,7 +41,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs = table(spark, sf_dir, "documents")
-    chain = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"))
+    chain = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"), seeds=None)
     out = toxicity.score(docs, chain, ["doc_id"])
     return out.withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
 

@@ -44,10 +44,11 @@ L2 = 2e-5
 THRESHOLD = 0.5
 SLICE = 1 << 20
 
-# Seed words of the two finer categories, applied to labelled toxic texts.
-INSULTS = ("idiot", "moron", "loser", "clown", "scum", "trash")
-CONTEMPT = ("stupid", "pathetic", "worthless", "disgusting")
-CATEGORIES = ("insult", "contempt", "toxic")
+# Seed words of two finer categories, for a caller who wants these: English words, and those of the given tables.
+SEEDS = {"insult": ("idiot", "moron", "loser", "clown", "scum", "trash"),
+         "contempt": ("stupid", "pathetic", "worthless", "disgusting")}
+# The chain of the labels' own columns.
+LABELLED = ("low_quality", "toxic")
 
 # Letters, digits and all bytes of other scripts belong to words.
 IN_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -200,7 +201,9 @@ def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", te
     flags = [F.col(x).cast("int").alias(x) for x in categories]
     fold = F.pmod(F.xxhash64(id_text(id_col)), F.lit(FOLDS)).cast("int").alias("fold")
     base = staged(labelled.select(F.col(text_col).alias("text"), fold, *flags), "toxicity_sample")
-    counts = ", ".join(f"`{x}` bigint" for x in categories)
+    # Per category: the rows whose label is known, and the positive ones.
+    known = [f"n_{x}" for x in categories]
+    counts = ", ".join(f"`{x}` bigint" for x in [*known, *categories])
 
     def list_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features()
@@ -218,24 +221,25 @@ def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", te
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, lookup = Features(), Lookup(wanted.value)
-        n = np.zeros((1 + len(categories), len(lookup.features)), np.int64)
+        n = np.zeros((2 * len(categories), len(lookup.features)), np.int64)
         for batch in batches:
             for part in slices(batch, 0, SLICE):
                 at, row = lookup(*of(part.column(0)))
-                n[0] += np.bincount(at, minlength=n.shape[1])
-                for j in range(len(categories)):
-                    y = part.column(2 + j).fill_null(0).to_numpy(zero_copy_only=False)
-                    n[1 + j] += np.bincount(at, y[row], minlength=n.shape[1]).astype(np.int64)
-        hit = np.nonzero(n[0])[0]
+                flags = part.columns[2:]
+                for j, y in enumerate([*[x.is_valid() for x in flags], *[x.fill_null(0) for x in flags]]):
+                    n[j] += np.bincount(at, y.to_numpy(zero_copy_only=False)[row], minlength=n.shape[1]).astype(np.int64)
+        hit = np.nonzero(n.any(axis=0))[0]
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), *[pa.array(x[hit], pa.int64()) for x in n]],
-                                         ["at", "n", *categories])
+                                         ["at", *known, *categories])
 
-    totals = base.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in categories]).first()
+    totals = base.agg(*[F.count(x).alias(n) for n, x in zip(known, categories)],
+                      *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in categories]).first()
     features = often
     if len(often):
-        sums = (base.mapInArrow(count, "at int, n bigint, " + counts).groupBy("at")
-                .agg(*[F.sum(x).alias(x) for x in ["n", *categories]]).toPandas().sort_values("at"))
-        score = np.max([lean(sums["n"].to_numpy(), sums[x].to_numpy(), totals["n"], totals[x]) for x in categories], axis=0)
+        sums = (base.mapInArrow(count, "at int, " + counts).groupBy("at")
+                .agg(*[F.sum(x).alias(x) for x in [*known, *categories]]).toPandas().sort_values("at"))
+        score = np.max([lean(sums[n].to_numpy(), sums[x].to_numpy(), totals[n], totals[x])
+                        for n, x in zip(known, categories)], axis=0)
         features = often[sums["at"].to_numpy()[score >= 2 * np.log(len(often) / BY_CHANCE)]]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,14 +279,19 @@ def score(df: DataFrame, chain: Chain, keep: list[str], text_col: str = "text",
     return df.select(text_col, *cols).mapInArrow(run, schema)
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame) -> Chain:
-    """The chain insult -> contempt -> toxic from the labelled documents: ``toxic`` is the given
-    label, the finer categories are toxic texts that hold one of the category's seed words."""
-    once = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # About TRAIN_DOCS rows of an id and a flag: small enough to send to every task.
+def fit_documents(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] | None = SEEDS) -> Chain:
+    """A chain from the labelled documents that ends in the given label ``toxic``. Without ``seeds``
+    its earlier link is the other given label (quality 0); with them, the links are toxic texts
+    that hold one of a category's seed words."""
+    flags = {"low_quality": (F.col("quality") == 0).cast("int"), "toxic": F.col("toxic")}
+    used = ["toxic"] if seeds else list(LABELLED)
+    once = (labels.select("doc_id", *[flags[x].alias(x) for x in used])
+            .filter("doc_id is not null and (" + " or ".join(f"{x} is not null" for x in used) + ")")
+            .groupBy("doc_id").agg(*[F.max(x).alias(x) for x in used]))
+    # About TRAIN_DOCS rows of an id and flags: small enough to send to every task.
     sample = bounded_sample(once, id_text("doc_id"), TRAIN_DOCS)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    for name, seeds in (("insult", INSULTS), ("contempt", CONTEMPT)):
-        hit = F.coalesce(F.col("text").rlike(r"(?i)\b(" + "|".join(seeds) + r")\b"), F.lit(False))
+    for name, words in (seeds or {}).items():
+        hit = F.coalesce(F.col("text").rlike(r"(?i)\b(" + "|".join(words) + r")\b"), F.lit(False))
         rows = rows.withColumn(name, ((F.col("toxic") == 1) & hit).cast("int"))
-    return train(rows, list(CATEGORIES))
+    return train(rows, [*(seeds or {}), *used])

@@ -10,7 +10,7 @@ import pytest
 import tokenizers
 
 from kestrel.llm import bpe, langid, minhash, mixing, quality, tokencount, toxicity
-from kestrel.llm.queries import BPE_FILE
+from kestrel.llm.queries import BPE_FILE, op1_toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -375,6 +375,26 @@ def test_toxicity_chain(spark):
     assert sum(right) / len(right) > 0.97
 
 
+def test_toxicity_links_are_given_labels(spark, tmp_path):
+    """Both links come from labelled columns: the toxic words are in no list and not English."""
+    rnd, rows = random.Random(3), []
+    for i in range(900):
+        w = word_salad(i % 40 + 100, rnd.randrange(5, 60)).split()
+        bad, low = int(i % 6 == 0), int(i % 5 == 0)
+        for many, words in ((2 * bad, ["schweinehund", "dreckskerl", "mistst\u00fcck"]), (2 * low, ["xqzzk", "vvbnw"])):
+            for _ in range(many):
+                w.insert(rnd.randrange(len(w)), rnd.choice(words))
+        rows.append((i, " ".join(w), "de", "s", 1, bad, low))
+    docs(spark, [r[:5] for r in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    # Of the labelled rows some have only one of the two labels.
+    known = [(r[0], None if r[0] % 7 == 0 else 1 - r[6], None if r[0] % 7 == 1 else r[5]) for r in rows[:600]]
+    spark.createDataFrame(known, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = {r.doc_id: r for r in op1_toxicity(spark, str(tmp_path)).collect()}
+    held = rows[600:]
+    assert sum((out[r[0]].p_low_quality >= 0.5) == bool(r[6]) for r in held) / len(held) > 0.97
+    assert sum(out[r[0]].toxic == bool(r[5]) for r in held) / len(held) > 0.97
+
+
 def test_toxicity_without_labels_and_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     chain = toxicity.fit_documents(odd, none)
