@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import tokenizers
 
+import corpus_pipeline
 from kestrel.llm import bpe, langid, minhash, mixing, quality, tokencount, toxicity
 from kestrel.llm.queries import BPE_FILE, op1_toxicity
 
@@ -424,3 +425,67 @@ def test_out_of_fold_predictions_feed_the_chain(monkeypatch):
     toxicity.fit_chain(["a", "b"], np.arange(n), feat, row, y.astype(float), fold)
     passed = seen[-1][:, 0]
     assert abs(np.corrcoef(passed, y[:, 0])[0, 1]) < 0.3
+
+
+# --- pipeline ---
+
+def brute_repeats(rows):
+    """id -> times a document is taken, by a direct loop over each source in hash order."""
+    words, by_source, times = {r[0]: len(r[1].split()) for r in rows}, {}, {}
+    for r in rows:
+        by_source.setdefault(r[3], []).append(r[0])
+    size = {s: sum(words[i] for i in ids) for s, ids in by_source.items()}
+    target = brute_targets(size, mixing.WEIGHTS, mixing.MAX_EPOCHS)
+    for s, ids in by_source.items():
+        whole = int(target[s] / size[s] + 1e-9)
+        part, before = target[s] - whole * size[s], 0
+        for i in sorted(ids, key=lambda i: (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16), i)):
+            times[i] = whole + (2 * before + words[i] <= 2 * part + 1e-6)
+            before += words[i]
+    return times, words, target
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """run()'s rows are those of a plain loop; only the two fitted models' verdicts are taken as given."""
+    rnd, rows = random.Random(11), []
+    vocab = {x: word_salad(k, 1).split() + ["".join(rnd.choice(a) for _ in range(rnd.randrange(3, 8))) for _ in range(150)]
+             for k, (x, a) in enumerate({"en": "abcdefgh", "de": "klmnopäü"}.items())}
+    for i in range(150):
+        lang = "en" if i % 3 else "de"
+        w = word_salad(i, rnd.randrange(8, 70), vocab[lang]).split()
+        if i % 6 == 0 and rows:  # a near copy of an earlier document of any source
+            _, text, lang, *_ = rnd.choice(rows)
+            w = text.split()
+            w[rnd.randrange(len(w))] = "qqq"
+        if i % 10 == 1:
+            w = w[:4] + ["idiot", "scum"] + w[4:]
+        rows.append((i, " ".join(w) if i % 25 != 2 else "12 34 !", lang, rnd.choice("aab" "c"), 1))
+    df = docs(spark, rows)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), int("idiot" in r[1])) for i, r in enumerate(rows)],
+                                   "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+
+    said = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, langid.fit_documents(df), ["doc_id"]).collect()}
+    one = [r for r in rows if said[r[0]][0] != "und" and said[r[0]][1] >= 0.5]
+    known = docs(spark, one)
+    chain = toxicity.fit_documents(known, labels, seeds=None)
+    toxic = {r.doc_id for r in toxicity.score(known, chain, ["doc_id"]).collect() if r.p_toxic >= 0.5}
+    two = [r for r in one if r[0] not in toxic]
+    first = {i for i, _, group in brute_near([r[:2] for r in two]) if i == group}
+    three = [r for r in two if r[0] in first]
+    assert len(rows) > len(one) > len(two) > len(three) > 0
+    times, words, target = brute_repeats(three)
+    lib = tokenizers.Tokenizer.from_file(BPE_FILE)
+    want = Counter()
+    for i, text, *_ in three:
+        ids = lib.encode(text, add_special_tokens=False).ids
+        back = lib.decode(ids, skip_special_tokens=False)
+        row = (i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+        want[row] += times[i]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out) == +want
+    source, taken = {r[0]: r[3] for r in three}, Counter()
+    for r in out:
+        taken[source[r.doc_id]] += words[r.doc_id]
+    assert all(abs(taken[s] - target[s]) <= max(words.values()) / 2 for s in target)
