@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import ann, bpe, langid, minhash, mixing, quality, tokencount, toxicity, urls, warc
+from kestrel.llm import ann, bitslice, bpe, hardneg, langid, minhash, mixing, quality, tokencount, toxicity, urls, warc
 from kestrel.llm.common import table
 from kestrel.session import scratch_dir, ship_package
 
@@ -69,7 +69,21 @@ def op7_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_edits(docs, BPE_FILE)
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return bitslice.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
+
+
 QUERIES = {
+    "op11_topk": op11_topk,
+    "op12_hard_negatives": op12_hard_negatives,
     "op7_token_edits": op7_token_edits,
     "op2_ann": op2_ann,
     "op6_urls": op6_urls,
@@ -83,6 +97,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op11_topk": bitslice.TOP_SQL,
+    "op12_hard_negatives": hardneg.NEGATIVE_SQL,
     "op4_warc": warc.WARC_SQL,
     "op5_quality": quality.QUALITY_SQL,
     "op8_near_dedup": minhash.NEAR_SQL,
