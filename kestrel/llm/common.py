@@ -100,42 +100,64 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+# Bytes of text whose running sums are held at once.
+RUN_BYTES = 1 << 20
+
+
 class WordHashes:
     """Words of a whole Arrow text column at once: their places, and hashes of any of their parts.
 
     ``in_word`` says which bytes belong to words (A-Z are lower-cased first). A running polynomial
-    sum over the bytes gives the hash of any span from two of its values.
+    sum over the bytes gives the hash of any span from two of its values; it is made for RUN_BYTES
+    at a time, so a very long text costs a few bytes per byte and some more per word.
     """
 
-    def __init__(self, in_word: np.ndarray) -> None:
-        self.in_word = in_word
-        self._pow = self._inv = np.zeros(0, np.uint64)
+    def __init__(self, in_word: np.ndarray, base: np.uint64 = _BYTE_BASE) -> None:
+        self.in_word, self.base = in_word, int(base)
+        self._pow = powers(base, RUN_BYTES)
+        self._inv = powers(np.uint64(pow(int(base), -1, 1 << 64)), RUN_BYTES)
 
     def load(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end of every word, offsets of the texts' words)."""
         data, off = text_bytes(col)
         n = len(data)
-        if len(self._pow) < n:
-            inverse = np.uint64(pow(int(_BYTE_BASE), -1, 1 << 64))
-            self._pow, self._inv = powers(_BYTE_BASE, n), powers(inverse, n)
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         word = self.in_word[data]
+        upper = (data >= 65) & (data <= 90)
+        self.data = data | (upper.view(np.uint8) << np.uint8(5))
         first = np.zeros(n + 1, bool)
         first[off] = True
         start, end = word.copy(), word.copy()
         start[1:] &= ~word[:-1] | first[1:n]
         end[:-1] &= ~word[1:] | first[1:n]
         s, e = np.nonzero(start)[0], np.nonzero(end)[0] + 1
-        self._run = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._pow[:n], out=self._run[1:])
         return s, e, np.searchsorted(s, off)
 
+    def _span_sums(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Sum of (byte + 1) * base^(place in the span) of spans in order of s."""
+        out = np.zeros(len(s), np.uint64)
+        run = np.zeros(RUN_BYTES + 1, np.uint64)
+        a = 0
+        while a < len(s):
+            x = int(s[a])
+            # Spans that start within RUN_BYTES from here; what reaches beyond is added piece by piece.
+            b = int(np.searchsorted(s, x + RUN_BYTES))
+            y = min(x + RUN_BYTES, len(self.data))
+            np.cumsum((self.data[x:y].astype(np.uint64) + np.uint64(1)) * self._pow[: y - x], out=run[1: y - x + 1])
+            stop = np.minimum(e[a:b], y)
+            out[a:b] = (run[stop - x] - run[s[a:b] - x]) * self._inv[s[a:b] - x]
+            for i in (np.flatnonzero(e[a:b] > y) + a).tolist():
+                for at in range(y, int(e[i]), RUN_BYTES):
+                    part = self.data[at: min(at + RUN_BYTES, int(e[i]))].astype(np.uint64) + np.uint64(1)
+                    place = pow(self.base, at - int(s[i]), 1 << 64)
+                    out[i] = (int(out[i]) + int((part * self._pow[: len(part)]).sum(dtype=np.uint64)) * place) % (1 << 64)
+            a = b
+        return out
+
     def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the spans from s to e (end excluded)."""
+        """64-bit hashes of the spans from s (ascending) to e (end excluded)."""
         if not len(s):
             return np.zeros(0, np.uint64)
-        total = (self._run[e] - self._run[s]) * self._inv[s]
-        return mix64(total + (e - s).astype(np.uint64) * _WORD_BASE)
+        return mix64(self._span_sums(s, e) + (e - s).astype(np.uint64) * _WORD_BASE)
 
 
 def ddl(df: DataFrame, cols: list[str]) -> str:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import ann, bitslice, bpe, hardneg, langid, minhash, mixing, quality, tokencount, toxicity, urls, warc
+from kestrel.llm import ann, bitslice, bpe, hardneg, langid, minhash, mixing, phrases, quality, tokencount, toxicity, urls, warc
 from kestrel.llm.common import table
 from kestrel.session import scratch_dir, ship_package
 
@@ -81,7 +81,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op13_phrases": op13_phrases,
     "op11_topk": op11_topk,
     "op12_hard_negatives": op12_hard_negatives,
     "op7_token_edits": op7_token_edits,
@@ -99,6 +105,7 @@ QUERIES = {
 ORACLE = {
     "op11_topk": bitslice.TOP_SQL,
     "op12_hard_negatives": hardneg.NEGATIVE_SQL,
+    "op13_phrases": phrases.PHRASE_SQL,
     "op4_warc": warc.WARC_SQL,
     "op5_quality": quality.QUALITY_SQL,
     "op8_near_dedup": minhash.NEAR_SQL,
