@@ -33,8 +33,10 @@ from kestrel.llm.common import slices
 _S = r"\t-\r\x20\x85\xa0  -     　"
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+"
          r"|[" + _S + r"]+(?![^" + _S + r"])|[" + _S + r"]+")
-# Words kept in each of a worker's two tables; when the newer is full it takes the older one's place.
-CACHE_WORDS = 300_000
+# Bytes (about) of each of a worker's two tables of words; when the newer is full it takes the older
+# one's place. An entry costs its texts and about so much besides.
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 200
 # Words of more bytes are merged with a heap instead of scans.
 SCAN_BYTES = 256
 NO_RANK = 1 << 60
@@ -57,7 +59,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """Encoder and decoder for one byte-level BPE vocabulary file (tokenizers JSON)."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = {c: i for i, c in enumerate(byte_symbols())}
@@ -78,7 +80,7 @@ class Bpe:
         self.find = regex.compile(SPLIT).findall
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.cache_bytes, self.held = cache_bytes, 0
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word."""
@@ -126,9 +128,12 @@ class Bpe:
 
     def _word(self, word: str) -> bytes:
         out = self.older.get(word) or np.array(self.merge(word.encode("utf-8")), dtype="<u4").tobytes()
-        if len(self.cache) >= self.cache_words:
-            self.older, self.cache = self.cache, {}
-        self.cache[word] = out
+        size = ENTRY_BYTES + len(word) + len(out)
+        if self.held + size > self.cache_bytes:
+            self.older, self.cache, self.held = self.cache, {}, 0
+        if size <= self.cache_bytes:
+            self.cache[word] = out
+            self.held += size
         return out
 
     def _plain(self, text: str) -> list[bytes]:
@@ -188,8 +193,9 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path)
         for batch in batches:
-            text = [bpe.decode(x or ()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], [id_col, "text"])
+            for part in slices(batch):
+                text = [bpe.decode(x or ()) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], [id_col, "text"])
 
     return df.select(id_col, ids_col).mapInArrow(run, schema)
 

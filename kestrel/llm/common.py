@@ -33,10 +33,18 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table of a few numeric columns as one side of a join: broadcast if its counted rows
     are within the bound, else left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (upper and lower case are one)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slices(batch: pa.RecordBatch, text_col: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -52,6 +60,8 @@ def slices(batch: pa.RecordBatch, text_col: int = 1, limit: int = SLICE_BYTES) -
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    # What the batch took goes back to the system, or a reused worker keeps its largest size.
+    pa.default_memory_pool().release_unused()
 
 
 def text_offsets(col: pa.Array) -> np.ndarray:

@@ -122,8 +122,10 @@ def score_texts(texts: list[str | None], logp: np.ndarray) -> tuple[np.ndarray,
 
 def identify(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text_col: str = "text",
              pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``keep`` columns + predicted language and its score for every row of ``df``."""
+    """``keep`` columns + predicted language and its score for every row of ``df``; a kept column of
+    the name of a result gives way to it."""
     langs, logp = model
+    keep = [c for c in keep if c.lower() not in (pred_col.lower(), score_col.lower())]
     shared = df.sparkSession.sparkContext.broadcast(logp)
     names = [*langs, UNKNOWN]
     cols = [c for c in keep if c != text_col]
@@ -150,4 +152,4 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit_documents(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Model from the text and language of documents that are not held out."""
     eligible = docs.filter(~held_out() & F.col("lang").isNotNull())
-    return train(bounded_sample(eligible, id_text("doc_id"), TRAIN_DOCS))
+    return train(bounded_sample(eligible, F.coalesce(F.col("doc_id").cast("string"), "text"), TRAIN_DOCS))

@@ -23,9 +23,9 @@ shingle is five words, or the whole sequence of a shorter text. Links have
 
 Cases: a null text, or one without words, has an empty set, no links and is
 its own component; a null id cannot be linked to: its component is null and
-it is kept; rows that share an id are one node of the graph, compared by the
-text that sorts last; repeated rows give repeated results; equal sets are linked whatever their texts; further
-columns of the input are ignored.
+it is kept; every row is a node of its own, also where rows share an id;
+repeated rows give repeated results; equal sets are linked whatever their
+texts; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import WordHashes, mix32, mix64, powers, slices, small_side, staged
+from kestrel.llm.common import WordHashes, free_name, mix32, mix64, powers, slices, small_side, staged
 from kestrel.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -46,8 +46,9 @@ MIN_PERCENT = 75
 COORDINATES = 256
 BANDS = 72
 BAND_COORDINATES = 6
-# Documents compared with one representative in one task.
+# Documents compared with one representative in one task, and bytes of their sets.
 GROUP = 64
+GROUP_BYTES = 32 << 20
 # Members of a band's group whose sketches are compared at once. A pair is checked if the similarities
 # told by its sketch and by a wider one (two bits of more coordinates) are less than 4.5 standard
 # deviations below that of a link.
@@ -241,10 +242,12 @@ def likely_pairs(seated: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough.
 
-    A representative b with many partners is dealt over groups of about GROUP partners, so each
-    group holds one set and a bounded number of others.
+    A representative b with many partners is dealt over groups of about GROUP partners, or fewer if
+    their sets are large, so each group holds one set and a bounded number of bytes of others.
     """
-    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    sized = pairs.join(sets.select(F.col("id").alias("a"), "size"), "a")
+    many = sized.groupBy("b").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("size") * 8 / GROUP_BYTES)).cast("int").alias("parts"))
     dealt = staged(pairs.join(many, "b").select(
         "a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")), "minhash_dealt")
     left = dealt.join(sets.select(F.col("id").alias("a"), "shingles"), "a")
@@ -269,29 +272,26 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .applyInArrow(check, "a bigint, b bigint"))
 
 
-def links_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(per row: doc_id, n_shingles, rep = smallest id with the same set; per rep that has a link:
-    node, component)."""
-    sig = staged(signatures(docs, id_col, text_col), "minhash_signatures")
-    named = sig.filter("doc_id is not null and n_shingles > 0")
+def links_and_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a stored table (row, doc_id, text) with numbered rows: (per row: doc_id, row, n_shingles,
+    rep = smallest row with the same set; per rep that has a link: node, component)."""
+    sig = staged(signatures(rows.filter("doc_id is not null"), "row", "text").withColumnRenamed("doc_id", "row"),
+                 "minhash_signatures")
+    named = sig.filter("n_shingles > 0")
     copies = small_side(staged(
-        named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+        named.groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("rows"))
         .filter("rows > 1").drop("rows"), "minhash_copies"))
-    rows = sig.select("doc_id", "n_shingles", "k1", "k2").join(copies, ["k1", "k2"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
-        .alias("rep"))
-    rows = rows.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep")))
-    # One signature per class; a repeated id may stand for several sets.
-    once = named.join(copies, ["k1", "k2"], "left_anti").select("doc_id", "bands").unionByName(
-        named.join(copies, ["k1", "k2"]).filter("doc_id = rep").dropDuplicates(["doc_id", "k1", "k2"])
-        .select("doc_id", "bands"))
-    keys = once.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    classes = sig.select("row", "n_shingles", "k1", "k2").join(copies, ["k1", "k2"], "left").select(
+        "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "row")).otherwise(F.col("row")).alias("rep"))
+    # One signature per class.
+    once = named.join(copies, ["k1", "k2"], "left_anti").select("row", "bands").unionByName(
+        named.join(copies, ["k1", "k2"]).filter("row = rep").select("row", "bands"))
+    keys = once.select(F.col("row").alias("id"), F.explode("bands").alias("key"))
     groups = staged(keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("other"))
                     .filter("b < other").select("key", "b"), "minhash_groups")
     members = staged(keys.join(small_side(groups), "key"), "minhash_members")
     ids = small_side(staged(members.select("id").distinct(), "minhash_ids"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    texts = rows.select(F.col("row").alias("id"), "text").join(ids, "id", "left_semi")
     sets = staged(shingle_sets(texts), "minhash_sets")
     met = members.filter("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     met = staged(_of_like_size(met, sets), "minhash_met")
@@ -310,7 +310,7 @@ def links_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     seated = staged(seated.join(mixed, "key", "left_semi"), "minhash_mixed")
     cross = likely_pairs(seated.join(sets.select("id", "size", "sketch", "wide"), "id"))
     cross = staged(cross.join(met, ["a", "b"], "left_anti").distinct(), "minhash_pairs")
-    return rows, _more_links(cross, sets, links, comp)[1]
+    return classes, _more_links(cross, sets, links, comp)[1]
 
 
 def _more_links(pairs: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -340,27 +340,43 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return j.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def components_of_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a stored table (row, doc_id, text): (row, doc_id, n_shingles, component of every row with an
+    id; component, component_id = smallest doc_id, first = its first row, of components of several rows)."""
+    classes, comp = links_and_components(rows)
+    known = rows.filter("doc_id is not null").select("row", "doc_id").join(classes, "row").join(
+        comp.withColumnRenamed("node", "rep"), "rep", "left")
+    known = staged(known.select("row", "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component")), "minhash_rows")
+    least = known.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("m"), F.count(F.lit(1)).alias("n"))
+    least = least.filter("n > 1").select("component", F.col("m.doc_id").alias("component_id"), F.col("m.row").alias("first"))
+    return known, small_side(staged(least, "minhash_least"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    rows, comp = links_and_components(docs, id_col, text_col)
-    out = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component_id", F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", "component_id",
-                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
+                              F.col(text_col).alias("text")), "minhash_texts")
+    known, least = components_of_rows(rows)
+    known = known.join(least, "component", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Rows with a null id stand alone; only the size of their set is wanted.
+    alone = signatures(rows.filter("doc_id is null"), "row", "text").select(
+        F.lit(None).cast("bigint").alias("doc_id"), "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
+    return known.unionByName(alone).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with one document of each component: the one with the
-    smallest id. Rows that repeat an id count as one document; rows with a null id stay."""
-    near = staged(near_duplicates(docs).select("doc_id", "kept"), "minhash_kept")
-    gone = staged(near.filter("not kept").select("doc_id").distinct(), "minhash_gone")
-    again = staged(near.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"),
-                   "minhash_again")
-    left = docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return left
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    """``docs`` (doc_id, text and any others) with one row of each component: one with the smallest
+    id. Rows with a null id stay."""
+    cols = docs.columns
+    row = free_name(docs, "row")
+    stored = staged(docs.withColumn(row, F.monotonically_increasing_id()), "minhash_docs")
+    known, least = components_of_rows(
+        stored.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    gone = staged(known.join(least, "component").filter(F.col("row") != F.col("first")).select(F.col("row").alias(row)),
+                  "minhash_gone")
+    return stored.join(small_side(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in cols])
 
 
 # The same relation for the DuckDB check: shared shingles of all pairs, then reachability.

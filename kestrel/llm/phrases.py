@@ -47,9 +47,11 @@ TOP = 2000
 INSIDE = 80
 FACTOR = 2_000_000
 # Bytes of text worked on at once; suffixes sorted at once; suffixes from which a leading pair is dealt by whole suffixes.
-SLICE = 4 << 20
+SLICE = 2 << 20
 CHUNK = 1 << 20
 HOT = 1 << 18
+# Phrases and words (with their texts) that may be broadcast.
+BROADCAST_ROWS = 100_000
 # Bits of a filter: so many for each member, within these bounds (at most 32 MB).
 FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 1 << 20, 1 << 28
 
@@ -327,7 +329,7 @@ def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
     """phrases with l, r, score of their lowest-scoring cut."""
     counts = small_side(staged(
         words.select(*[c.alias(k) for k, c in zip(KEYS, _keys([F.col("h")]))], F.col("cnt").alias("f")).unionByName(
-            phrases.filter(F.col("n_words") < WORDS).select(*KEYS, F.col("a").alias("f"))), "phrase_counts"))
+            phrases.filter(F.col("n_words") < WORDS).select(*KEYS, F.col("a").alias("f"))), "phrase_counts"), BROADCAST_ROWS)
 
     def part(first: int, last: int) -> Column:
         return F.struct(*[c.alias(k) for k, c in zip(KEYS, _keys([F.col(KEYS[i]) for i in range(first, last)]))])
@@ -362,7 +364,7 @@ def outer(phrases: DataFrame) -> DataFrame:
         which = which.when(F.col("n_words") == n, inner(n))
     held = phrases.filter("n_words > 2").select(F.explode(which).alias("p"), F.col("a").alias("longer")).groupBy(
         *[F.col(f"p.{k}").alias(k) for k in KEYS]).agg(F.max("longer").alias("longer"))
-    held = small_side(staged(held, "phrases_held"))
+    held = small_side(staged(held, "phrases_held"), BROADCAST_ROWS)
     inside = F.col("longer").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * INSIDE
     return phrases.join(held, KEYS, "left").filter(~F.coalesce(inside, F.lit(False))).drop("longer")
 
@@ -376,7 +378,7 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
     known = staged(words.filter(F.col("cnt") >= least), "phrase_frequent")
     phrases = frequent_phrases(texts, known, seed, least)
     left = staged(outer(scored(phrases, known)), "phrases_left")
-    named = small_side(known.select("h", "lang", "word"))
+    named = small_side(known.select("h", "lang", "word"), BROADCAST_ROWS)
     for i, k in enumerate(KEYS):
         word = named.select(F.col("h").alias(k), F.col("word").alias(f"w{i}"), *([F.col("lang")] if i == 0 else []))
         left = left.join(word, k, "inner" if i < 2 else "left")

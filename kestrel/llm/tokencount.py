@@ -28,18 +28,19 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.bpe import SPLIT, _S, Bpe, worker_bpe
+from kestrel.llm.bpe import ENTRY_BYTES, SPLIT, _S, Bpe, worker_bpe
 from kestrel.llm.common import ddl, id_text, slices
 
 BUCKET = 64
-CACHE_WORDS = 400_000
+# Bytes (about) of each of a worker's two tables of words, as in the encoder.
+CACHE_BYTES = 24 << 20
 
 
 class Counter:
     """Pre-tokens of a text and the number of tokens of each."""
 
-    def __init__(self, bpe: Bpe, cache_words: int = CACHE_WORDS) -> None:
-        self.bpe, self.cache_words = bpe, cache_words
+    def __init__(self, bpe: Bpe, cache_bytes: int = CACHE_BYTES) -> None:
+        self.bpe, self.cache_bytes, self.held = bpe, cache_bytes, 0
         self.cache: dict[str, int] = dict.fromkeys(bpe.special, 1)
         self.older: dict[str, int] = {}
         # The split pattern over a whole text: a special token's literal is cut out first, and what
@@ -65,9 +66,12 @@ class Counter:
         n = self.cache.get(word)
         if n is None:
             n = self.older.get(word) or len(self.bpe.merge(word.encode("utf-8")))
-            if len(self.cache) >= self.cache_words:
-                self.older, self.cache = self.cache, dict.fromkeys(self.bpe.special, 1)
-            self.cache[word] = n
+            size = ENTRY_BYTES + len(word)
+            if self.held + size > self.cache_bytes:
+                self.older, self.cache, self.held = self.cache, dict.fromkeys(self.bpe.special, 1), 0
+            if size <= self.cache_bytes:
+                self.cache[word] = n
+                self.held += size
         return n
 
 
@@ -228,16 +232,17 @@ def edit_trees(stored: DataFrame, path: str, id_col: str = "doc_id", edits_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_counter(path)
         for batch in batches:
-            out = []
-            for text, size, tokens, edits in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                tree = TokenTree(counter, text, (np.array(size, np.int64), np.array(tokens, np.int64)))
-                _apply(tree, edits)
-                out.append((tree.text, *tree.leaves(), tree.n_tokens))
-            text, size, tokens, n = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(text, pa.string()), pa.array(size, pa.list_(pa.int64())),
-                 pa.array(tokens, pa.list_(pa.int64())), pa.array(n, pa.int64())],
-                [id_col, "text", "sizes", "tokens", "n_tokens"])
+            for part in slices(batch):
+                out = []
+                for text, size, tokens, edits in zip(*(part.column(i).to_pylist() for i in range(1, 5))):
+                    tree = TokenTree(counter, text, (np.array(size, np.int64), np.array(tokens, np.int64)))
+                    _apply(tree, edits)
+                    out.append((tree.text, *tree.leaves(), tree.n_tokens))
+                text, size, tokens, n = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(text, pa.string()), pa.array(size, pa.list_(pa.int64())),
+                     pa.array(tokens, pa.list_(pa.int64())), pa.array(n, pa.int64())],
+                    [id_col, "text", "sizes", "tokens", "n_tokens"])
 
     return stored.select(id_col, "text", "sizes", "tokens", edits_col).mapInArrow(
         run, f"{ddl(stored, [id_col])}, text string, sizes array<bigint>, tokens array<bigint>, n_tokens bigint")

@@ -260,9 +260,11 @@ def train(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", te
 
 
 def score(df: DataFrame, chain: Chain, keep: list[str], text_col: str = "text", prefix: str = "p_") -> DataFrame:
-    """``keep`` columns + the probability of each category for every row of ``df``."""
-    cols = [c for c in keep if c != text_col]
+    """``keep`` columns + the probability of each category for every row of ``df``; a kept column of
+    the name of a probability gives way to it."""
     names = [prefix + c for c in chain.categories]
+    keep = [c for c in keep if c.lower() not in {x.lower() for x in names}]
+    cols = [c for c in keep if c != text_col]
     shared = df.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +281,7 @@ def score(df: DataFrame, chain: Chain, keep: list[str], text_col: str = "text",
     return df.select(text_col, *cols).mapInArrow(run, schema)
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] | None = SEEDS) -> Chain:
+def fit_documents(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] | None = None) -> Chain:
     """A chain from the labelled documents that ends in the given label ``toxic``. Without ``seeds``
     its earlier link is the other given label (quality 0); with them, the links are toxic texts
     that hold one of a category's seed words."""
@@ -291,6 +293,9 @@ def fit_documents(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str
     # About TRAIN_DOCS rows of an id and flags: small enough to send to every task.
     sample = bounded_sample(once, id_text("doc_id"), TRAIN_DOCS)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # An id may stand for many rows: the bound is one of rows.
+    rows = bounded_sample(staged(rows.withColumn("_row", F.monotonically_increasing_id()), "toxicity_labelled"),
+                          F.col("_row"), 2 * TRAIN_DOCS).drop("_row")
     for name, words in (seeds or {}).items():
         hit = F.coalesce(F.col("text").rlike(r"(?i)\b(" + "|".join(words) + r")\b"), F.lit(False))
         rows = rows.withColumn(name, ((F.col("toxic") == 1) & hit).cast("int"))

@@ -52,7 +52,7 @@ def test_bpe_equals_library(spark, odd):
 
 def test_bpe_random_texts():
     lib = tokenizers.Tokenizer.from_file(BPE_FILE)
-    mine = bpe.Bpe(BPE_FILE, cache_words=50)
+    mine = bpe.Bpe(BPE_FILE, cache_bytes=20_000)
     rnd = random.Random(3)
     alphabet = ["a", "B", "é", " ", "  ", "\n", "'s", "'ll", "1", "２", "漢", "\xa0", "\x1c", "́", "😀", "!", "<|endoftext|>", "<|"]
     for _ in range(2000):
@@ -309,7 +309,7 @@ def test_mixing_many_equal_rows(spark):
 
 def test_token_tree_edits():
     lib = tokenizers.Tokenizer.from_file(BPE_FILE)
-    counter = tokencount.Counter(bpe.Bpe(BPE_FILE), cache_words=100)
+    counter = tokencount.Counter(bpe.Bpe(BPE_FILE), cache_bytes=20_000)
     rnd = random.Random(5)
     parts = ["a", "B", "é", " ", "  ", "\n", "'s", "'", "l", "re", "1", "漢", "\xa0", "!", "<|endoftext|>", "<|", "endof", "text", "|>"]
     for k in range(400):
@@ -369,7 +369,7 @@ def test_toxicity_chain(spark):
     train, test = toxic_rows(1, 600), toxic_rows(2, 200)
     df = docs(spark, [r[:5] for r in train + test])
     labels = spark.createDataFrame([(r[0], 1, r[5]) for r in train], "doc_id bigint, quality int, toxic int")
-    chain = toxicity.fit_documents(df, labels)
+    chain = toxicity.fit_documents(df, labels, seeds=toxicity.SEEDS)
     assert chain.categories == ["insult", "contempt", "toxic"] and [len(x) for x in chain.links] == [0, 1, 2]
     out = {r.doc_id: r for r in toxicity.score(df, chain, ["doc_id"]).collect()}
     right = [(out[r[0]].p_toxic >= toxicity.THRESHOLD) == bool(r[5]) for r in test]
