@@ -70,6 +70,10 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
     return f"{base}/kestrel/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+# Bytes of an Arrow batch on its way to a Python worker: rows are whole texts, so a bound by number
+# alone (Spark's 10,000 rows) lets a batch take any size.
+ARROW_BATCH_BYTES = "4m"
+
 _SHIPPED: set[str] = set()
 
 
@@ -83,6 +87,7 @@ def ship_package(spark: SparkSession) -> None:
     import pathlib
     import zipfile
 
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
