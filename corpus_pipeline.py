@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm import bpe, langid, minhash, mixing, toxicity
-from kestrel.llm.common import staged, table
+from kestrel.llm.common import free_name, staged, table
 from kestrel.llm.queries import BPE_FILE
 from kestrel.session import ship_package
 
@@ -23,17 +23,21 @@ MIN_LANGUAGE_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts without a letter and texts of no clear language."""
     ship_package(spark)
-    seen = langid.identify(docs, langid.fit_documents(docs), docs.columns, pred_col="_language", score_col="_sure")
-    kept = (F.col("_language") != langid.UNKNOWN) & (F.col("_sure") >= MIN_LANGUAGE_SCORE)
+    pred, sure = free_name(docs, "_language"), free_name(docs, "_sure")
+    seen = langid.identify(docs, langid.fit_documents(docs), docs.columns, pred_col=pred, score_col=sure)
+    kept = (F.col(pred) != langid.UNKNOWN) & (F.col(sure) >= MIN_LANGUAGE_SCORE)
     return seen.filter(kept).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject toxic texts."""
     ship_package(spark)
-    chain = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"), seeds=None)
-    scored = toxicity.score(docs, chain, docs.columns, prefix="_p_")
-    return scored.filter(F.col("_p_toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    chain = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"))
+    prefix = "_p_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    scored = toxicity.score(docs, chain, docs.columns, prefix=prefix)
+    return scored.filter(F.col(prefix + "toxic") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
