@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.sqltext import extract_sql, guard_reason, guard_sql, guard_sql_text, looks_like_sql
 from kestrel.functions.timefmt import fmt_elapsed
+from kestrel.operators.guard import analysed_reason, parsed_reason
 from kestrel.schema import QUERY_EVENT_SCHEMA
 from kestrel.session import scratch_dir
 
@@ -96,36 +97,18 @@ def sql_checks(texts: DataFrame, col: str = "text") -> DataFrame:
                         guard_sql(s).alias("guard_ok"), guard_reason(s).alias("guard_reason"))
 
 
-def query_plan_reason(spark: SparkSession, sql: str) -> str | None:
-    """Why a statement is not one query: its parsed plan is, or contains, something other than a
-    query (a command, a write or a definition), or it cannot be parsed."""
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except Exception as e:  # any parser error is a refusal with the parser's own words
-        return f"not a statement: {str(e).splitlines()[0]}"
-    nodes, text = [plan], []
-    while nodes:
-        node = nodes.pop()
-        text.append(node.getClass().getSimpleName())
-        children = node.children()
-        nodes += [children.apply(i) for i in range(children.size())]
-    allowed = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Join", "Union", "Except",
-               "Intersect", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "UnresolvedSubqueryColumnAliases",
-               "OneRowRelation", "UnresolvedInlineTable", "LocalRelation", "Offset", "Tail", "Generate", "Expand", "Window",
-               "WithWindowDefinition", "LateralJoin", "Pivot", "Unpivot", "Sample", "UnresolvedTableValuedFunction",
-               "UnresolvedOrdinal", "WithCTE", "CTERelationDef", "UnresolvedHint", "UnresolvedTVFAliases", "ParameterizedQuery"}
-    other = [x for x in text if x not in allowed]
-    return f"not a query: {other[0]}" if other else None
-
-
 def run_guarded_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
-    """A10: one read-only statement over registered views. It must pass the text guard, and its
-    parsed plan must be a query; nothing is run before both are known."""
+    """A10: one read-only statement over registered views. It must pass the text guard, its parsed
+    plan must be a query over views with allowed functions (so that analysing it runs nothing), and
+    its analysed plan must read views only."""
     statement = sql.strip().rstrip(";")
-    reason = guard_sql_text(sql) or query_plan_reason(spark, statement)
+    reason = guard_sql_text(sql) or parsed_reason(spark, statement)
     if reason:
         raise ValueError(reason)
-    return spark.sql(statement, args=args or {})
+    df = spark.sql(statement, args=args or {})
+    if reason := analysed_reason(df):
+        raise ValueError(reason)
+    return df
 
 
 def run_report(spark: SparkSession, sql: str, args: dict | None = None, timeout_s: float = STATEMENT_TIMEOUT_S) -> DataFrame:
@@ -138,14 +121,22 @@ def run_report(spark: SparkSession, sql: str, args: dict | None = None, timeout_
 
 
 def with_timeout(spark: SparkSession, action, timeout_s: float):
-    """Run an action in its own job group; the group is cancelled when time is up."""
+    """Run an action in its own job group. When time is up the group is cancelled, again and again
+    until the action ends: it may not have started its next job yet."""
     sc = spark.sparkContext
     group = f"kestrel-{uuid.uuid4().hex[:8]}"
-    timer = threading.Timer(timeout_s, lambda: sc.cancelJobGroup(group))
+    done = threading.Event()
+
+    def watch() -> None:
+        late = not done.wait(timeout_s)
+        while late and not done.is_set():
+            sc.cancelJobGroup(group)
+            done.wait(0.5)
+
     sc.setJobGroup(group, "guarded report", interruptOnCancel=True)
-    timer.start()
+    threading.Thread(target=watch, daemon=True).start()
     try:
         return action()
     finally:
-        timer.cancel()
+        done.set()
         sc.setLocalProperty("spark.jobGroup.id", None)
