@@ -175,7 +175,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def likely_pairs(seated: DataFrame) -> DataFrame:
-    """(a, b) of rows (key, id, c, size, sketch, wide) that share a key, are in different components and
+    """(a, b, size of a) of rows (key, id, c, size, sketch, wide) that share a key, are in different components and
     whose sketches agree enough.
 
     A group is cut into blocks of about BLOCK rows and the blocks are paired, so a task holds two
@@ -188,14 +188,14 @@ def likely_pairs(seated: DataFrame) -> DataFrame:
                        "block", "id", "c", "size", "sketch", "wide")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
-    def compare(t: pa.Table, signer: Signer) -> tuple[np.ndarray, np.ndarray]:
+    def compare(t: pa.Table, signer: Signer) -> pa.RecordBatch:
         ids, c, size, block = (t.column(x).to_numpy() for x in ("id", "c", "size", "block"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
         wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(len(ids), WIDE // 4)
         wide = (wide[:, :, None] >> np.array([0, 2, 4, 6], np.uint8) & np.uint8(3)).reshape(len(ids), WIDE)
         crossing = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
         key = t.column("key")[0].as_py()
-        a, b = [], []
+        a, b, of = [], [], []
         for i in range(len(ids) - 1):
             rest = slice(i + 1, None)
             ok = ((c[rest] != c[i]) & (ids[rest] != ids[i])
@@ -214,8 +214,9 @@ def likely_pairs(seated: DataFrame) -> DataFrame:
                 j = j[signer.bands(sketch[i])[first] == key]
                 a.append(np.maximum(ids[j], ids[i]))
                 b.append(np.minimum(ids[j], ids[i]))
+                of.append(np.where(ids[j] > ids[i], size[j], size[i]))
         none = np.zeros(0, np.int64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (a, b, of)], ["a", "b", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -228,25 +229,23 @@ def likely_pairs(seated: DataFrame) -> DataFrame:
             k = np.stack([held.column(x).to_numpy() for x in ("key", "lo", "hi")])
             cut = [0, *(np.nonzero((k[:, 1:] != k[:, :-1]).any(axis=0))[0] + 1).tolist()]
             for i, j in zip(cut, cut[1:]):
-                a, b = compare(held.slice(i, j - i), signer)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                found = compare(held.slice(i, j - i), signer)
+                if found.num_rows:
+                    yield found
             held = held.slice(cut[-1])
         if held is not None and held.num_rows:
-            a, b = compare(held, signer)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield compare(held, signer)
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint, size bigint")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough.
+    """Pairs (a, b) of rows (a, b, size of a's set) whose full sets are similar enough.
 
     A representative b with many partners is dealt over groups of about GROUP partners, or fewer if
     their sets are large, so each group holds one set and a bounded number of bytes of others.
     """
-    sized = pairs.join(sets.select(F.col("id").alias("a"), "size"), "a")
-    many = sized.groupBy("b").agg(F.greatest(
+    many = pairs.groupBy("b").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("size") * 8 / GROUP_BYTES)).cast("int").alias("parts"))
     dealt = staged(pairs.join(many, "b").select(
         "a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")), "minhash_dealt")
@@ -296,12 +295,12 @@ def links_and_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = members.filter("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     met = staged(_of_like_size(met, sets), "minhash_met")
     # Round 1: each member with the representative it meets in most bands.
-    best = staged(met.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select(
-        "a", (-F.col("m.b")).alias("b")), "minhash_pairs")
+    best = staged(met.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m"), F.max("size").alias("size"))
+                  .select("a", (-F.col("m.b")).alias("b"), "size"), "minhash_pairs")
     links = staged(verify(best, sets), "minhash_links")
     comp = staged(components(links), "minhash_components")
     # Round 2: the other representatives that are still in another component.
-    pairs = staged(_apart(met.select("a", "b"), comp).join(best, ["a", "b"], "left_anti"), "minhash_pairs")
+    pairs = staged(_apart(met.select("a", "b", "size"), comp).join(best, ["a", "b"], "left_anti"), "minhash_pairs")
     links, comp = _more_links(pairs, sets, links, comp)
     # Round 3: groups that still hold several components, member by member across them.
     seated = members.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select(
@@ -329,7 +328,7 @@ def _of_like_size(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     n = sets.select("id", "size")
     j = pairs.join(n.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(
         n.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
-    return j.filter(100 * F.least("na", "nb") >= MIN_PERCENT * F.greatest("na", "nb")).drop("na", "nb")
+    return j.filter(100 * F.least("na", "nb") >= MIN_PERCENT * F.greatest("na", "nb")).drop("nb").withColumnRenamed("na", "size")
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -337,7 +336,7 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     c = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     d = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     j = pairs.join(c, "a", "left").join(d, "b", "left")
-    return j.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return j.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "size")
 
 
 def components_of_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
