@@ -156,7 +156,34 @@ def q_load_idempotent(spark, sf):
     ST.load_folder(spark, folder, table, manifest)
     again = ST.load_folder(spark, folder, table, manifest).agg(F.count(F.lit(1)).alias("rows_of_second_load"))
     # both sides are one-row aggregates
-    return spark.read.parquet(table).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("file").alias("files")).crossJoin(again)
+    return ST.read_log(spark, table, manifest).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("file").alias("files")).crossJoin(again)
+
+
+def q_load_after_crash(spark, sf):
+    """A load of two sources breaks off between its rows and its commit; a third source arrives; the
+    folder is loaded again. The log holds every row once."""
+    sheet = _sheet(spark, sf)
+    folder, table, manifest = scratch_dir(spark, "crash_csv"), scratch_dir(spark, "log_table"), scratch_dir(spark, "load_manifest")
+    ST.write_sheet_csv(sheet.filter("file <> 'misc.csv'"), folder)
+
+    def lost(*_):
+        raise ConnectionError("the commit was lost")
+
+    commit, ST.commit_load = ST.commit_load, lost
+    try:
+        ST.load_folder(spark, folder, table, manifest)
+    except ConnectionError:
+        pass
+    finally:
+        ST.commit_load = commit
+    unseen = ST.read_log(spark, table, manifest).agg(F.count(F.lit(1)).alias("rows_before_commit"))
+    unseen = spark.createDataFrame(unseen.collect(), unseen.schema)  # one number, as of now
+    ST.write_sheet_csv(sheet.filter("file = 'misc.csv'"), folder, mode="append")
+    ST.load_folder(spark, folder, table, manifest)
+    # both sides are one-row aggregates
+    return ST.read_log(spark, table, manifest).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("file").alias("files"),
+        F.count("session_duration").alias("sessions")).crossJoin(unseen)
 
 
 def _sheet(spark, sf):
@@ -290,6 +317,7 @@ QUERIES = {
     "load_summary": q_load_summary,
     "load_rejects": q_load_rejects,
     "load_idempotent": q_load_idempotent,
+    "load_after_crash": q_load_after_crash,
     "load_mixed_headers": q_load_mixed_headers,
     "load_two_actions": q_load_two_actions,
     "load_jsonl": q_load_jsonl,
@@ -401,6 +429,8 @@ SELECT {_part_name('part')} AS part_name, file, part, COUNT(*) AS rows FROM smal
     "load_rejects": with_log("SELECT 'audit_time' AS column, COUNT(*) AS rejects FROM rows1 WHERE ord % 101 = 0"),
     "load_idempotent": with_log("SELECT COUNT(*) AS rows, COUNT(DISTINCT file) AS files, CAST(0 AS BIGINT) AS rows_of_second_load "
                                 "FROM audit_log"),
+    "load_after_crash": with_log("SELECT COUNT(*) AS rows, COUNT(DISTINCT file) AS files, COUNT(session_duration) AS sessions, "
+                                 "CAST(0 AS BIGINT) AS rows_before_commit FROM audit_log"),
     "same_name_files": with_log("SELECT file, COUNT(*) AS rows, COUNT(session_duration) AS sessions, "
                                 "CAST(SUM(session_duration) AS BIGINT) AS seconds FROM audit_log GROUP BY file").replace(
         "CASE e % 3 WHEN 0 THEN 'January 2024.csv' WHEN 1 THEN '2023-12 export.csv' ELSE 'misc.csv' END",

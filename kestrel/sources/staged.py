@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import csv
-import hashlib
+import time
 import urllib.parse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,25 +121,86 @@ def staged_files(spark: SparkSession, folder: str) -> DataFrame:
     return listed.select("path", path_under(F.col("path"), root).alias("file"), "size")
 
 
-def load_folder(spark: SparkSession, folder: str, table_path: str, manifest_path: str, fmt: str = "csv") -> DataFrame:
-    """I6 + S10: load the staged files that the load manifest does not name, then record them there.
+COMMIT_SCHEMA = "file string, size bigint, rows bigint, load_id string, seq bigint"
 
-    Only new files are read. Rows and manifest entries go under a load id made
-    from the new files' names and replace what that id wrote before, so a load
-    that broke off between the two writes can be run again. Returns the rows
-    loaded in this call.
+
+def commits(spark: SparkSession, manifest_path: str) -> DataFrame:
+    """The commit log: one row for each file of each load that came to its end."""
+    if not path_exists(spark, manifest_path):
+        return spark.createDataFrame([], COMMIT_SCHEMA)
+    return spark.read.schema(COMMIT_SCHEMA).parquet(manifest_path)
+
+
+def current_commits(spark: SparkSession, manifest_path: str) -> DataFrame:
+    """For every committed file its latest commit: later ones replace earlier ones, file by file."""
+    latest = F.max_by(F.struct("size", "rows", "load_id", "seq"), F.struct("seq", "load_id")).alias("c")
+    return commits(spark, manifest_path).groupBy("file").agg(latest).select("file", "c.*")
+
+
+def read_log(spark: SparkSession, table_path: str, manifest_path: str) -> DataFrame:
+    """The loaded rows: those that a file's current commit names. Rows of a load that broke off before
+    its commit, or that a later load of the same file has replaced, are not seen."""
+    if not path_exists(spark, table_path):
+        return load_typed(spark.createDataFrame([], "file string"))
+    now = current_commits(spark, manifest_path).select("file", "load_id")
+    return spark.read.parquet(table_path).join(now, ["file", "load_id"])
+
+
+def load_folder(spark: SparkSession, folder: str, table_path: str, manifest_path: str, fmt: str = "csv",
+                again: bool = False) -> DataFrame:
+    """I6 + S10: load the staged files that no commit names, or whose size has changed since (all of
+    them with ``again``), and commit them. Returns the rows loaded in this call.
+
+    Every call writes its rows under a load id of its own and then commits, in one small file, which
+    files that load id holds. A call that breaks off anywhere before leaves rows that no reader sees
+    (``drop_uncommitted`` clears them); the next call loads those files anew.
     """
     files = staged_files(spark, folder)
-    if path_exists(spark, manifest_path):
-        files = files.join(spark.read.parquet(manifest_path).select("file"), "file", "left_anti")
-    new = files.select("path", "file").collect()  # the listing of one load
+    known = current_commits(spark, manifest_path)
+    if not again:
+        whole = files.groupBy("file").agg(F.sum("size").alias("size"))
+        files = files.join(whole.join(known.select("file", "size"), ["file", "size"], "left_anti").select("file"), "file", "left_semi")
+    new = files.select("path", "file", "size").collect()  # the listing of one load
     if not new:
         return load_typed(spark.createDataFrame([], "file string"))
-    load_id = hashlib.sha256("\n".join(sorted({r["file"] for r in new})).encode()).hexdigest()[:16]
+    load_id = uuid.uuid4().hex
     rows = load_typed(read_staged(spark, folder, fmt, [urllib.parse.unquote(r["path"]) for r in new]))
     out = rows.withColumn("audit_month", F.date_format("audit_time", "yyyy-MM")).withColumn("load_id", F.lit(load_id))
-    (out.hint("rebalance", "audit_month").sortWithinPartitions("audit_month", "audit_time").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("load_id", "audit_month").parquet(table_path))
-    done = spark.createDataFrame(sorted({(r["file"], load_id) for r in new}), "file string, load_id string")
-    (done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_id").parquet(manifest_path))
-    return spark.read.parquet(table_path).filter(F.col("load_id") == load_id)
+    (out.hint("rebalance", "audit_month").sortWithinPartitions("audit_month", "audit_time").write.mode("append")
+     .partitionBy("load_id", "audit_month").parquet(table_path))
+    loaded = spark.read.schema(out.schema).parquet(table_path).filter(F.col("load_id") == load_id)
+    listed = spark.createDataFrame([(r["file"], r["size"]) for r in new], "file string, size bigint")
+    commit_load(spark, listed, loaded, load_id, manifest_path)
+    return loaded
+
+
+def commit_load(spark: SparkSession, listed: DataFrame, loaded: DataFrame, load_id: str, manifest_path: str) -> None:
+    """Append the load's files (file, size) to the commit log, as one part file: Spark moves it into
+    place in one step, so a commit is there as a whole or not at all. A source of several parts
+    (``file=<name>/part-...``) is one file of their summed size."""
+    last = commits(spark, manifest_path).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("seq")).first()["seq"]
+    per_file = listed.groupBy("file").agg(F.sum("size").alias("size"))
+    counted = loaded.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    done = per_file.join(counted, "file", "left").select(
+        "file", "size", F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(load_id).alias("load_id"),
+        F.lit(last + 1).cast("bigint").alias("seq"))
+    done.coalesce(1).write.mode("append").parquet(manifest_path)
+
+
+def drop_uncommitted(spark: SparkSession, table_path: str, manifest_path: str, older_than_s: float = 7 * 86400) -> int:
+    """Delete the folders of loads that no current commit names and that nothing was written to for
+    ``older_than_s`` (a running load is younger). Returns how many there were."""
+    if not path_exists(spark, table_path):
+        return 0
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = {r["load_id"] for r in current_commits(spark, manifest_path).select("load_id").distinct().collect()}
+    gone = 0
+    for f in fs.listStatus(p):
+        name = f.getPath().getName()
+        if name.startswith("load_id=") and name[8:] not in held \
+                and f.getModificationTime() / 1000 <= time.time() - older_than_s:
+            fs.delete(f.getPath(), True)
+            gone += 1
+    return gone
