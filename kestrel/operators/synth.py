@@ -64,7 +64,7 @@ REPORTS = [
     Report("count_users", ("basic_agg_time_or_count",), "Number of user ids",
            "COUNT(DISTINCT user_id) AS users", ("user_id <> ''",), ()),
     Report("latest_recipe_rows", ("text_filters_case_ins",), "Worked log rows of type recipe, latest first", "*",
-           ("LOWER(TRIM(type)) = 'recipe'", WORKED), ("limit",), "ORDER BY audit_time DESC NULLS LAST, id"),
+           ("LOWER(TRIM(type)) = 'recipe'", WORKED), ("limit",), "ORDER BY audit_time DESC NULLS FIRST, id NULLS FIRST, subseq_id NULLS FIRST"),
     Report("list_recipe_names", ("text_filters_case_ins",), "Recipe names in order",
            "DISTINCT TRIM(recipe_name) AS recipe_name", ("recipe_name <> ''",), ("kw",), "ORDER BY recipe_name"),
     Report("top_recipes_events_window", ("time_windows",), "Recipes by number of log rows",
