@@ -100,13 +100,24 @@ def format_answer(df: DataFrame) -> DataFrame:
 
 
 def _grouped_float(v: Column) -> Column:
-    """A float with all its digits and thousands separators; a whole one keeps ``.0``, and one
-    written with an exponent stays as it is."""
-    text = v.cast("string")
-    whole = F.format_number(F.floor(F.abs(v)), 0)
-    plain = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), whole, F.lit("."),
-                     F.substring_index(text, ".", -1))
-    return F.when(text.contains("E"), text).otherwise(plain)
+    """A float with all its digits (the fewest that tell it apart) and thousands separators. A whole
+    one keeps ``.0``; below 0.0001 and from 1e16 on it is written with an exponent (at least two digits
+    before it where Java writes so: the smallest float of all reads 4.9e-324)."""
+    text, size = v.cast("string"), F.abs(v)
+    number = text.try_cast("decimal(38,20)")
+    whole = F.format_number(F.floor(F.abs(number)), 0)
+    digits = F.rtrim(F.substring_index(number.cast("string"), ".", -1), F.lit("0"))
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    plain = F.concat(sign, whole, F.lit("."), F.when(digits == "", F.lit("0")).otherwise(digits))
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    short = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.lit("e"),
+                     F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    short = F.when(F.abs(power) > 99, F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.lit("e"),
+                                               F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
+                                               F.abs(power).cast("string"))).otherwise(short)
+    return (F.when(v.isNull(), F.lit(None).cast("string")).when(F.isnan(v), F.lit("nan"))
+            .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+            .when((size < 1e16) & ((size >= 1e-4) | (size == 0)), plain).otherwise(short))
 
 
 def _preview_answer(df: DataFrame, total: DataFrame) -> DataFrame:
