@@ -22,6 +22,16 @@ def jtrim(c: Column) -> Column:
 
 
 _OPEN, _CLOSE, _PIPE = "\u0002", "\u0003", "\u0004"
+# Marks that a line itself holds are written as this character and a letter until its cells are cut.
+_ESCAPE = "\u0005"
+_ESCAPED = [(_ESCAPE, _ESCAPE + "e"), (_OPEN, _ESCAPE + "o"), (_CLOSE, _ESCAPE + "c"), (_PIPE, _ESCAPE + "p")]
+
+
+def _escape_marks(line: Column) -> Column:
+    out = line
+    for mark, written in _ESCAPED:
+        out = F.replace(out, F.lit(mark), F.lit(written))
+    return F.when(line.rlike(f"[{_OPEN}-{_ESCAPE}]"), out).otherwise(line)
 
 
 def protect_quoted(line: Column) -> Column:
@@ -31,9 +41,11 @@ def protect_quoted(line: Column) -> Column:
     any non-quote text, and an optional closing quote. Runs are marked with
     control characters; two runs that touch (``""`` inside quotes) leave one
     literal quote; a ``|`` inside a run becomes a placeholder so that only
-    pipes outside quotes separate cells; then the marks are dropped.
-    Restore placeholders per cell with ``unprotect``.
+    pipes outside quotes separate cells; then the marks are dropped. Such
+    control characters of the line itself are escaped first. Restore both
+    per cell with ``unprotect``.
     """
+    line = _escape_marks(line)
     m = F.regexp_replace(line, '"([^"]*)"?', f"{_OPEN}$1{_CLOSE}")
     m = F.regexp_replace(m, f"{_CLOSE}{_OPEN}", '"')
     m = F.regexp_replace(m, rf"\|(?=[^{_OPEN}{_CLOSE}]*{_CLOSE})", _PIPE)
@@ -52,8 +64,12 @@ def split_cells(protected: Column) -> Column:
 
 
 def unprotect(c: Column) -> Column:
-    """Placeholder -> literal ``|`` inside one cell."""
-    return F.translate(c, _PIPE, "|")
+    """Placeholder -> literal ``|`` inside one cell, and the line's own control characters back."""
+    pipes = F.translate(c, _PIPE, "|")
+    out = pipes
+    for mark, written in reversed(_ESCAPED):
+        out = F.replace(out, F.lit(written), F.lit(mark))
+    return F.when(F.instr(c, _ESCAPE) == 0, pipes).otherwise(out)
 
 
 def split_pipes_quoted(line: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions import extract as X
 from kestrel.functions.text import coerce_nine, jtrim, norm_header, protect_quoted, split_cells, unprotect
-from kestrel.functions.timefmt import parse_ts
+from kestrel.functions.timefmt import parse_ts, time_parts
 from kestrel.schema import BASE_COLUMNS
 
 KEY = ["file", "blk", "ord"]
@@ -53,12 +53,12 @@ def parse_log(lines: DataFrame, keep_bad: bool = False) -> DataFrame:
         F.regexp_extract("user_id", X.USER_CELL, 1).alias("_m1"),
         jtrim(F.regexp_extract("user_id", X.USER_CELL, 2)).alias("username"),
         X.action_derived(msg).alias("action_derived"),
-        parse_ts(F.col("audit_time")).alias("ts"),
+        time_parts(F.col("audit_time")).alias("_time"),
         X.is_start(msg).alias("is_start"),
         X.is_end(msg).alias("is_end"),
         X.is_auto_end(msg).alias("is_auto"),
     )
-    g = f.select("*", F.when(F.col("_m1") != "", jtrim(F.col("_m1"))).otherwise(F.col("user_id")).alias("_name"))
+    g = f.select("*", parse_ts(F.col("audit_time"), F.col("_time")).alias("ts"), F.when(F.col("_m1") != "", jtrim(F.col("_m1"))).otherwise(F.col("user_id")).alias("_name"))
     h = g.select("*", F.instr("_name", " ").alias("_sp"))
     name1 = F.when(F.col("_sp") == 0, F.col("_name")).otherwise(
         jtrim(F.substring(F.col("_name"), F.lit(1), F.col("_sp") - 1)))

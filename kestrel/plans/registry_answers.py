@@ -132,10 +132,13 @@ def q_jsonify_times(spark, sf):
 
 
 def q_time_forms(spark, sf):
-    """Every event's time in one of eight written forms, parsed back."""
-    e, ts = F.col("event_id") % 8, F.col("ts").cast("timestamp")
+    """Every event's time in one of sixteen written forms, parsed back."""
+    e, ts = F.col("event_id") % 16, F.col("ts").cast("timestamp")
     forms = {0: "HH:mm:ss", 1: "M/d/yyyy, h:mm:ss a", 2: "EEE, dd MMM yyyy HH:mm:ss 'GMT'", 3: "'T'HH:mm",
-             4: "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", 5: "yyyy/MM/dd HH:mm:ss", 6: "MMM d, yyyy", 7: "yyyy-MM-dd HH:mm:ss 'junk'"}
+             4: "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", 5: "yyyy/MM/dd HH:mm:ss", 6: "MMM d, yyyy", 7: "yyyy-MM-dd HH:mm:ss 'junk'",
+             8: "EEE, dd MMM yyyy HH:mm:ss '+0200'", 9: "MMMM d, yyyy HH:mm:ss", 10: "d MMMM yyyy HH:mm",
+             11: "EEE MMM dd yyyy HH:mm:ss 'GMT-0530 (somewhere)'", 12: "EEE MMM d HH:mm:ss yyyy", 13: "d-MMM-yy h:mm a",
+             14: "MM-dd-yyyy HH:mm:ss.SSS 'EST'", 15: "M/d/yy"}
     text = F.lit(None).cast("string")
     for k, f in forms.items():
         text = F.when(e == k, F.date_format(ts, f)).otherwise(text)
@@ -222,8 +225,11 @@ ORACLE = {
         "CASE WHEN audit_time IS NULL THEN 'null' ELSE '\"' || strftime(audit_time, '%Y-%m-%d') || '\"' END || ',\"tenths\":' || "
         "COALESCE(CAST(session_duration // 10 AS VARCHAR) || '.' || CAST(session_duration % 10 AS VARCHAR), 'null') || '}' AS row_json "
         "FROM audit_log"),
-    "time_forms": "SELECT event_id, CASE event_id % 8 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN date_trunc('millisecond', ts) "
-                  "WHEN 6 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END::TIMESTAMP AS parsed FROM events",
+    "time_forms": "SELECT event_id, CASE event_id % 16 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN date_trunc('millisecond', ts) "
+                  "WHEN 6 THEN date_trunc('day', ts) WHEN 8 THEN date_trunc('second', ts) - INTERVAL 2 HOUR "
+                  "WHEN 10 THEN date_trunc('minute', ts) WHEN 11 THEN date_trunc('second', ts) + INTERVAL 330 MINUTE "
+                  "WHEN 13 THEN date_trunc('minute', ts) WHEN 14 THEN date_trunc('millisecond', ts) + INTERVAL 5 HOUR "
+                  "WHEN 15 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END::TIMESTAMP AS parsed FROM events",
     "session_elapsed": with_log(
         f"SELECT file, start_ord, {_ELAPSED} AS elapsed FROM (SELECT file, start_ord, "
         "CAST(session_duration AS BIGINT) AS d FROM sessions)"),

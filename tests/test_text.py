@@ -46,6 +46,15 @@ def test_split_matches_walker_random(spark):
     assert bad == []
 
 
+def test_control_characters_of_a_line_stay(spark):
+    rnd = random.Random(5)
+    lines = ["".join(rnd.choice('a|"\u0001\u0002\u0003\u0004\u0005eocp ') for _ in range(rnd.randint(0, 14))) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    bad = [r for r in df.select("line", split_pipes_quoted(F.col("line")).alias("c")).collect()
+           if list(r.c) != walker(r.line)]
+    assert bad == []
+
+
 def test_coerce_nine(spark):
     cases = {0: [], 7: [str(i) for i in range(7)], 9: [str(i) for i in range(9)],
              10: [str(i) for i in range(10)], 12: [str(i) for i in range(12)]}
