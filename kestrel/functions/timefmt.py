@@ -33,11 +33,13 @@ ISO_SHAPE = r"^[+-]?\d{4,}(-|$)"
 
 
 def time_parts(s: Column) -> Column:
-    """A written date and time -> array of its parts (see ``_PARTS``); one element where the text
-    is no such date. NULL for texts that a cast reads, so that the pattern is not tried on them."""
+    """Text -> struct of ``iso``, what a cast reads, and for other texts ``parts``, the parts of a
+    written date (see ``_PARTS``), one element where the text is no such date."""
     t = F.trim(s)
-    cast = F.when(t.rlike(ISO_SHAPE), t.try_cast("timestamp"))
-    return F.when(cast.isNull(), F.split(F.regexp_replace(t, TIME_SHAPE, _MARK.join(_PARTS)), _MARK))
+    # A cast alone would read a bare time of day as today.
+    iso = F.when(t.rlike(ISO_SHAPE), t.try_cast("timestamp"))
+    parts = F.when(iso.isNull(), F.split(F.regexp_replace(t, TIME_SHAPE, _MARK.join(_PARTS)), _MARK))
+    return F.struct(iso.alias("iso"), parts.alias("parts"))
 
 
 def _assembled(parts: Column) -> Column:
@@ -74,11 +76,10 @@ def parse_ts(s: Column, parts: Column | None = None) -> Column:
     that the pattern runs once per text.
     """
     t = F.trim(s)
-    # A cast alone would read a bare time of day as today.
-    iso = F.when(t.rlike(ISO_SHAPE), t.try_cast("timestamp"))
+    read = time_parts(s) if parts is None else parts
     prefix = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", 1)
     fallback = F.when(prefix != "", prefix.try_cast("timestamp"))
-    ts = F.coalesce(iso, _assembled(time_parts(s) if parts is None else parts), fallback)
+    ts = F.coalesce(read["iso"], _assembled(read["parts"]), fallback)
     return F.when((t.isNull()) | (t == ""), F.lit(None).cast("timestamp")).otherwise(
         F.timestamp_millis(F.unix_millis(ts)))
 
