@@ -82,6 +82,13 @@ def q_files_in_range(spark, sf):
     return LN.files_in_range(LN.file_manifest(audit_lines(spark, sf)), "2023-12", "2024-01").select("file", "ym")
 
 
+def q_files_in_range_rows(spark, sf):
+    """The raw log written as line files, and only the files of two months read back."""
+    folder = scratch_dir(spark, "range_lines")
+    LN.write_line_files(audit_lines(spark, sf), folder)
+    return LN.read_range(spark, folder, "2023-12", "2024-01").groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _parted(spark, sf):
     return PT.part_assign(_body(spark, sf), PART_ROWS)
 
@@ -306,6 +313,7 @@ QUERIES = {
     "file_manifest": q_file_manifest,
     "files_newest_first": q_files_newest_first,
     "files_in_range": q_files_in_range,
+    "files_in_range_rows": q_files_in_range_rows,
     "part_counts": q_part_counts,
     "resume_parts": q_resume_parts,
     "run_metrics": q_run_metrics,
@@ -407,6 +415,8 @@ ORACLE = {
                               "file DESC) AS pos FROM mf"),
     "files_in_range": _mf("SELECT file, printf('%04d-%02d', y, m) AS ym FROM mf WHERE y IS NOT NULL "
                           "AND printf('%04d-%02d', y, m) BETWEEN '2023-12' AND '2024-01'"),
+    "files_in_range_rows": _mf("SELECT file, COUNT(*) + 1 AS lines FROM rows1 JOIN mf USING (file) WHERE y IS NOT NULL "
+                               "AND printf('%04d-%02d', y, m) BETWEEN '2023-12' AND '2024-01' GROUP BY file"),
     "part_counts": _parted_sql(
         f"SELECT file, part, {_part_name('part')} AS part_name, COUNT(*) AS rows FROM parted GROUP BY ALL"),
     "part_names_over_100": with_log("").rstrip() + f""",

@@ -68,18 +68,46 @@ def scan_lines(spark: SparkSession, folder: str, stage: str) -> DataFrame:
     return marked.unionByName(rest)
 
 
-def file_manifest(names: DataFrame, col: str = "file") -> DataFrame:
-    """``.csv`` names (any case) with year and month from ``<Month> YYYY`` or ``YYYY[-_ ]?MM``."""
-    n = names.select(F.col(col).alias("file")).distinct().filter(F.lower("file").endswith(".csv"))
-    base = F.regexp_replace("file", r"(?i)\.csv$", "")
+def file_months(name: Column) -> tuple[Column, Column, Column]:
+    """Year, month and ``YYYY-MM`` from ``<Month> YYYY`` or ``YYYY[-_ ]?MM`` in a file's name; else NULL."""
+    base = F.regexp_replace(name, r"(?i)\.csv$", "")
     named, num = F.regexp_extract(base, MONTH_NAME_YEAR, 0), F.regexp_extract(base, YEAR_MONTH, 0)
     mname = F.lower(F.regexp_extract(base, MONTH_NAME_YEAR, 1))
     mnum = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), mname).cast("int")
     y = (F.when(named != "", F.regexp_extract(base, MONTH_NAME_YEAR, 2))
          .when(num != "", F.regexp_extract(base, YEAR_MONTH, 1))).cast("int")
     m = F.when(named != "", mnum).when(num != "", F.regexp_extract(base, YEAR_MONTH, 2).cast("int"))
-    return n.select("file", y.alias("y"), m.alias("m"),
-                    F.when(y.isNotNull(), F.format_string("%04d-%02d", y, m)).alias("ym"))
+    return y, m, F.when(y.isNotNull(), F.format_string("%04d-%02d", y, m))
+
+
+def is_csv(name: Column) -> Column:
+    return F.lower(name).endswith(".csv")
+
+
+def file_manifest(names: DataFrame, col: str = "file") -> DataFrame:
+    """``.csv`` names (any case) with year and month from ``<Month> YYYY`` or ``YYYY[-_ ]?MM``."""
+    n = names.select(F.col(col).alias("file")).distinct().filter(is_csv(F.col("file")))
+    y, m, ym = file_months(F.col("file"))
+    return n.select("file", y.alias("y"), m.alias("m"), ym.alias("ym"))
+
+
+def folder_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """S2 of a folder: (file, y, m, ym, size), names and sizes from its listing; no file is opened.
+    A ``file=<name>`` folder of several files is one source with the sum of their sizes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    sized = files.select(file_id(spark, folder).alias("file"), "length").filter(is_csv(F.col("file")))
+    y, m, ym = file_months(F.col("file"))
+    return sized.groupBy("file").agg(F.sum("length").alias("size")).select(
+        "file", y.alias("y"), m.alias("m"), ym.alias("ym"), "size")
+
+
+def read_range(spark: SparkSession, folder: str, a: str, b: str) -> DataFrame:
+    """S3 rows: (file, line) of the ``.csv`` sources whose month lies in [a, b], empty lines left out.
+    The condition rests on the file's path alone, so Spark drops the other files before it reads."""
+    name = file_id(spark, folder)
+    raw = spark.read.option("recursiveFileLookup", "true").text(folder)
+    wanted = raw.filter(is_csv(name) & file_months(name)[2].between(a, b))
+    return wanted.select(name.alias("file"), F.col("value").alias("line")).filter(F.col("line") != "")
 
 
 def files_in_range(manifest: DataFrame, a: str, b: str) -> DataFrame:

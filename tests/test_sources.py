@@ -31,3 +31,21 @@ def test_scan_plain_csv_folder_with_crlf(spark):
     assert numbered == {("March 2024.csv", 1), ("March 2024.csv", 2), ("March 2024.csv", 3), ("other.csv", 1)}
     m = {r.file: r.ym for r in file_manifest(lines).collect()}
     assert m == {"March 2024.csv": "2024-03", "other.csv": None}
+
+
+def test_range_reads_only_its_files(spark, tmp_path):
+    from kestrel.sources.lines import folder_manifest, read_range
+    texts = {"Log January 2024.csv": "a\n\nb\n", "2024-02 log.CSV": "c\n", "sub/december 2023.csv": "d\ne\n", "2024-01.txt": "f\n", "notes.csv": "g\n"}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    listed = {r.file: (r.ym, r["size"]) for r in folder_manifest(spark, str(tmp_path)).collect()}
+    assert listed == {"Log January 2024.csv": ("2024-01", 5), "2024-02 log.CSV": ("2024-02", 2),
+                      "sub/december 2023.csv": ("2023-12", 4), "notes.csv": (None, 2)}
+    df = read_range(spark, str(tmp_path), "2023-12", "2024-01")
+    assert sorted(map(tuple, df.collect())) == [("Log January 2024.csv", "a"), ("Log January 2024.csv", "b"),
+                                                ("sub/december 2023.csv", "d"), ("sub/december 2023.csv", "e")]
+    plan = df._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().apply(0)
+    plan.execute().count()
+    assert scan.metrics().apply("numFiles").value() == 2
