@@ -47,11 +47,6 @@ def to_sheet(paired: DataFrame) -> DataFrame:
 
 # ---- staged-file alignment (I1-I4) ----
 
-def canon_columns(df: DataFrame) -> DataFrame:
-    """Names stripped, lower-cased, spaces to '_'."""
-    return df.toDF(*[str(c).strip().lower().replace(" ", "_") for c in df.columns])
-
-
 def align_schema(df: DataFrame, extra_keep: tuple[str, ...] = ()) -> DataFrame:
     """The fixed 20 columns in order; missing -> NULL, extras dropped (all as raw strings)."""
     have = set(df.columns)
@@ -98,11 +93,6 @@ def load_rejects(aligned: DataFrame) -> DataFrame:
     return x.select(*keep, "bad.column", "bad.raw_value")
 
 
-def load_new_files(staged: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Rows of files not yet in the load manifest (anti join on the file name)."""
-    return staged.join(manifest.select("file").distinct(), "file", "left_anti")
-
-
 def load_summary(loaded: DataFrame) -> DataFrame:
     """Rows per file plus a grand-total row (file NULL)."""
     return loaded.rollup("file").agg(F.count(F.lit(1)).alias("rows"))

@@ -30,25 +30,6 @@ AUDIT_LOG_SCHEMA = T.StructType([
     for c in AUDIT_COLUMNS
 ])
 
-# Parsed sheet: every cell a string, empty = ''.
-PARSED_SHEET_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in AUDIT_COLUMNS])
-
-# Raw line contract shared by every line source.
-LINES_SCHEMA = T.StructType([
-    T.StructField("file", T.StringType(), False),
-    T.StructField("blk", T.LongType(), False),
-    T.StructField("ord", T.LongType(), False),
-    T.StructField("line", T.StringType(), True),
-    T.StructField("hdr", T.BooleanType(), False),
-])
-
-BAD_LINE_SCHEMA = T.StructType([
-    T.StructField("file", T.StringType()),
-    T.StructField("orig_line_no", T.LongType()),
-    T.StructField("raw_line", T.StringType()),
-    T.StructField("reason", T.StringType()),
-])
-
 QUERY_EVENT_SCHEMA = T.StructType([
     T.StructField("ts", T.StringType()),
     T.StructField("user_query", T.StringType()),
@@ -62,20 +43,3 @@ QUERY_EVENT_SCHEMA = T.StructType([
     T.StructField("elapsed_human", T.StringType()),
     T.StructField("elapsed_seconds", T.DoubleType()),
 ])
-
-RUN_LOG_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in (
-    "ts", "phase", "file", "part", "rows_written", "total_rows", "status", "next_resume_at")])
-
-PROGRESS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in (
-    "ts", "current_file", "part", "cursor", "total_rows", "status", "note")])
-
-RAW_LOGS_SCHEMA = T.StructType([
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("actor", T.StringType()),
-    T.StructField("action", T.StringType()),
-    T.StructField("object", T.StringType()),
-    T.StructField("duration_ms", T.LongType()),
-    T.StructField("project", T.StringType()),
-    T.StructField("payload_json", T.StringType()),
-])
