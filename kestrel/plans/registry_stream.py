@@ -15,6 +15,11 @@ from kestrel.streaming import ingest as W
 from kestrel.streaming.live import live_sessions, write_sessions
 
 _RUNS: dict = {}
+# The live feed arrives in so many parts, each with one file of every source.
+FEED_PARTS = 6
+FEED_SOURCES = 3
+# The pause after which live_sessions_expiry gives an open start up.
+QUERY_EXPIRY_MS = 2 * 24 * 3600 * 1000
 
 
 def _run(spark, sf):
@@ -44,18 +49,43 @@ def q_stream_batch_metrics(spark, sf):
     return W.batch_metrics(spark, stage).agg(*[F.sum(c).alias(c) for c in ("rows_written", "sessions", "repaired_rows")])
 
 
-def q_live_sessions(spark, sf):
-    folder, _, _, _ = _run(spark, sf)
+def live_feed(spark, sf):
+    """The raw lines as they would arrive: FEED_PARTS folders in time order, each with a file of
+    every source, so that a key's sessions reach over several micro-batches."""
+    key = (spark.sparkContext.applicationId, sf, "feed")
+    if key not in _RUNS:
+        folder = scratch_dir(spark, "live_src")
+        staged = scratch_dir(spark, "live_lines")
+        audit_lines(spark, sf).filter(~F.col("hdr")).write.parquet(staged)
+        lines = spark.read.parquet(staged)
+        last = lines.agg(F.max("ord")).first()[0] or 0
+        part = F.floor(F.col("ord") * FEED_PARTS / F.lit(last + 1))
+        for i in range(FEED_PARTS):
+            write_line_files(lines.filter(part == i), f"{folder}/part={i}")
+        _RUNS[key] = folder
+    return _RUNS[key]
+
+
+def _live(spark, sf, expiry_ms=None):
     # A live feed has no file position: order by the record's sequence id
-    # (the ID cell), falling back to its audit time.
-    lines = W.stream_lines(spark, folder, 1).withColumn("ord", F.lit(0).cast("bigint")) \
-        .withColumn("hdr", F.col("line").startswith("User ID |"))
+    # (the ID cell), falling back to its audit time. A header line is no event.
+    lines = W.stream_lines(spark, live_feed(spark, sf), FEED_SOURCES).withColumn(
+        "ord", F.lit(0).cast("bigint")).withColumn("hdr", F.lit(False))
     parsed = parse_log(lines).withColumn(
         "ord", F.coalesce(F.col("id").try_cast("bigint"), F.unix_millis("ts")))
-    sessions = live_sessions(parsed)
     path = scratch_dir(spark, "live_sessions")
-    write_sessions(sessions, path, scratch_dir(spark, "live_ckpt"))
-    return spark.read.parquet(path).select("file", "skey", "start_ord", "end_ord", "session_duration")
+    write_sessions(live_sessions(parsed, expiry_ms), path, scratch_dir(spark, "live_ckpt"))
+    return spark.read.parquet(path)
+
+
+def q_live_sessions(spark, sf):
+    return _live(spark, sf).select("file", "skey", "start_ord", "end_ord", "session_duration")
+
+
+def q_live_sessions_expiry(spark, sf):
+    """Closed sessions and the starts given up after a pause of QUERY_EXPIRY_MS (NULL end)."""
+    return _live(spark, sf, QUERY_EXPIRY_MS).select(
+        "file", "skey", "start_ord", "end_ord", "session_duration", F.col("end_ord").isNull().alias("given_up"))
 
 
 QUERIES = {
@@ -63,33 +93,53 @@ QUERIES = {
     "stream_metrics": q_stream_metrics,
     "stream_batch_metrics": q_stream_batch_metrics,
     "live_sessions": q_live_sessions,
+    "live_sessions_expiry": q_live_sessions_expiry,
 }
 
+# Causal pairing in plain SQL: the stack's height is the running sum of starts and timed ends,
+# raised by its lowest point below zero; a start that reaches height k is closed by the next end
+# that leaves height k.
+_CAUSAL = """
+run AS (SELECT *, SUM(is_start::INT - en::INT) OVER w AS s FROM ev1 WINDOW w AS (PARTITION BY file, skey, island ORDER BY ord)),
+low AS (SELECT *, s - least(0, MIN(s) OVER w) AS height FROM run WINDOW w AS (PARTITION BY file, skey, island ORDER BY ord)),
+lev AS (SELECT *, CASE WHEN is_start THEN height ELSE COALESCE(lag(height) OVER w, 0) END AS k FROM low
+        WHERE is_start OR en WINDOW w AS (PARTITION BY file, skey, island ORDER BY ord)),
+nxt AS (SELECT *, lead(is_start) OVER w AS next_start, lead(ord) OVER w AS end_ord, lead(ts) OVER w AS end_ts,
+               lead(is_auto) OVER w AS end_auto
+        FROM lev WHERE k > 0 WINDOW w AS (PARTITION BY file, skey, island, k ORDER BY ord)),
+cl AS (SELECT file, skey, island, ord AS start_ord, end_ord, end_auto,
+              greatest(0, floor((epoch_ms(end_ts) - epoch_ms(COALESCE(ts, end_ts))) / 1000.0))::BIGINT AS raw
+       FROM nxt WHERE is_start AND NOT COALESCE(next_start, false))"""
+_DURATION = ("CAST(CASE WHEN end_auto THEN least(raw, 28800) "
+             "WHEN raw > 28000 THEN CASE WHEN raw // 86400 <= 1 THEN 28000 ELSE (raw // 86400) * 28000 END "
+             "ELSE raw END AS INTEGER)")
+
 ORACLE = {
     "stream_ingest": with_log(f"SELECT {', '.join(AUDIT_COLUMNS)} FROM audit_log"),
     "stream_metrics": with_log("SELECT file, COUNT(*) + 1 AS input_rows FROM rows1 GROUP BY file"),
     "stream_batch_metrics": with_log(
         "SELECT COUNT(*) AS rows_written, COUNT(session_duration) AS sessions, COUNT(reason) AS repaired_rows "
         "FROM audit_log"),
-    # Causal pairing in plain SQL: the stack's height is the running sum of starts and timed ends,
-    # raised by its lowest point below zero; a start that reaches height k is closed by the next end
-    # that leaves height k.
-    "live_sessions": with_log("""
-, ev1 AS (SELECT file, skey, ord, audit_time AS ts, is_start, is_end AND audit_time IS NOT NULL AS en, is_auto
-          FROM rows1 WHERE is_start OR is_end),
-run AS (SELECT *, SUM(is_start::INT - en::INT) OVER w AS s FROM ev1 WINDOW w AS (PARTITION BY file, skey ORDER BY ord)),
-low AS (SELECT *, s - least(0, MIN(s) OVER w) AS height FROM run WINDOW w AS (PARTITION BY file, skey ORDER BY ord)),
-lev AS (SELECT *, CASE WHEN is_start THEN height ELSE COALESCE(lag(height) OVER w, 0) END AS k FROM low
-        WHERE is_start OR en WINDOW w AS (PARTITION BY file, skey ORDER BY ord)),
-nxt AS (SELECT *, lead(is_start) OVER w AS next_start, lead(ord) OVER w AS end_ord, lead(ts) OVER w AS end_ts,
-               lead(is_auto) OVER w AS end_auto
-        FROM lev WHERE k > 0 WINDOW w AS (PARTITION BY file, skey, k ORDER BY ord)),
-cl AS (SELECT file, skey, ord AS start_ord, end_ord, end_auto,
-              greatest(0, floor((epoch_ms(end_ts) - epoch_ms(COALESCE(ts, end_ts))) / 1000.0))::BIGINT AS raw
-       FROM nxt WHERE is_start AND NOT next_start)
+    "live_sessions": with_log(f"""
+, ev1 AS (SELECT file, skey, ord, audit_time AS ts, is_start, is_end AND audit_time IS NOT NULL AS en, is_auto,
+                 0 AS island
+          FROM rows1 WHERE is_start OR is_end),{_CAUSAL}
 SELECT file, skey, CAST(start_ord AS BIGINT) AS start_ord, CAST(end_ord AS BIGINT) AS end_ord,
-       CAST(CASE WHEN end_auto THEN least(raw, 28800)
-                 WHEN raw > 28000 THEN CASE WHEN raw // 86400 <= 1 THEN 28000 ELSE (raw // 86400) * 28000 END
-                 ELSE raw END AS INTEGER) AS session_duration
-FROM cl"""),
+       {_DURATION} AS session_duration
+FROM cl WHERE end_ord IS NOT NULL"""),
+    # A pause longer than the expiry starts a new island of a key; a start left open in one is given
+    # up unless the feed ends before the pause is over.
+    "live_sessions_expiry": with_log(f"""
+, timed AS (SELECT file, skey, ord, audit_time AS ts, is_start, is_end AS en, is_auto,
+                   epoch_ms(audit_time) - MAX(epoch_ms(audit_time)) OVER (PARTITION BY file, skey ORDER BY ord
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pause
+            FROM rows1 WHERE (is_start OR is_end) AND audit_time IS NOT NULL),
+ev1 AS (SELECT *, SUM(CASE WHEN pause > {QUERY_EXPIRY_MS} THEN 1 ELSE 0 END)
+                      OVER (PARTITION BY file, skey ORDER BY ord) AS island FROM timed),{_CAUSAL},
+fin AS (SELECT file, skey, MAX(island) AS island, MAX(epoch_ms(ts)) AS last_ms FROM ev1 GROUP BY file, skey),
+mark AS (SELECT MAX(epoch_ms(ts)) AS mark FROM timed)
+SELECT cl.file, cl.skey, CAST(start_ord AS BIGINT) AS start_ord, CAST(end_ord AS BIGINT) AS end_ord,
+       CASE WHEN end_ord IS NOT NULL THEN {_DURATION} END AS session_duration, end_ord IS NULL AS given_up
+FROM cl JOIN fin USING (file, skey), mark
+WHERE end_ord IS NOT NULL OR cl.island < fin.island OR last_ms + {QUERY_EXPIRY_MS} < mark"""),
 }

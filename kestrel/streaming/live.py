@@ -3,8 +3,13 @@
 Unlike the batch rule (all starts of a file first, then ends pop), a live
 feed can only pair an end with the starts seen so far: per (file, key) the
 open starts form a stack in arrival order and each timed end pops the most
-recent one. State per key is the stack of open starts, so it stays bounded
-by the open sessions of that key. Never compared with the batch pairing.
+recent one. Never compared with the batch pairing.
+
+The stack lives in the state store as one entry per place (a map from height
+to start), so a push or a pop writes one entry whatever the height, and starts
+that a micro-batch opens and closes itself never reach the store. With an
+expiry, event time (the watermark) decides: a key whose events pause for longer
+loses its open starts, which are reported, and a timer frees its state.
 """
 
 from __future__ import annotations
@@ -15,63 +20,155 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kestrel.operators.sessions import session_duration
 
+OUT_COLUMNS = ["file", "skey", "start_ord", "end_ord", "start_ms", "end_ms", "is_auto"]
 OUT_SCHEMA = ("file string, skey string, start_ord bigint, end_ord bigint, "
-              "session_start timestamp, session_end timestamp, is_auto boolean")
-STATE_SCHEMA = "ords array<bigint>, ts_ms array<bigint>"
-# A key without events for so long loses its open starts, in a query that keeps running.
+              "start_ms bigint, end_ms bigint, is_auto boolean")
+# A usual pause after which a key's open starts are given up.
 EXPIRY_MS = 7 * 24 * 3600 * 1000
 NO_TIME = -1
+# State larger than an executor's heap needs the store that spills to disk.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
-def _pair_key(key, batches: Iterator[pd.DataFrame], state: GroupState, expiry_ms: int | None = None) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    ords, tss = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-    rows = pd.concat(list(batches)).sort_values("ord")  # one key's events of one micro-batch
-    ms = rows["ts"].astype("datetime64[ms]").astype("int64").where(rows["ts"].notna(), NO_TIME)
-    out = []
-    for ord_, ts, start, end, auto in zip(rows["ord"], ms, rows["is_start"], rows["is_end"], rows["is_auto"]):
-        if start:
-            ords.append(int(ord_))
-            tss.append(int(ts))
-        if end and ts != NO_TIME and ords:
-            s_ts = tss.pop()
-            out.append((key[0], key[1], ords.pop(), int(ord_), None if s_ts == NO_TIME else pd.Timestamp(s_ts, unit="ms"),
-                        pd.Timestamp(ts, unit="ms"), bool(auto)))
-    state.update((ords, tss))
-    if expiry_ms:
-        state.setTimeoutDuration(expiry_ms)
-    yield pd.DataFrame(out, columns=["file", "skey", "start_ord", "end_ord", "session_start", "session_end", "is_auto"])
+class LivePairing(StatefulProcessor):
+    """The stack of one (file, key): ``open`` maps a place (0 is the oldest) to its start, ``top``
+    holds the height and the latest event time."""
+
+    def __init__(self, expiry_ms: int | None = None):
+        self.expiry_ms = expiry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "place int", "ord bigint, ms bigint")
+        self.top = handle.getValueState("top", "height int, last_ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        height, before = self.top.get() if self.top.exists() else (0, NO_TIME)
+        last, new, out = before, [], []
+        events = pd.concat(list(rows)).sort_values("ord")  # slim events of one key and micro-batch
+        for ord_, ms, start, end, auto in zip(events["ord"].tolist(), events["ms"].tolist(), events["is_start"],
+                                              events["is_end"], events["is_auto"]):
+            if self.expiry_ms and last != NO_TIME and ms - last > self.expiry_ms:
+                out += self._given_up(key, height, new)
+                height, new = 0, []
+            last = max(last, ms)
+            if start:
+                new.append((ord_, ms))
+            if end and ms != NO_TIME and (new or height):
+                if new:
+                    s_ord, s_ms = new.pop()
+                else:
+                    height -= 1
+                    s_ord, s_ms = self.open.getValue((height,))
+                    self.open.removeKey((height,))
+                out.append((*key, s_ord, ord_, None if s_ms == NO_TIME else s_ms, ms, bool(auto)))
+        for start in new:
+            self.open.updateValue((height,), start)
+            height += 1
+        self._keep(height, before, last)
+        if out:
+            yield _frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = self._given_up(key, self.top.get()[0], []) if self.top.exists() else []
+        self.top.clear()
+        if out:
+            yield _frame(out)
+
+    def _given_up(self, key, height: int, new: list) -> list:
+        """All open starts, as sessions without an end; the stored ones leave the store."""
+        stored = []
+        for place in range(height):
+            stored.append(self.open.getValue((place,)))
+            self.open.removeKey((place,))
+        return [(*key, s_ord, None, s_ms, None, False) for s_ord, s_ms in stored + new]
+
+    def _keep(self, height: int, before: int, last: int) -> None:
+        if self.expiry_ms:  # the time stays known until the timer frees it
+            if before != last:
+                if before != NO_TIME:
+                    self.handle.deleteTimer(before + self.expiry_ms + 1)
+                self.handle.registerTimer(last + self.expiry_ms + 1)
+            self.top.update((height, last))
+        elif height:
+            self.top.update((height, last))
+        elif self.top.exists():
+            self.top.clear()
 
+    def close(self) -> None:
+        pass
 
-def live_sessions(parsed_stream: DataFrame, expiry_ms: int | None = None) -> DataFrame:
-    """Streaming parsed rows -> closed sessions as they happen (append mode).
 
-    ``expiry_ms`` (say EXPIRY_MS) drops the open starts of keys without events for so long. It is
-    for queries that keep running: with a processing-time timeout a drained ``availableNow`` query
-    would wait for the next timeout instead of ending.
+def _frame(rows: list) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=OUT_COLUMNS)
+    whole = ["start_ord", "end_ord", "start_ms", "end_ms"]
+    return out.astype(dict.fromkeys(whole, "Int64"))
+
+
+def live_sessions(parsed_stream: DataFrame, expiry_ms: int | None = None, delay: str = "0 seconds") -> DataFrame:
+    """Streaming parsed rows -> closed sessions as they happen (append mode): (file, skey, start_ord,
+    end_ord, session_start, session_end, session_duration).
+
+    With ``expiry_ms`` (say EXPIRY_MS) an open start is given up when its key has no event for longer,
+    measured in event time: at the key's next event or, without one, when the watermark (latest time of
+    the feed less ``delay``) passes. It is returned with NULL end and duration. Events without a time
+    take no part then, as nothing says when they would expire. Without ``expiry_ms`` a start waits for
+    ever; one without a time takes its place and its session lasts 0 seconds. Start a query over the
+    result with ``write_sessions`` or under ``state_store``.
     """
     from kestrel.session import ship_package
     ship_package(parsed_stream.sparkSession)
-    ev = parsed_stream.filter(F.col("is_start") | F.col("is_end")).select(
-        "file", "skey", "ord", "ts", "is_start", "is_end", "is_auto")
-    closed = ev.groupBy("file", "skey").applyInPandasWithState(
-        functools.partial(_pair_key, expiry_ms=expiry_ms), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.ProcessingTimeTimeout if expiry_ms else GroupStateTimeout.NoTimeout)
+    is_event = F.col("is_start") | F.col("is_end")
+    if expiry_ms:
+        # The event time itself stays behind: Spark then drops no late event. One condition over the
+        # watermark's column is not pushed into the parse, which it would repeat.
+        ev = parsed_stream.withWatermark("ts", delay).filter(F.when(F.col("ts").isNotNull(), is_event))
+    else:
+        ev = parsed_stream.filter(is_event)
+    slim = ev.select("file", "skey", "ord", F.coalesce(F.unix_millis("ts"), F.lit(NO_TIME)).alias("ms"),
+                     "is_start", "is_end", "is_auto")
+    paired = slim.groupBy("file", "skey").transformWithStateInPandas(
+        LivePairing(expiry_ms), OUT_SCHEMA, "Append", "EventTime" if expiry_ms else "None")
+    times = paired.select("file", "skey", "start_ord", "end_ord", F.timestamp_millis("start_ms").alias("session_start"),
+                          F.timestamp_millis("end_ms").alias("session_end"), "is_auto")
     duration = session_duration(F.col("session_start"), F.col("session_end"), F.col("is_auto"))
-    return closed.withColumn("session_duration", duration).drop("is_auto")
+    return times.withColumn("session_duration", F.when(F.col("session_end").isNotNull(), duration)).drop("is_auto")
+
+
+def state_store(start):
+    """Run ``start`` (which starts a query on the session it gets first) with the state store that
+    W3 needs; the session's own settings are put back, as a started query keeps a copy."""
+    @functools.wraps(start)
+    def run(spark, *args, **kwargs):
+        old = {k: spark.conf.get(k, None) for k in STATE_STORE}
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
+        try:
+            return start(spark, *args, **kwargs)
+        finally:
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return run
+
+
+@state_store
+def _start(spark, sessions: DataFrame, path: str, checkpoint: str):
+    return (sessions.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+            .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch_id={n}"))
+            .trigger(availableNow=True).start())
 
 
 def write_sessions(sessions: DataFrame, path: str, checkpoint: str):
     """Drain the stream into a table: each epoch overwrites its own folder, so a retried epoch
     leaves no duplicates. Returns the finished query."""
-    q = (sessions.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch_id={n}"))
-         .trigger(availableNow=True).start())
+    q = _start(sessions.sparkSession, sessions, path, checkpoint)
     q.awaitTermination()
     return q

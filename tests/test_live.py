@@ -1,10 +1,12 @@
 """W3 live sessions against a brute-force causal stack on the smallest fixture."""
 from collections import Counter
+from datetime import datetime, timedelta
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from kestrel.operators.sessions import AUTO_END_CAP, DAY, DAY_CAP
 from kestrel.plans.catalog import parsed_table
+from kestrel.streaming.live import live_sessions, write_sessions
 
 
 def _dur(raw, auto):
@@ -31,3 +33,47 @@ def test_live_sessions_match_causal_stack(spark):
             raw = max(0, int((r.ts - start).total_seconds() // 1))
             exp[(r.file, r.skey, _dur(raw, r.is_auto))] += 1
     assert got == exp and sum(exp.values()) > 0
+
+
+EVENTS = "file string, skey string, ord bigint, ts timestamp, is_start boolean, is_end boolean, is_auto boolean"
+
+
+class Feed:
+    """Rows of one file and key as they arrive: one stored file per call, drained by the same query."""
+
+    def __init__(self, spark, tmp_path, expiry_ms=None):
+        self.spark, self.dir, self.expiry_ms = spark, str(tmp_path), expiry_ms
+
+    def arrive(self, *rows):
+        got = [("f", key, n, datetime(2024, 1, 1) + timedelta(seconds=t) if t is not None else None,
+                kind == "s", kind == "e", False) for key, n, t, kind in rows]
+        self.spark.createDataFrame(got, EVENTS).coalesce(1).write.mode("append").parquet(f"{self.dir}/src")
+        stream = self.spark.readStream.schema(EVENTS).parquet(f"{self.dir}/src")
+        write_sessions(live_sessions(stream, self.expiry_ms), f"{self.dir}/out", f"{self.dir}/ckpt")
+        out = self.spark.read.parquet(f"{self.dir}/out").collect()
+        return sorted((r.skey, r.start_ord, r.end_ord or 0, r.session_duration) for r in out)
+
+
+def test_live_stack_survives_restarts(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    assert feed.arrive(("k", 1, 0, "s"), ("k", 2, None, "s"), ("k", 3, 20, "s")) == []
+    # 3 pops first, the start without a time keeps its place, an end without a time pops nothing.
+    assert feed.arrive(("k", 4, 30, "e"), ("k", 5, None, "e"), ("j", 6, 31, "e")) == [("k", 3, 4, 10)]
+    assert feed.arrive(("k", 9, 60, "e"), ("k", 7, 40, "s"), ("k", 8, 50, "e"))[1:] == [
+        ("k", 3, 4, 10), ("k", 7, 8, 10)]
+    assert feed.arrive(("k", 10, 70, "e"), ("k", 11, 80, "e")) == [
+        ("k", 1, 10, 70), ("k", 2, 9, 0), ("k", 3, 4, 10), ("k", 7, 8, 10)]
+    assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or "")
+
+
+def test_live_starts_given_up(spark, tmp_path):
+    feed = Feed(spark, tmp_path, expiry_ms=100_000)
+    assert feed.arrive(("k", 1, 0, "s"), ("k", 2, 5, "s"), ("k", 3, None, "s"), ("j", 4, 0, "s")) == []
+    # A pause of exactly the expiry is none.
+    assert feed.arrive(("k", 5, 105, "e"), ("j", 6, 50, "s")) == [("k", 2, 5, 100)]
+    # Another key's events move the watermark: k's and j's open starts go without events of their own.
+    assert feed.arrive(("l", 7, 500, "s")) == [
+        ("j", 4, 0, None), ("j", 6, 0, None), ("k", 1, 0, None), ("k", 2, 5, 100)]
+    # After a pause a key's end meets nothing; an event behind the watermark is not lost.
+    assert feed.arrive(("l", 8, 601, "e"), ("m", 9, 400, "s"), ("m", 10, 410, "e"))[-2:] == [
+        ("l", 7, 0, None), ("m", 9, 10, 10)]
