@@ -23,6 +23,9 @@ from kestrel.session import scratch_dir
 # Rows kept per event as a result sample, time limit of a statement.
 SAMPLE_ROWS = 20
 STATEMENT_TIMEOUT_S = 300.0
+# Size of a quantile sketch, and the rank error it keeps far within (its 99 % bound is near 0.7 %).
+SKETCH_K = 400
+RANK_ERROR = 0.02
 
 
 def events_from_conversations(conv: DataFrame) -> DataFrame:
@@ -76,6 +79,41 @@ def query_log_report(events: DataFrame) -> DataFrame:
     )
 
 
+def elapsed_sketches(events: DataFrame) -> DataFrame:
+    """A8, per day: (day, queries, sketch) -- a quantile sketch (KLL) of the seconds elapsed, a few
+    kilobytes whatever the number of events, so a day is read once and merged into any longer span.
+    Events without a day or a time elapsed take no part."""
+    e = events.select(F.expr("try_to_date(substring(ts, 1, 10))").alias("day"), "elapsed_seconds").dropna()
+    return e.groupBy("day").agg(F.count(F.lit(1)).alias("queries"),
+                                F.kll_sketch_agg_double("elapsed_seconds", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def elapsed_percentiles(sketches: DataFrame, ranks: list[float], span: str = "week") -> DataFrame:
+    """(span_start, queries, p, elapsed) for every ``span`` and rank in ``ranks``, from the days'
+    sketches alone; an answer's true rank lies within RANK_ERROR of ``p``."""
+    merged = sketches.groupBy(F.to_date(F.date_trunc(span, "day")).alias("span_start")).agg(
+        F.sum("queries").alias("queries"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"))
+    each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"),
+                                        F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("elapsed"))
+                               for p in ranks])).alias("q")
+    return merged.select("span_start", "queries", each).select("span_start", "queries", "q.p", "q.elapsed")
+
+
+def percentile_ranks(events: DataFrame, percentiles: DataFrame, span: str = "week") -> DataFrame:
+    """Exact ranks of answered percentiles: ``percentiles`` with ``rank_low`` and ``rank_high``, the
+    shares of the span's events below it and up to it. Two counts over the events, no sort."""
+    day = F.expr("try_to_date(substring(ts, 1, 10))")
+    answers = percentiles.groupBy("span_start").agg(F.collect_list(F.struct("p", "elapsed", "queries")).alias("answers"))
+    e = events.select(F.to_date(F.date_trunc(span, day)).alias("span_start"), "elapsed_seconds").dropna()
+    # Partial sums before the shuffle: one row per span and rank leaves each task.
+    each = e.join(answers, "span_start").select("span_start", "elapsed_seconds", F.explode("answers").alias("a"))
+    share = [F.sum(hit.cast("bigint")) / F.first("a.queries")
+             for hit in (F.col("elapsed_seconds") < F.col("a.elapsed"), F.col("elapsed_seconds") <= F.col("a.elapsed"))]
+    return each.groupBy("span_start", F.col("a.p").alias("p")).agg(
+        F.first("a.queries").alias("queries"), F.first("a.elapsed").alias("elapsed"),
+        share[0].alias("rank_low"), share[1].alias("rank_high"))
+
+
 def last_sql(events: DataFrame) -> DataFrame:
     """S15 'last' file: the most recent non-empty SQL with its comment header."""
     e = events.filter(F.col("sql") != "")

@@ -61,6 +61,19 @@ def q_query_log_report(spark, sf):
         "mean_elapsed", "max_elapsed", "rows_returned", "valid_sql")
 
 
+def q_query_log_percentiles(spark, sf):
+    """Weekly percentiles from the days' stored sketches, each judged by its exact rank."""
+    path, days = scratch_dir(spark, "query_events"), scratch_dir(spark, "elapsed_sketches")
+    QL.write_events(QL.events_from_conversations(_checked(spark, sf)), path)
+    events = QL.read_events(spark, path)
+    QL.elapsed_sketches(events).write.parquet(days)
+    answers = QL.elapsed_percentiles(spark.read.parquet(days), [0.5, 0.9, 0.99])
+    judged = QL.percentile_ranks(events, answers)
+    return judged.select(F.col("span_start").cast("string").alias("week"), "p", "queries",
+                         ((F.col("rank_low") <= F.col("p") + QL.RANK_ERROR)
+                          & (F.col("rank_high") >= F.col("p") - QL.RANK_ERROR)).alias("within_error"))
+
+
 def q_last_sql(spark, sf):
     path = scratch_dir(spark, "query_events")
     QL.write_events(QL.events_from_conversations(_checked(spark, sf)), path)
@@ -151,6 +164,7 @@ QUERIES = {
     "recent_context": q_recent_context,
     "sql_checks": q_sql_checks,
     "query_log_report": q_query_log_report,
+    "query_log_percentiles": q_query_log_percentiles,
     "last_sql": q_last_sql,
     "jsonify_result": q_jsonify_result,
     "result_header": q_result_header,
@@ -253,6 +267,10 @@ r AS (SELECT *, SUM(length(b) + 1) OVER (PARTITION BY conv_id ORDER BY t, o
 SELECT conv_id, 'Recent context:' || chr(10) || string_agg(b, chr(10) ORDER BY t, o) AS context
 FROM r WHERE run <= 300 GROUP BY conv_id""",
     "sql_checks": f"WITH {CHECKED_CTE} SELECT conv_id, turn, s AS sql, looks AS looks_like_sql, passes AS guard_ok FROM found",
+    "query_log_percentiles": _QA + """
+SELECT CAST(CAST(date_trunc('week', CAST(substr(ts, 1, 10) AS DATE)) AS DATE) AS VARCHAR) AS week, r.p,
+       COUNT(*) AS queries, true AS within_error
+FROM e, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) r(p) GROUP BY 1, 2""",
     "query_log_report": _QA + """
 SELECT substr(ts, 1, 10) AS day, COUNT(*) AS queries, COUNT(*) FILTER (WHERE answer = '') AS errors,
        COUNT(*) FILTER (WHERE length(answer) = 0) AS empty_results,

@@ -12,6 +12,8 @@ from kestrel.plans.catalog import audit_log
 from kestrel.plans.oracle import with_log
 from kestrel.plans.registry_answers import CHECKED_CTE, checked_texts
 from kestrel.plans.registry_synth import _join as synth_sql
+from kestrel.session import scratch_dir
+from kestrel.sources import rawlogs as RL
 
 SALT = "kestrel-salt"
 SHIFT_SECRET = "kestrel-shift"
@@ -52,6 +54,47 @@ def q_raw_logs(spark, sf):
                     F.variant_get("payload_json", "$.k", "bigint").alias("k"))
 
 
+# Where the canonical fields lie in an event's record.
+_EVENT_PATHS = {"ts": "$.ts", "actor": "$.user_id", "action": "$.event_type", "object": "$.event_id"}
+
+
+def _staged_events(spark, sf):
+    """The events as JSON lines, every 50th one cut off, every 70th only a number, and as Parquet."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    json, parquet = scratch_dir(spark, "raw_jsonl"), scratch_dir(spark, "raw_parquet")
+    record = ev.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"), "user_id", "event_type",
+                       "value", F.from_json("props", "k bigint").alias("props"))
+    line = F.to_json(F.struct("*"))
+    e = F.col("event_id")
+    (record.select(F.when(e % 50 == 7, F.substring(line, 1, 20)).when(e % 70 == 9, F.col("event_id").cast("string"))
+                   .otherwise(line)).write.text(json))
+    record.write.parquet(parquet)
+    return RL.read_json_lines(spark, json), RL.read_parquet_records(spark, parquet)
+
+
+def q_raw_logs_jsonl(spark, sf):
+    """The canonical rows of both staged forms, with two fields of the payload."""
+    ms = F.round(F.try_variant_get("payload_json", "$.value", "double") * 1000)
+    lines, records = (RL.raw_log_rows(r, name, {**_EVENT_PATHS, "duration_ms": ms})
+                      for r, name in zip(_staged_events(spark, sf), ("jsonl", "parquet")))
+    return lines.unionByName(records).select(
+        F.col("ts").cast("timestamp_ntz").alias("ts"), "source", "actor", "action", "object", "duration_ms", "project",
+        F.try_variant_get("payload_json", "$.props.k", "bigint").alias("k"))
+
+
+def q_raw_logs_quarantine(spark, sf):
+    lines, _ = _staged_events(spark, sf)
+    return RL.raw_log_rejects(lines).select("raw_line", "reason")
+
+
+def q_raw_logs_schema(spark, sf):
+    lines, records = (RL.raw_log_rows(r, name, _EVENT_PATHS)
+                      for r, name in zip(_staged_events(spark, sf), ("jsonl", "parquet")))
+    # JSON numbers have the precision of the largest one seen, which differs from table to table.
+    shown = F.regexp_replace("payload_schema", r"DECIMAL\([0-9,]+\)", "DECIMAL")
+    return RL.payload_schema(lines.unionByName(records)).withColumn("payload_schema", shown)
+
+
 def q_deidentify(spark, sf):
     d = EV.deidentify(audit_log(spark, sf), SALT, SHIFT_SECRET)
     return d.groupBy("user_hash").agg(F.count(F.lit(1)).alias("rows"),
@@ -68,6 +111,9 @@ QUERIES = {
     "execution_match": q_execution_match,
     "execution_mismatch": q_execution_mismatch,
     "raw_logs": q_raw_logs,
+    "raw_logs_jsonl": q_raw_logs_jsonl,
+    "raw_logs_quarantine": q_raw_logs_quarantine,
+    "raw_logs_schema": q_raw_logs_schema,
     "deidentify": q_deidentify,
     "redact_events": q_redact_events,
 }
@@ -85,6 +131,23 @@ ORACLE = {
     "raw_logs": "SELECT CAST(ts AS TIMESTAMP) AS ts, CAST(user_id AS VARCHAR) AS actor, event_type AS action, "
                 "CAST(round(value * 1000) AS BIGINT) AS duration_ms, CAST(json_extract(props, '$.k') AS BIGINT) AS k "
                 "FROM events",
+    "raw_logs_jsonl": """
+SELECT date_trunc('millisecond', ts) AS ts, s.source, CAST(user_id AS VARCHAR) AS actor, event_type AS action,
+       CAST(event_id AS VARCHAR) AS object, CAST(round(value * 1000) AS BIGINT) AS duration_ms,
+       CAST(NULL AS VARCHAR) AS project, CAST(json_extract(props, '$.k') AS BIGINT) AS k
+FROM events, (VALUES ('jsonl'), ('parquet')) s(source)
+WHERE s.source = 'parquet' OR (event_id % 50 <> 7 AND event_id % 70 <> 9)""",
+    "raw_logs_quarantine": """
+SELECT CASE WHEN event_id % 50 = 7 THEN substr('{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%d') || 'T', 1, 20)
+            ELSE CAST(event_id AS VARCHAR) END AS raw_line,
+       CASE WHEN event_id % 50 = 7 THEN 'NOT_JSON' ELSE 'NOT_OBJECT' END AS reason
+FROM events WHERE event_id % 50 = 7 OR event_id % 70 = 9""",
+    "raw_logs_schema": """
+SELECT s.source, COUNT(*) AS records,
+       'OBJECT<event_id: BIGINT, event_type: STRING, props: OBJECT<k: BIGINT>, ts: STRING, user_id: BIGINT, value: '
+       || CASE s.source WHEN 'jsonl' THEN 'DECIMAL' ELSE 'DOUBLE' END || '>' AS payload_schema
+FROM events, (VALUES ('jsonl'), ('parquet')) s(source)
+WHERE s.source = 'parquet' OR (event_id % 50 <> 7 AND event_id % 70 <> 9) GROUP BY s.source""",
     "execution_mismatch": with_log(""",
 a AS (SELECT TRIM(recipe_id) AS name, COUNT(*) AS rows FROM audit_log GROUP BY 1),
 b AS (SELECT TRIM(recipe_name) AS name, COUNT(*) AS rows FROM audit_log GROUP BY 1),

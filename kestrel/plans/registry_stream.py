@@ -13,6 +13,7 @@ from kestrel.sources.fixture import audit_lines
 from kestrel.sources.lines import write_line_files
 from kestrel.streaming import ingest as W
 from kestrel.streaming.live import live_sessions, write_sessions
+from kestrel.streaming.progress import ProgressLog, read_progress, wait_for_listeners
 
 _RUNS: dict = {}
 # The live feed arrives in so many parts, each with one file of every source.
@@ -88,12 +89,29 @@ def q_live_sessions_expiry(spark, sf):
         "file", "skey", "start_ord", "end_ord", "session_duration", F.col("end_ord").isNull().alias("given_up"))
 
 
+def q_stream_progress_log(spark, sf):
+    """Micro-batches and lines that a listener logged while the live feed was read file by file."""
+    log, name = scratch_dir(spark, "progress"), "progress_feed"
+    listener = ProgressLog(spark, log, {name})
+    spark.streams.addListener(listener)
+    try:
+        q = (W.stream_lines(spark, live_feed(spark, sf), 1).writeStream.queryName(name).format("noop")
+             .option("checkpointLocation", scratch_dir(spark, "progress_ckpt")).trigger(availableNow=True).start())
+        q.awaitTermination()
+        wait_for_listeners(spark)
+    finally:
+        spark.streams.removeListener(listener)
+    return read_progress(spark, log).filter("input_rows > 0").groupBy("name").agg(
+        F.count(F.lit(1)).alias("epochs"), F.sum("input_rows").alias("input_rows"))
+
+
 QUERIES = {
     "stream_ingest": q_stream_ingest,
     "stream_metrics": q_stream_metrics,
     "stream_batch_metrics": q_stream_batch_metrics,
     "live_sessions": q_live_sessions,
     "live_sessions_expiry": q_live_sessions_expiry,
+    "stream_progress_log": q_stream_progress_log,
 }
 
 # Causal pairing in plain SQL: the stack's height is the running sum of starts and timed ends,
@@ -115,6 +133,8 @@ _DURATION = ("CAST(CASE WHEN end_auto THEN least(raw, 28800) "
              "ELSE raw END AS INTEGER)")
 
 ORACLE = {
+    "stream_progress_log": f"SELECT 'progress_feed' AS name, CAST({FEED_PARTS * FEED_SOURCES} AS BIGINT) AS epochs, "
+                           "COUNT(*) AS input_rows FROM events",
     "stream_ingest": with_log(f"SELECT {', '.join(AUDIT_COLUMNS)} FROM audit_log"),
     "stream_metrics": with_log("SELECT file, COUNT(*) + 1 AS input_rows FROM rows1 GROUP BY file"),
     "stream_batch_metrics": with_log(
