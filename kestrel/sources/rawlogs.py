@@ -52,12 +52,15 @@ def raw_log_rows(records: DataFrame, source: str, paths: dict[str, str | Column]
         if isinstance(at, Column):
             return at.cast(kind)
         if kind == "timestamp":
-            text = F.try_variant_get("payload_json", at, "string")
-            return parse_ts(text, time_parts(text))
+            return parse_ts(F.col("_text"), F.col("_time"))
         return F.try_variant_get("payload_json", at, kind)
 
     fields = {c: field(c, kind).alias(c) for c, kind in RAW_LOG_FIELDS.items()}
-    return records.filter(is_record(F.col("payload_json"))).select(
+    at = paths.get("ts")
+    text = F.try_variant_get("payload_json", at, "string") if isinstance(at, str) else F.lit(None).cast("string")
+    # The time's parts are a column of their own, so that the parse does not repeat them.
+    kept = records.filter(is_record(F.col("payload_json"))).select("payload_json", text.alias("_text"))
+    return kept.select("*", time_parts(F.col("_text")).alias("_time")).select(
         fields.pop("ts"), F.lit(source).alias("source"), *fields.values(), "payload_json")
 
 
