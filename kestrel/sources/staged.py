@@ -20,9 +20,10 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "fals
 
 
 def write_sheet_csv(sheet: DataFrame, folder: str, columns=AUDIT_COLUMNS, mode: str = "overwrite") -> None:
-    """Stage parsed sheets as CSV, one folder per source file, with display-style header names."""
+    """Stage parsed sheets as CSV, one folder per source file, with display-style header names. A large
+    source is written as several part files, by as many tasks, each with the header and its rows in order."""
     display = [F.col(c).alias(c.replace("_", " ").title()) for c in columns]
-    (sheet.repartition("file").sortWithinPartitions("file", "ord")
+    (sheet.hint("rebalance", "file").sortWithinPartitions("file", "ord")
      .select("file", *display).write.mode(mode).options(**CSV_OPTIONS).partitionBy("file").csv(folder))
 
 
