@@ -20,7 +20,7 @@ from kestrel.operators.parts import QUARANTINE_ROWS, row_numbers
 from kestrel.operators.sessions import pair_sessions
 from kestrel.plans.catalog import write_audit_log
 from kestrel.session import scratch_dir
-from kestrel.sources.lines import file_id
+from kestrel.sources.lines import file_id, line_block
 
 
 def parse_staged(spark: SparkSession, lines: DataFrame, parsed_path: str) -> DataFrame:
@@ -46,7 +46,7 @@ def quarantine_path(table_path: str) -> str:
 
 def load_raw_folder(spark: SparkSession, folder: str, table_path: str) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", "true").text(folder)
-    lines = raw.select(file_id(spark, folder).alias("file"), F.col("_metadata.file_block_start").alias("blk"),
+    lines = raw.select(file_id(spark, folder).alias("file"), line_block().alias("blk"),
                        F.col("value").alias("line"))
     body = parse_staged(spark, lines, scratch_dir(spark, "parsed_stage"))
     # Lines whose time cannot be read stay in the table without a time, and are reported with their text.
